@@ -219,8 +219,8 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, budget: int = 4) ->
     hot = scratch.keep(many.select("mask", "key", deep.alias("deep")))
     # a hot key's tries are cut by spread bits, so that near copies part; (p, q) stands for a pair of subtries within the budget
     path = sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)) * (1 << i) for i, b in enumerate(SUB_AT)), F.lit(0)).cast("int")
-    p = path.bitwiseAND(F.shiftleft(F.lit(1), F.col("deep")) - 1)
-    others = F.filter(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("deep")) - 1), lambda q: F.bit_count(q.bitwiseXOR(p)) <= budget)
+    p = path.bitwiseAND(F.expr("shiftleft(1, deep) - 1"))
+    others = F.filter(F.sequence(F.lit(0), F.expr("shiftleft(1, deep) - 1")), lambda q: F.bit_count(q.bitwiseXOR(p)) <= budget)
     cut = keyed.join(hot, ["mask", "key"], "left").withColumn("p", F.coalesce(p, F.lit(0)))
     cut = cut.withColumn("q", F.explode(F.when(F.col("deep").isNull(), F.array(F.lit(0))).otherwise(others)))
     sub = F.least("p", "q") * (1 << MOST_SUB_BITS) + F.greatest("p", "q")
