@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licenses, quality, simhash, tokenfile, toxicity
+from tidemark.llm import ann, bpe, licenses, linededup, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
 #: The folder of the public tokenizer files; any other folder with the same file names will do.
@@ -25,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -33,11 +38,15 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op3_bpe, op7_tokenfile, op8_licenses, op10_toxicity)
+    f.__name__: f for f in (op1_quality, op2_simhash, op3_bpe, op5_ann, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity)
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql()}

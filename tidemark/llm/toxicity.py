@@ -71,15 +71,16 @@ def fit_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: flo
     bias, size = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 1 << BITS
     if len(np.unique(y)) < 2:
         return RatioModel(bias, np.zeros(size))
-    idx, lens = np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), lens)
-    p = alpha + np.bincount(idx, y[doc], size)
-    q = alpha + np.bincount(idx, 1 - y[doc], size)
-    seen = np.bincount(idx, minlength=size)
-    ratio = np.log((p / (y.sum() + 2 * alpha)) / (q / ((1 - y).sum() + 2 * alpha)))
+    p, q = np.zeros(size), np.zeros(size)
+    for r, toxic in zip(rows, y, strict=True):  # a row holds each of its buckets once
+        (p if toxic else q)[r] += 1
+    seen = p + q
+    ratio = np.log(((p + alpha) / (y.sum() + 2 * alpha)) / ((q + alpha) / ((1 - y).sum() + 2 * alpha)))
     ratio[seen < 3] = 0
-    keep = np.abs(ratio[idx]) > 0.7
-    idx, doc = idx[keep], doc[keep]
+    strong = np.abs(ratio) > 0.7
+    kept = [r[strong[r]].astype(np.int32) for r in rows]
+    idx, doc = np.concatenate(kept), np.repeat(np.arange(len(kept), dtype=np.int32), [len(r) for r in kept])
+    del kept
     names, idx = np.unique(idx, return_inverse=True)
     r, n = ratio[names], len(rows)
     w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -95,10 +96,10 @@ def fit_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: flo
     return RatioModel(float(w[-1]), table)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> RatioModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 5000) -> RatioModel:
     """Fit on at most ``bound`` labelled documents that aren't held out; everything else covers all rows."""
     got = sampled_features(labelled_sample(docs, labels, "toxic", bound), grams_udf(F.col("text")))
-    rows = [r.values.to_numpy() for r in got.column("features")]
+    rows = [np.asarray(part) for chunk in got.column("features").chunks for part in np.split(chunk.values.to_numpy(), chunk.offsets.to_numpy()[1:-1])]
     return fit_ratio(rows, np.array(got.column("label").to_pylist(), float))
 
 
@@ -115,7 +116,7 @@ def toxicity_score(docs: DataFrame, model: RatioModel, text: str = "text") -> Co
     return score(F.col(text))
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = 6000) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = 5000) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted (1 if score >= threshold)."""
     model = train_toxicity(docs, labels, bound)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(docs, model).alias("score"))
