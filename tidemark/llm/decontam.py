@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents become word ids over the benchmark's vocabulary (a word of no item can't bring a passage nearer to one). Passages are
-windows of two blocks of ``BLOCK`` words, each overlapping the next by half; their vectors are inverse passage frequencies of
-their distinct words, counted over all documents. A randomised SVD (one pass over all passages, Nystroem form: Z = A'AO for
+windows of two blocks of ``BLOCK`` words, each overlapping the next by half; words weigh by their inverse block frequency,
+counted over all documents, less that of a word in a share ``STOP`` of blocks; commoner words weigh nothing, unless an item
+consists of them alone. A randomised SVD (one pass over all passages, Nystroem form: Z = A'AO for
 a random O) gives the latent space. Then every document is searched:
 
-1. A passage whose summed squared weights are below ``COVER`` of an item's can't hold that share of the item; no candidate is
-   lost by leaving it out, so this is a bound and not a cap.
-2. The others are compared with all items by cosine in the latent space; ``COSINE`` or more makes a candidate.
-3. A candidate is verified on the words around the passage: the longest common subsequence with the item, as a share of the
+1. All its passages are compared with all items by cosine in the latent space; ``COSINE`` or more makes a candidate, if the
+   passage's summed squared weights reach ``COVER`` of the item's: below that it can't hold that share of the item.
+2. A candidate is verified on the words around the passage: the longest common subsequence with the item, as a share of the
    item. ``COPY`` or more is a copy; ``PARAPHRASE`` or more is a paraphrase if the item's answer (its last sentence) is there
    too, by a share of ``ANSWER`` of its words in order.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
 
-BLOCK, RANK, OVERSAMPLE = 24, 48, 16
-COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.35, 0.25, 0.6, 0.45, 0.8
+BLOCK, RANK, OVERSAMPLE, STOP = 24, 64, 16, 0.02
+COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.35, 0.3, 0.6, 0.45, 0.8
 #: Characters of benchmark text that are searched for at once.
 ITEM_CHARS = 4_000_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?]+\s")
@@ -231,8 +231,11 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
     size, kind = len(items.vocab) + 1, _ids_type(len(items.vocab) + 1)
     words = scratch.keep(word_ids(docs, items))
     weight = passage_weights(words, size, kind)
-    space = latent_space(words, weight, kind)
     unique = [np.unique(p) for p in items.pieces]
+    above = np.maximum(weight + np.log(STOP), 0)
+    floor = 0.0 if all(above[u].any() for u in unique) else 0.1
+    weight = np.maximum(above, np.where(weight > 0, floor, 0))
+    space = latent_space(words, weight, kind)
     mass = np.array([(weight[u] ** 2).sum() for u in unique])
     latent = np.stack([weight[u] @ space[u] for u in unique])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -241,42 +244,47 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weight, space, mass, latent = shared.value
-        square, least = weight**2, COVER * mass.min()
+        square, loaded = (weight**2).astype(np.float32), (space * weight[:, None]).astype(np.float32)
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
             ids, ends = _flat(batch.column(2), kind)
             if not len(ids):
                 continue
             at, first, count = _word_blocks(ends)
-            energy = np.bincount(at, square[ids], int(count.sum()))
-            after = np.r_[energy[1:], 0]
-            last = np.zeros(len(energy), bool)
-            last[(first + count - 1)[count > 0]] = True
-            rich = energy + np.where(last, 0, after) >= least
-            rich &= ~last | np.isin(np.arange(len(energy)), first)  # a document's last block stands alone only if it is its first
             owner = np.repeat(np.arange(len(ends)), count)
+            heavy = square[ids] > 0
+            known, block = ids[heavy], at[heavy]
             best: dict[tuple[int, int], tuple] = {}
-            for block in np.flatnonzero(rich).tolist():
-                d = int(owner[block])
-                lo, hi = (int(ends[d - 1]) if d else 0), int(ends[d])
-                a = lo + (block - int(first[d])) * BLOCK
-                z = min(a + 2 * BLOCK, hi)
-                u = np.unique(ids[a:z])
-                u = u[u > 0]
-                x = weight[u] @ space[u]
-                cosine = latent @ (x / max(float(np.linalg.norm(x)), 1e-12))
-                near = (cosine >= COSINE) & (square[u].sum() >= COVER * mass)
-                for k in sorted(set(items.piece_of[near].tolist())):
-                    w, ans = items.words[k], items.answers[k]
-                    around = ids[max(lo, a - len(w)) : min(hi, z + len(w))]
+            for lo in range(0, len(owner), 16384):
+                # blocks lo..hi and the one behind, for the passage that reaches into it
+                hi = min(lo + 16384, len(owner))
+                a, z = np.searchsorted(block, [lo, hi + 1])
+                x, energy = np.zeros((hi + 1 - lo, space.shape[1]), np.float32), np.zeros(hi + 1 - lo, np.float32)
+                for c in range(a, z, _CHUNK):
+                    some, here = known[c : min(c + _CHUNK, z)], block[c : min(c + _CHUNK, z)] - lo
+                    start = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                    x[here[start]] += np.add.reduceat(loaded[some], start)
+                    energy[here[start]] += np.add.reduceat(square[some], start)
+                pair = np.flatnonzero(owner[lo : min(hi, len(owner) - 1)] == owner[lo + 1 : min(hi, len(owner) - 1) + 1])
+                alone = np.flatnonzero(count[owner[lo:hi]] == 1)
+                x[pair], energy[pair] = x[pair] + x[pair + 1], energy[pair] + energy[pair + 1]
+                places = np.sort(np.r_[pair, alone])
+                x, energy = x[places], energy[places]
+                cosine = (x @ latent.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for i, piece in zip(*np.nonzero((cosine >= COSINE) & (energy[:, None] >= COVER * mass)), strict=True):
+                    b, k = int(places[i]) + lo, int(items.piece_of[piece])
+                    d = int(owner[b])
+                    begin, end = (int(ends[d - 1]) if d else 0), int(ends[d])
+                    s = begin + (b - int(first[d])) * BLOCK
+                    w, answer = items.words[k], items.answers[k]
+                    around = ids[max(begin, s - len(w)) : min(end, s + 2 * BLOCK + len(w))]
                     share = lcs(w, around) / len(w)
-                    if share < PARAPHRASE:
+                    if share < PARAPHRASE or (d, k) in best and share <= best[d, k][1]:
                         continue
-                    told = lcs(ans, around) / max(len(ans), 1)
+                    told = lcs(answer, around) / max(len(answer), 1)
                     verdict = "copy" if share >= COPY else "paraphrase" if told >= ANSWER else None
-                    row = (verdict, share, told, float(cosine[(items.piece_of == k) & near].max()))
-                    if verdict and (d, k) not in best or verdict and share > best[d, k][1]:
-                        best[d, k] = row
+                    if verdict:
+                        best[d, k] = (verdict, share, told, float(cosine[i, piece]))
             if best:
                 who = [d for d, _ in best]
                 columns = [batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array([items.ids[k] for _, k in best], pa.int64())]

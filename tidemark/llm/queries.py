@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, licenses, linededup, quality, simhash, tokenfile, toxicity
+from tidemark.llm import ann, bpe, decontam, licenses, linededup, pii, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
 #: The folder of the public tokenizer files; any other folder with the same file names will do.
@@ -26,10 +26,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -47,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op3_bpe, op5_ann, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity)
+    f.__name__: f
+    for f in (op1_quality, op2_simhash, op3_bpe, op4_decontamination, op5_ann, op6_pii, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity)
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql()}

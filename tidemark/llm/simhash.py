@@ -229,18 +229,33 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, budget: int = 4) ->
     return dealt.mapInPandas(_walk(budget), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _grouped(docs: DataFrame, width: int, budget: int, text: str) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, keeper) of each document; keeper is the first (doc_id, text_hash) of its group."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(docs.select("doc_id", fingerprints(F.col(text), width).alias("fp")))
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # known ids come before null ones; the smallest id of a group is that of its first document
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    prints = scratch.keep(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), fingerprints(F.col(text), width).alias("fp")))
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min(place).alias("least")))
     links = scratch.keep(fingerprint_links(distinct.select("fp"), scratch, budget))
     labels = scratch.keep(component_labels(links, scratch))
     scratch.drop(links)
     named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = scratch.keep(named.join(ids, "label").select(F.col("fp").alias("_fp"), "component_id"))
+    firsts = named.groupBy("label").agg(F.min("least").alias("keeper"))
+    final = scratch.keep(named.join(firsts, "label").select(F.col("fp").alias("_fp"), "keeper"))
     scratch.drop(labels)
     scratch.drop(distinct)
-    out = prints.join(final, prints.fp == final["_fp"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(final, prints.fp == final["_fp"]).select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), place.eqNullSafe(F.col("keeper")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return _grouped(docs, width, budget, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
+    """The first document of each group, by doc_id and then hash of text; of rows that repeat it, one. All columns stay."""
+    kept = _grouped(docs, width, budget, "text").where("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    found = docs.join(kept, same, "left_semi")
+    repeats = found.groupBy("doc_id", F.xxhash64("text").alias("_h")).count().where("count > 1").limit(1).count()
+    return found.dropDuplicates(["doc_id", "text"]) if repeats else found
