@@ -1 +1 @@
-"""."""
+"""Column expressions: time of day, missing values, tails of distributions."""

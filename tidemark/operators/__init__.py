@@ -1 +1 @@
-"""."""
+"""Operators over readings, fly-days and features."""
