@@ -2,9 +2,9 @@
 
 A line is cut into edits + 1 segments. Of two lines within the distance at least one segment of the shorter stands
 unchanged in the longer, at a place that the difference of lengths bounds; so segments are indexed under (length, number,
-text) and every line probes the indexes of the lengths from its own down to its own less ``edits``. Candidates whose finer
-pieces can't agree are dropped, and the rest are verified by bit-parallel edit distance in a band of diagonals. Only
-built-in functions are used.
+text) and every line probes the indexes of the lengths from its own down to its own less ``edits``. Candidates that hold
+different letters, or whose finer pieces can't agree, are dropped; the rest, less what both have in common at their ends,
+are verified by bit-parallel edit distance in a band of diagonals. Only built-in functions are used.
 
 Keys go through one aggregation that drops those met by a single distinct line before anything is joined; copies of a
 line collapse in it on the map side. What is left is selected by buckets of keys, a table of at most BUCKETS numbers.
@@ -26,6 +26,8 @@ from tidemark.llm.components import component_labels
 EDITS, SHORTEST = 2, 24
 #: Bound of the broadcast tables that select keys and lines; beyond it they select less, and lose nothing.
 BUCKETS = 1 << 20
+#: Letters that are counted in lines which share a segment; two lines within the distance hold almost the same number of each.
+LETTERS = "aeiotnsrhld"
 #: Pieces of a candidate's shorter line; all but ``edits`` of them must stand in the longer one within ``edits`` places.
 PIECES = 8
 
@@ -37,27 +39,50 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "text_hash", "line_no", line.alias("line"), F.when(line != "", F.xxhash64(line)).alias("h"))
 
 
-def _cut(i: int, n: Column, edits: int) -> Column:
-    """Where the i-th of edits + 1 segments of a line of length n starts."""
-    return F.floor(n * i / (edits + 1)).cast("int")
-
-
-def segment_keys(line: Column, edits: int) -> Column:
-    """An array of (role, key): 0 for the line's own segments, 1 for the segments of other lines that it may hold."""
-    n, out = F.char_length(line), []
-
-    def key(length: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
-
+def segment_places(edits: int) -> list[tuple[int, int, int, int]]:
+    """(role, d, i, shift): segment i of a line shorter by d, shifted. Role 0 is a line's own segment, 1 what it may hold."""
+    out = []
     for d in range(edits + 1):
-        length = n - d
         for i in range(edits + 1):
-            start, size = _cut(i, length, edits), _cut(i + 1, length, edits) - _cut(i, length, edits)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                role = 0 if d == shift == 0 else 1
-                fits = (start + shift >= 0) & (start + shift + size <= n)
-                out.append(F.struct(F.lit(role).alias("role"), F.when(fits, key(length, i, start + shift, size)).alias("key")))
-    return F.array(*out)
+                out.append((0 if d == shift == 0 else 1, d, i, shift))
+    return out
+
+
+def segment_keys(wide: DataFrame, edits: int) -> DataFrame:
+    """(h, role, key) for each place of each line (h, wide, n).
+
+    ``wide`` is the line in four bytes a code point, of which a segment is cut without a walk over what stands before it.
+    The places are exploded first, so that the code for a key is compiled once and stays short.
+    """
+    places = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("role", "d", "i", "shift"), p, strict=True)]) for p in segment_places(edits)])
+    rows = wide.select("h", "wide", "n", F.explode(places).alias("p")).select("h", "wide", "n", "p.*").withColumn("length", F.col("n") - F.col("d"))
+    start, end = [F.floor(F.col("length") * (F.col("i") + k) / (edits + 1)).cast("int") for k in (0, 1)]
+    rows = rows.withColumn("start", start + F.col("shift")).withColumn("size", end - start)
+    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    return rows.select("h", "role", F.xxhash64("length", "i", F.substring("wide", 4 * F.col("start") + 1, 4 * F.col("size"))).alias("key"))
+
+
+def bags(line: Column) -> list[Column]:
+    """How often a line holds each of LETTERS, and all else. One edit changes the sum of differences by 2 at most."""
+    low, n = F.lower(line), F.char_length(F.lower(line))
+    each = [n - F.char_length(F.replace(low, F.lit(c), F.lit(""))) for c in LETTERS]
+    return [*[c.alias(f"c{i}") for i, c in enumerate(each)], (n - sum(each[1:], each[0])).alias(f"c{len(LETTERS)}")]
+
+
+def common_ends(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, s, t) with what s and t have in common at both ends cut off, found by halving steps. The distance stays."""
+    steps = [1 << k for k in range(17, -1, -1)]
+    out = pairs.withColumn("n", F.least(F.char_length("s"), F.char_length("t"))).withColumn("p", F.lit(0))
+    for k in steps:
+        same = (F.col("p") + k <= F.col("n")) & (F.substring("s", F.col("p") + 1, F.lit(k)) == F.substring("t", F.col("p") + 1, F.lit(k)))
+        out = out.withColumn("p", F.when(same, F.col("p") + k).otherwise(F.col("p")))
+    rest = lambda c: F.reverse(F.substring(c, F.col("p") + 1, F.char_length(c)))
+    out = out.select("a", "b", rest("s").alias("s"), rest("t").alias("t"), (F.col("n") - F.col("p")).alias("n")).withColumn("p", F.lit(0))
+    for k in steps:
+        same = (F.col("p") + k <= F.col("n")) & (F.substring("s", F.col("p") + 1, F.lit(k)) == F.substring("t", F.col("p") + 1, F.lit(k)))
+        out = out.withColumn("p", F.when(same, F.col("p") + k).otherwise(F.col("p")))
+    return out.select("a", "b", *[F.reverse(F.substring(c, F.col("p") + 1, F.char_length(c))).alias(c) for c in ("s", "t")])
 
 
 def pieces_agree(a: Column, b: Column, edits: int) -> Column:
@@ -70,15 +95,15 @@ def pieces_agree(a: Column, b: Column, edits: int) -> Column:
     return found >= PIECES - edits
 
 
-def banded_distance(a: Column, b: Column, edits: int) -> Column:
+def banded_distance(chars_a: Column, chars_b: Column, la: Column, lb: Column, edits: int) -> Column:
     """Edit distance of a and b (a not longer than b), or more than ``edits`` if it is more than ``edits``.
 
+    Takes arrays of characters and their lengths, which have to be stored columns: the steps read them again and again.
     Bit k of a word stands for the diagonal k - edits of the band; a step takes one character of b. Vertical differences of
     +1 and -1 are two words, which move down one diagonal at each step, and the score follows the last cell of the band
     until the band meets the end of a, and then the end of a itself.
     """
     width = 2 * edits + 1
-    chars_a, chars_b, la, lb = F.split(a, ""), F.split(b, ""), F.char_length(a), F.char_length(b)
     word = lambda v: F.lit(v).cast("long")
     full, top = word((1 << width) - 1), word(1 << (width - 1))
 
@@ -111,28 +136,38 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 def line_links(lines: DataFrame, scratch: Scratch, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(a, b): each pair of distinct lines (by h, a < b) whose edit distance is from 1 to ``edits``."""
     able = lines.where(F.char_length("line") >= shortest).select("h", "line")
-    keys = able.select("h", F.explode(segment_keys(F.col("line"), edits)).alias("k")).select("h", "k.role", "k.key").where("key is not null")
+    wide = able.select("h", F.encode("line", "UTF-32").alias("wide")).select("h", "wide", (F.octet_length("wide") / 4).cast("int").alias("n"))
+    keys = segment_keys(wide, edits)
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
     shared = scratch.keep(shared)
     bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).alias("_b")
     picked = keys.withColumn("_b", bucket("key")).join(F.broadcast(shared.select(bucket("key")).distinct()), "_b", "left_semi")
     met = scratch.keep(picked.join(shared, "key", "left_semi").select("key", "h", "role").distinct())
     scratch.drop(shared)
-    own = met.where("role = 0").select("key", F.col("h").alias("x"))
-    both = own.join(met.select("key", F.col("h").alias("y"), "role"), "key").where("x != y and (role = 1 or x < y)")
+    # the texts of lines that share a key, and their bags of letters
+    ends = met.select("h").distinct()
+    near = able.withColumn("_b", bucket("h")).join(F.broadcast(ends.select(bucket("h")).distinct()), "_b", "left_semi")
+    texts = scratch.keep(near.select("h", "line").join(ends, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    bag, names = texts.select("h", *bags(F.col("line"))), [f"c{i}" for i in range(len(LETTERS) + 1)]
+    own = met.where("role = 0").select("key", F.col("h").alias("x")).join(bag.withColumnRenamed("h", "x"), "x")
+    other = met.select("key", F.col("h").alias("y"), "role").join(bag.select(F.col("h").alias("y"), *[F.col(c).alias(f"o{c}") for c in names]), "y")
+    apart = sum((F.abs(F.col(c) - F.col(f"o{c}")) for c in names[1:]), F.abs(F.col(names[0]) - F.col(f"o{names[0]}")))
+    fits = (F.col("x") != F.col("y")) & ((F.col("role") == 1) | (F.col("x") < F.col("y"))) & (apart <= 2 * edits)
+    both = own.join(other, (own["key"] == other["key"]) & fits)
     pairs = scratch.keep(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     scratch.drop(met)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    near = able.withColumn("_b", bucket("h")).join(F.broadcast(ends.select(bucket("h")).distinct()), "_b", "left_semi")
-    texts = scratch.keep(near.select("h", "line").join(ends.distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))
     read = pairs.join(left, "a").join(right, "b")
     longer = F.char_length("ta") > F.char_length("tb")
     read = read.select("a", "b", F.when(longer, F.col("tb")).otherwise(F.col("ta")).alias("s"), F.when(longer, F.col("ta")).otherwise(F.col("tb")).alias("t"))
-    likely = scratch.keep(read.where((F.char_length("t") - F.char_length("s") <= edits) & pieces_agree(F.col("s"), F.col("t"), edits)))
-    links = likely.where(banded_distance(F.col("s"), F.col("t"), edits) <= edits).select("a", "b")
-    links = scratch.keep(links)
-    for done in (pairs, texts, likely):
+    middle = scratch.keep(common_ends(read.where(F.char_length("t") - F.char_length("s") <= edits)))
+    likely = middle.where((F.char_length("s") < 4 * PIECES) | pieces_agree(F.col("s"), F.col("t"), edits))
+    # the band starts on as many characters as there may be edits: both get the same ones in front
+    s, t = (F.concat(F.lit("\u0001" * edits), F.col(c)) for c in ("s", "t"))
+    likely = scratch.keep(likely.select("a", "b", F.split(s, "").alias("s"), F.split(t, "").alias("t"), F.char_length(s).alias("ls"), F.char_length(t).alias("lt")))
+    links = likely.where(banded_distance(F.col("s"), F.col("t"), F.col("ls"), F.col("lt"), edits) <= edits)
+    links = scratch.keep(links.select("a", "b"))
+    for done in (pairs, texts, middle, likely):
         scratch.drop(done)
     return links
 
