@@ -115,20 +115,25 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, scratch: Scratch, disclos
 
     ``near`` has a row (row, entity, term) for each term near each entity of each document.
     """
-    total = docs.count()
+    total = float(docs.count())
     entities = near.groupBy("entity").agg(F.count_distinct("doc_id", "text_hash").alias("n_e"))
-    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("doc_id", "text_hash").alias("n_te"))
-    pairs = scratch.keep(pairs.where(F.col("n_te") >= support))
+    held = near.where("term is not null")
+    pairs = held.groupBy("entity", "term").agg(F.count_distinct("doc_id", "text_hash").alias("n_te")).where(F.col("n_te") >= support)
+
+    def tells(n_t: Column) -> Column:
+        whole = F.log2(F.lit(total) / F.col("n_e"))
+        return (whole > 0) & (F.log2(F.lit(total) * F.col("n_te") / (n_t * F.col("n_e"))) >= disclosure * whole)
+
+    # a term is in at least the documents that hold it near any entity: pairs that fail on that number fail on the whole corpus
+    least = held.groupBy("term").agg(F.count_distinct("doc_id", "text_hash").alias("n_near"))
+    pairs = scratch.keep(pairs.join(least, "term").join(entities, "entity").where(tells(F.col("n_near"))))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("_b")
     wanted = F.broadcast(pairs.select(bucket).distinct())
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"))
     seen = docs.select(F.explode(words).alias("term")).withColumn("_b", bucket).join(wanted, "_b", "left_semi")
     terms = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    joined = pairs.join(terms, "term").join(entities, "entity")
-    n_t = F.greatest("n_t", "n_te")
-    told = F.log2(F.lit(float(total)) * F.col("n_te") / (n_t * F.col("n_e")))
-    whole = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return scratch.keep(joined.where((whole > 0) & (told >= disclosure * whole)).select("entity", "term"))
+    joined = pairs.join(terms, "term")
+    return scratch.keep(joined.where(tells(F.greatest("n_t", "n_te"))).select("entity", "term"))
 
 
 def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 3, window: int = 80) -> DataFrame:
