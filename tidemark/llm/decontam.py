@@ -6,10 +6,12 @@ counted over all documents, less that of a word in a share ``STOP`` of blocks; c
 consists of them alone. A randomised SVD (one pass over all passages, Nystroem form: Z = A'AO for
 a random O) gives the latent space. Then every document is searched:
 
-1. All its passages are compared with all items by cosine in the latent space; ``COSINE`` or more makes a candidate, if the
-   passage's summed squared weights reach ``COVER`` of the item's: below that it can't hold that share of the item.
-2. A candidate is verified on the words around the passage: the longest common subsequence with the item, as a share of the
-   item. ``COPY`` or more is a copy; ``PARAPHRASE`` or more is a paraphrase if the item's answer (its last sentence) is there
+1. All its passages are compared with all items by cosine in the latent space; ``COSINE`` or more makes a candidate, and so
+   does ``FAINT`` or more where the passage's projection on the item is ``SHARE`` of the item's length or more, as that of a
+   short item among other rare words. The passage's summed squared weights must reach ``COVER`` of the item's: below that
+   it can't hold that share of the item.
+2. A candidate is verified on the words around the passage: the longest common subsequence with the item in a stretch half as
+   long again as the item, as a share of the item. ``COPY`` or more is a copy; ``PARAPHRASE`` or more is a paraphrase if the item's answer (its last sentence) is there
    too, by a share of ``ANSWER`` of its words in order.
 
 Items longer than a passage are looked for by pieces of BLOCK words. The benchmark is taken in blocks of bounded size, which
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 BLOCK, RANK, OVERSAMPLE, STOP = 24, 64, 16, 0.02
-COVER, COSINE, COPY, PARAPHRASE, ANSWER = 0.35, 0.3, 0.6, 0.45, 0.8
+COVER, COSINE, FAINT, SHARE, COPY, PARAPHRASE, ANSWER = 0.35, 0.45, 0.15, 0.6, 0.6, 0.45, 0.8
 #: Characters of benchmark text that are searched for at once.
 ITEM_CHARS = 4_000_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?]+\s")
@@ -63,6 +65,15 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def best_lcs(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest common subsequence of a with any stretch of b half as long again as a, in steps of a quarter of a.
+
+    Common words alone make up a long subsequence over a long stretch; an item or its paraphrase stands close together.
+    """
+    size, step = len(a) + len(a) // 2 + 1, max(len(a) // 4, 1)
+    return max((lcs(a, b[i : i + size]) for i in range(0, max(len(b) - size, 0) + step, step)), default=0)
+
+
 class Items:
     """A block of the benchmark: vocabulary, ids of items, answers and search pieces."""
 
@@ -106,9 +117,21 @@ def word_ids(docs: DataFrame, items: Items) -> DataFrame:
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch, and where each document ends."""
-    values = b"".join(column.to_pylist())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     size = np.dtype(kind).itemsize
-    return np.frombuffer(values, kind).astype(np.int64), np.cumsum([len(v.as_buffer()) // size for v in column])
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return values.view(kind), (offsets[1:] - offsets[0]) // size
+
+
+def _distinct(groups: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (group, id) of groups that don't descend, in order. Groups are taken relative to the first, so that keys are
+    short numbers, which sort several times faster."""
+    low = int(groups[0]) if len(groups) else 0
+    narrow = len(groups) and (int(groups[-1]) - low + 1) << bits < 1 << 31
+    key = ((groups - low).astype(np.int32 if narrow else np.int64) << bits) | ids.astype(np.int32 if narrow else np.int64)
+    key = np.sort(key)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    return (key >> bits).astype(np.int64) + low, (key & ((1 << bits) - 1)).astype(np.int64)
 
 
 def _blocks(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +153,8 @@ def _word_blocks(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def passage_weights(words: DataFrame, size: int, kind: str) -> np.ndarray:
     """Inverse frequency of each id over the blocks of all documents: log((1 + blocks) / (1 + blocks with the word))."""
 
+    bits = size.bit_length()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, blocks = np.zeros(size, np.int64), 0
         for batch in batches:
@@ -139,7 +164,11 @@ def passage_weights(words: DataFrame, size: int, kind: str) -> np.ndarray:
             at, _, number = _word_blocks(ends)
             blocks += int(number.sum())
             known = ids > 0
-            total += np.bincount(np.unique(at[known] * size + ids[known]) % size, minlength=size)
+            some, where = ids[known], at[known]
+            for a in range(0, len(some), _CHUNK):
+                # a block that a cut divides counts once: the cut moves to where a block ends
+                lo, hi = (np.searchsorted(where, where[min(c, len(some) - 1)]) if c < len(some) else len(some) for c in (a, a + _CHUNK))
+                total += np.bincount(_distinct(where[lo:hi], some[lo:hi], bits)[1], minlength=size)
         total[0] = blocks
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
@@ -152,11 +181,10 @@ def passage_weights(words: DataFrame, size: int, kind: str) -> np.ndarray:
     return np.maximum(weight, 0)
 
 
-def _passages(ids: np.ndarray, at: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(ids: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct known words of each passage number in ``at``: (passage, id, weight), by passage."""
     keep = weight[ids] > 0
-    key = np.unique(at[keep] * size + ids[keep])
-    passage, word = key // size, key % size
+    passage, word = _distinct(at[keep], ids[keep], len(weight).bit_length())
     return passage, word, weight[word]
 
 
@@ -178,7 +206,7 @@ def latent_space(words: DataFrame, weight: np.ndarray, kind: str, rank: int = RA
             doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
             pair = first[doc] + (at - first[doc]) // 2  # two blocks of a document are a passage; numbers stay apart
             for a in range(0, len(ids), _CHUNK):
-                passage, word, w = _passages(ids[a : a + _CHUNK], pair[a : a + _CHUNK], weight, size)
+                passage, word, w = _passages(ids[a : a + _CHUNK], pair[a : a + _CHUNK], weight)
                 if not len(word):
                     continue
                 start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
@@ -238,12 +266,13 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
     space = latent_space(words, weight, kind)
     mass = np.array([(weight[u] ** 2).sum() for u in unique])
     latent = np.stack([weight[u] @ space[u] for u in unique])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    length = np.maximum(np.linalg.norm(latent, axis=1), 1e-12).astype(np.float32)
+    latent /= length[:, None]
     items.vocab = {}
-    shared = docs.sparkSession.sparkContext.broadcast((items, weight, space, mass, latent.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((items, weight, space, mass, latent.astype(np.float32), length))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, space, mass, latent = shared.value
+        items, weight, space, mass, latent, length = shared.value
         square, loaded = (weight**2).astype(np.float32), (space * weight[:, None]).astype(np.float32)
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
@@ -270,8 +299,10 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
                 x[pair], energy[pair] = x[pair] + x[pair + 1], energy[pair] + energy[pair + 1]
                 places = np.sort(np.r_[pair, alone])
                 x, energy = x[places], energy[places]
-                cosine = (x @ latent.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                for i, piece in zip(*np.nonzero((cosine >= COSINE) & (energy[:, None] >= COVER * mass)), strict=True):
+                dot = x @ latent.T
+                cosine = dot / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                near = (cosine >= COSINE) | ((cosine >= FAINT) & (dot >= SHARE * length))
+                for i, piece in zip(*np.nonzero(near & (energy[:, None] >= COVER * mass)), strict=True):
                     b, k = int(places[i]) + lo, int(items.piece_of[piece])
                     d = int(owner[b])
                     begin, end = (int(ends[d - 1]) if d else 0), int(ends[d])
@@ -279,6 +310,7 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
                     w, answer = items.words[k], items.answers[k]
                     around = ids[max(begin, s - len(w)) : min(end, s + 2 * BLOCK + len(w))]
                     share = lcs(w, around) / len(w)
+                    share = best_lcs(w, around) / len(w) if share >= PARAPHRASE else 0
                     if share < PARAPHRASE or (d, k) in best and share <= best[d, k][1]:
                         continue
                     told = lcs(answer, around) / max(len(answer), 1)
