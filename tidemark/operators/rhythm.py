@@ -23,8 +23,8 @@ def hourly_totals(mt: DataFrame, value: str = "value") -> DataFrame:
 def cosinor(hourly: DataFrame, period: float = 24) -> DataFrame:
     """Least-squares fit of mesor + a cos + b sin to each day, in one aggregation and closed form.
 
-    phase is (period * atan2(-b, a) / 2 pi) mod period. p is the tail of F with 2 and n - 3 degrees of freedom,
-    (1 + 2F/m)^(-m/2). Fewer than 3 hours: all null; 3 hours or no variance: p null; a perfect fit: p 0.
+    phase is (period * atan2(-b, a) / 2 pi, to 9 digits) mod period, so that it never reads a whole period. p is the tail of F with 2 and n - 3 degrees of freedom,
+    (1 + 2F/m)^(-m/2). A flat day has phase 0. Fewer than 3 hours: all null; 3 hours or no variance: p null; a perfect fit: p 0.
     """
     c, s = tp.harmonic(F.col("zt"), period)
     y = F.col("hourly_mt").cast("double")
@@ -45,7 +45,7 @@ def cosinor(hourly: DataFrame, period: float = 24) -> DataFrame:
     enough = (n >= 3) & (n == F.col("rows"))
     out = {
         "mesor": (v("Y") - F.col("a") * v("C") - F.col("b") * v("S")) / n, "amplitude": F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")),
-        "phase": F.pmod(F.lit(float(period)) * F.atan2(-F.col("b"), F.col("a")) / turn, F.lit(float(period))), "p_value": p,
+        "phase": F.when(F.hypot("a", "b") < 1e-9, 0.0).otherwise(F.pmod(F.round(F.lit(float(period)) * F.atan2(-F.col("b"), F.col("a")) / turn, 9), F.lit(float(period)))), "p_value": p,
     }
     return fit.select(*DAY, *[F.when(enough, c).alias(k) for k, c in out.items()])
 

@@ -66,7 +66,7 @@ COSINOR = f""",
     ab AS (SELECT *, (yc * ss - ys * sc) / (cc * ss - sc * sc) AS a, (ys * cc - yc * sc) / (cc * ss - sc * sc) AS b FROM sums),
     fit AS (SELECT *, greatest(sst - a * yc - b * ys, 0) AS sse FROM ab),
     cosinor AS (SELECT {D}, (y1 - a * c1 - b * s1) / n AS mesor, sqrt(a * a + b * b) AS amplitude,
-                       ((24 * atan2(-b, a) / (2 * pi())) % 24 + 24) % 24 AS phase,
+                       CASE WHEN sqrt(a * a + b * b) < 1e-9 THEN 0 ELSE (round(24 * atan2(-b, a) / (2 * pi()), 9) % 24 + 24) % 24 END AS phase,
                        CASE WHEN n <= 3 OR sst <= 1e-9 THEN NULL WHEN sse <= 1e-12 * sst THEN 0
                             ELSE pow(1 + 2 * (((sst - sse) / 2) / (sse / (n - 3))) / (n - 3), -(n - 3) / 2.0) END AS p_value FROM fit)"""
 ONSET = f""",

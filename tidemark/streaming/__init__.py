@@ -1 +1,30 @@
-"""."""
+"""Streaming forms of the batch operators that have one: bins, hourly totals, trailing days, bouts by gaps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hourly_totals(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Sum of value for each fly and hour, final once the watermark has passed."""
+    return stream.withWatermark("datetime", late).groupBy("fly_id", F.window("datetime", "1 hour").alias("w")).agg(F.sum("value").alias("total")).select("fly_id", F.col("w.start").alias("hour"), "total")
+
+
+def bins(stream: DataFrame, late: str = "10 minutes", minutes: int = 5) -> DataFrame:
+    """MT sum and Pn variance for each fly and bin; no variance is 0."""
+    of = lambda kind: F.when(F.col("reading_type") == kind, F.col("value"))
+    got = stream.withWatermark("datetime", late).groupBy("fly_id", F.window("datetime", f"{minutes} minutes").alias("w"))
+    return got.agg(F.sum(of("MT")).alias("mt_sum"), F.coalesce(F.var_samp(of("Pn")), F.lit(0.0)).alias("pn_var")).select("fly_id", F.col("w.start").alias("bin_start"), "mt_sum", "pn_var")
+
+
+def trailing_day(stream: DataFrame, late: str = "1 hour", hour: int = 9) -> DataFrame:
+    """Sum of value over each day that runs from ``hour`` to ``hour``."""
+    w = F.window("datetime", "24 hours", "24 hours", f"{hour} hours").alias("w")
+    return stream.withWatermark("datetime", late).groupBy("fly_id", w).agg(F.sum("value").alias("total")).select("fly_id", F.col("w.end").alias("day_end"), "total")
+
+
+def gap_bouts(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Bouts of events at most ``gap`` apart."""
+    got = stream.withWatermark("datetime", late).groupBy("fly_id", F.session_window("datetime", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return got.select("fly_id", F.col("w.start").alias("start"), F.col("w.end").alias("closed"), "n")
