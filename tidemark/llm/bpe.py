@@ -104,7 +104,7 @@ class WordBpe:
         return [o[o >= 0] for o in out]
 
     def split(self, text: str) -> list[str]:
-        """Words of a text; an added token stands as itself and starts with a NUL to tell it from a word."""
+        """Words of a text; an added token stands as itself behind a blank, which no word holds."""
         if self._compiled is None:
             names = sorted(self.added, key=len, reverse=True)
             self._compiled = regex.compile(self.pattern), regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -113,7 +113,7 @@ class WordBpe:
             return words.findall(self._normal(text))
         out: list[str] = []
         for i, part in enumerate(added.split(text)):
-            out += ["\0" + part] if i % 2 else words.findall(self._normal(part))
+            out += [" " + part] if i % 2 else words.findall(self._normal(part))
         return out
 
     @staticmethod
@@ -130,7 +130,7 @@ class WordBpe:
         new = [w for w in words if w not in self._ids]
         if len(self._ids) + len(new) > CACHE_WORDS:
             self._ids, self._texts, new = {}, {}, list(words)
-        plain = [w for w in new if w[0] != "\0"]
+        plain = [w for w in new if w[0] != " "]
         found = dict(zip(plain, self.encode_words(plain), strict=True))
         for w in new:
             ids = found[w] if w in found else np.array([self.added[w[1:]]])
