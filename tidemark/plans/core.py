@@ -151,7 +151,7 @@ HEALTH = DENSE + f""",
 
 
 def rnd(names: list[str], digits: int = 4) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in names)
+    return ", ".join(f"round(({c})::DOUBLE, {digits}) AS {c}" for c in names)
 
 
 def _problem(spark: SparkSession, d: str) -> DataFrame:
