@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bound_batches
+
 #: Words kept encoded by a Python worker, and characters of text that are encoded at once.
-CACHE_WORDS, CHUNK_CHARS = 150_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS = 150_000, 1_000_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -157,6 +159,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
 
     The tokenizer file is read on the driver, and broadcast: its size is fixed.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(path))
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     fields += [("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())] if ids else []

@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Most rows and bytes of an Arrow batch that goes to Python: texts are long, and a worker holds some batches at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the bounds above; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 class Scratch:
     """Written intermediate results of one call of an operator.
 
@@ -34,6 +46,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
         self.count = 0
@@ -66,6 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     The sample is the ``bound`` smallest hashes of doc_id, so it is the same on every run. Labels other than 0 and 1,
     null ids and ids with contradicting labels are left out. The ids are broadcast: ``bound`` rows of 12 bytes.
     """
+    bound_batches(docs.sparkSession)
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))

@@ -36,7 +36,8 @@ COVER, COSINE, FAINT, SHARE, COPY, PARAPHRASE, ANSWER = 0.35, 0.45, 0.15, 0.6, 0
 #: Characters of benchmark text that are searched for at once.
 ITEM_CHARS = 4_000_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?]+\s")
-_CHUNK = 200_000
+#: Words and passages that are worked on at once, which bounds a task's memory.
+_CHUNK, _PASSAGES = 40_000, 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -106,8 +107,8 @@ def word_ids(docs: DataFrame, items: Items) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocab.value.get
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some, out = batch.slice(at, 512), []
+            for at in range(0, batch.num_rows, 128):
+                some, out = batch.slice(at, 128), []
                 for text in some.column(2).to_pylist():
                     out.append(np.array([get(w, 0) for w in words_of(text)], kind).tobytes())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "ids"])
@@ -246,13 +247,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
     schema = "doc_id long, text_hash long, item_id long, verdict string, lcs_share double, answer_share double, cosine double"
     chars = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks, found = max(1, -(-chars // ITEM_CHARS)), spark.createDataFrame([], schema)
+    blocks, found = max(1, -(-chars // ITEM_CHARS)), None
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
         items = Items([(r[0], r[1]) for r in rows])
         if items.ids:
-            found = found.unionByName(_search(docs, items, scratch, schema))
-    return found
+            one = _search(docs, items, scratch, schema)
+            found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> DataFrame:
@@ -284,9 +286,9 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
             heavy = square[ids] > 0
             known, block = ids[heavy], at[heavy]
             best: dict[tuple[int, int], tuple] = {}
-            for lo in range(0, len(owner), 16384):
+            for lo in range(0, len(owner), _PASSAGES):
                 # blocks lo..hi and the one behind, for the passage that reaches into it
-                hi = min(lo + 16384, len(owner))
+                hi = min(lo + _PASSAGES, len(owner))
                 a, z = np.searchsorted(block, [lo, hi + 1])
                 x, energy = np.zeros((hi + 1 - lo, space.shape[1]), np.float32), np.zeros(hi + 1 - lo, np.float32)
                 for c in range(a, z, _CHUNK):
