@@ -46,11 +46,11 @@ def test_encode_documents(spark, odd, none):
     assert all(r.decoded == r.again for r in back)
 
 
-def test_piece_encoder_is_the_library():
+def test_whole_texts_are_encoded():
     lib = tokenizers.Tokenizer.from_file(BYTE)
     with open(BYTE, encoding="utf-8") as f:
-        mine = tokenfile.PieceEncoder(f.read())
-    for text, raw in zip(TEXTS, mine.encode(TEXTS), strict=True):
+        mine = tokenfile.encode_texts(tokenfile.open_tokenizer(f.read()), TEXTS)
+    for text, raw in zip(TEXTS, mine, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 

@@ -14,10 +14,10 @@ text and then text. Extra columns are ignored. No rows: an empty file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,77 +29,26 @@ from tidemark.llm.common import Scratch
 
 MAGIC = b"TMRP0001"
 #: Ids after which a shard is closed, rounds of replacement, and pairs with fewer places that are left alone.
-SHARD_IDS, ROUNDS, LEAST = 1 << 20, 6, 24
-CACHE_WORDS = 400_000
+SHARD_IDS, ROUNDS, LEAST = 1 << 19, 5, 24
 
 
-class PieceEncoder:
-    """The tokenizers library with a table of words it has already encoded.
+_OPEN: dict[int, object] = {}
 
-    The pattern of byte-level files always cuts before a lone blank and around a lone newline between other characters, and
-    between a letter and a full stop or comma that ends a word, so such pieces are encoded apart, each distinct piece once.
-    Texts with other runs of white space, or with an added token in them, go to the library whole.
-    """
 
-    def __init__(self, spec: str):
+def open_tokenizer(spec: str):
+    """A Python worker's tokenizer of this file, which tasks that follow one another share. It keeps to the task's core."""
+    if hash(spec) not in _OPEN:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(spec)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.newline, *self.marks = self._encode(["\n", ".", ","])
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = [0, *accumulate(4 * len(f) for f in found)]
-        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Words between blanks; the first word of a line starts with a newline, that of the text with two."""
-        out: list[str] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            words[0] = ("\n" if out else "\n\n") + words[0]
-            out += words
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces that aren't known. None stands for a piece at which the text can't be cut."""
-        stems: dict[str, str] = {}
-        for p in pieces:
-            word = p.lstrip("\n")
-            if not word or word[0].isspace() or word[-1].isspace():
-                self.known[p] = None
-            else:
-                stems[p] = (" " if p[0] != "\n" else "") + (word[:-1] if word[-1] in ".," and word[-2:-1].isalpha() else word)
-        todo = list({*stems.values()}.difference(self.stems))
-        self.stems.update(zip(todo, self._encode(todo), strict=True))
-        for p, stem in stems.items():
-            ids = self.stems[stem]
-            if p[-1] in ".," and p[-2:-1].isalpha():
-                ids += self.marks[p[-1] == ","]
-            self.known[p] = self.newline + ids if p[0] == "\n" and p[1:2] != "\n" else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = set().union(*cut)
-        self.stems: dict[str, bytes] = {}
-        self._learn(new)
-        out: list[bytes | None] = []
-        for text, pieces in zip(texts, cut, strict=True):
-            try:
-                out.append(None if any(a in text for a in self.added) else b"".join(map(self.known.__getitem__, pieces)))
-            except TypeError:
-                out.append(None)
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        _OPEN.clear()
+        _OPEN[hash(spec)] = Tokenizer.from_str(spec)
+    return _OPEN[hash(spec)]
+
+
+def encode_texts(tokenizer, texts: list[str]) -> list[bytes]:
+    """The ids of each whole text as little-endian unsigned 32-bit integers."""
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +69,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         key = (sym[:-1] << 20) | sym[1:]
         key[close[:-1]] = -1
         # buckets that are too light hold no frequent pair; the rest is counted exactly
-        bucket = (key * 0x9E3779B1 >> 11) & 0x3FFFFF
-        heavy = (np.bincount(bucket, minlength=1 << 22)[bucket] >= least) & (key >= 0)
+        bucket = (key * 0x9E3779B1 >> 11) & 0xFFFFF
+        heavy = (np.bincount(bucket, minlength=1 << 20)[bucket] >= least) & (key >= 0)
         names, counts = np.unique(key[heavy], return_counts=True)
         keep = counts >= least
         names, counts = names[keep], counts[keep]
@@ -262,8 +211,8 @@ def shard_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(spec.value)
-        first = encoder.tok.get_vocab_size(with_added_tokens=True)
+        tokenizer = open_tokenizer(spec.value)
+        first = tokenizer.get_vocab_size(with_added_tokens=True)
         part, shard, done = TaskContext.get().partitionId(), 0, 0
         end, names, held, size = np.array([end_id], "<u4").tobytes(), [], [], 0
 
@@ -276,9 +225,9 @@ def shard_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for d, raw in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                for d, raw in zip(some.column(0).to_pylist(), encode_texts(tokenizer, [t or "" for t in some.column(1).to_pylist()]), strict=True):
                     names.append(d)
                     held.append(raw + end)
                     size += len(raw) // 4 + 1
