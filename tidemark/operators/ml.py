@@ -305,3 +305,33 @@ def umap(points: DataFrame, key: str, vector: str, **settings) -> DataFrame:
     ids, x = _gather(points, key, vector)
     y = umap_layout(x, **settings)
     return points.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, y, strict=True)], f"{key} long, umap1 double, umap2 double")
+
+
+def rand_index(a: np.ndarray, b: np.ndarray) -> float:
+    """Adjusted Rand index of two labellings; 1 where both put all rows in one cluster."""
+    _, i = np.unique(a, return_inverse=True)
+    _, j = np.unique(b, return_inverse=True)
+    if not len(i):
+        return float("nan")
+    n = np.bincount(i * (j.max() + 1) + j)
+    two = lambda c: float((c * (c - 1) / 2).sum())
+    ra, rb, total = two(np.bincount(i)), two(np.bincount(j)), len(i) * (len(i) - 1) / 2
+    expected = ra * rb / max(total, 1)
+    top = (ra + rb) / 2 - expected
+    return 1.0 if top == 0 else (two(n) - expected) / top
+
+
+def stability_grid(points: DataFrame, key: str, vector: str, label: str, sizes=(5, 10, 15, 20), samples=(1, 3, 5), base=(10, 3)) -> DataFrame:
+    """(min_size, min_samples, n_clusters, n_noise, ari_label, ari_base) for each setting of HDBSCAN, over rows that aren't noise."""
+    got = points.select(key, vector, label).where(F.col(vector).isNotNull()).limit(MOST_ROWS + 1).toPandas().sort_values(key)
+    if len(got) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows")
+    x, truth = np.stack([np.asarray(v, float) for v in got[vector]]), got[label].to_numpy()
+    ref, rows = hdbscan_labels(x, *base)[0], []
+    for size in sizes:
+        for few in samples:
+            c = hdbscan_labels(x, size, few)[0]
+            own, both = c >= 0, (c >= 0) & (ref >= 0)
+            ari = [rand_index(c[m], t[m]) if m.any() else None for m, t in ((own, truth), (both, ref))]
+            rows.append((size, few, len({*c[own]}), int((~own).sum()), *ari))
+    return points.sparkSession.createDataFrame(rows, "min_size int, min_samples int, n_clusters int, n_noise int, ari_label double, ari_base double")

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered() -> dict:
     """name -> (query, DuckDB SQL or None)."""
-    from tidemark.plans import core, statistics, tables
+    from tidemark.plans import core, small, statistics, tables
 
-    return {**core.QUERIES, **statistics.QUERIES, **tables.QUERIES}
+    return {**core.QUERIES, **statistics.QUERIES, **tables.QUERIES, **small.QUERIES}
