@@ -6,9 +6,11 @@ They run on result tables (a row for each feature or pair), never on readings.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,21 +157,18 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(p for p in ps if p <= seen * (1 + 1e-7)))
 
 
-def _udf(f):
-    """A scalar function of numbers as a pandas UDF; a missing argument gives null."""
+def _column(f: Callable[..., float]) -> Callable[..., Column]:
+    """A scalar function of numbers as a function of columns; a missing argument gives null."""
 
-    def call(*columns: pd.Series) -> pd.Series:
-        rows = zip(*[c.tolist() for c in columns], strict=True)
-        return pd.Series([None if any(v is None or v != v for v in r) else f(*r) for r in rows], dtype="Float64")
+    @F.pandas_udf(T.DoubleType())
+    def call(rows: pd.DataFrame) -> pd.Series:
+        found = [None if any(v is None or v != v for v in r) else f(*r) for r in rows.itertuples(index=False, name=None)]
+        return pd.Series(found, dtype="Float64")
 
-    names = ", ".join(f"a{i}" for i in range(f.__code__.co_argcount))
-    space: dict = {"call": call, "pd": pd}
-    typed = ", ".join(f"a{i}: pd.Series" for i in range(f.__code__.co_argcount))
-    exec(f"def named({typed}) -> pd.Series:\n    return call({names})", space)  # a UDF needs as many typed parameters as f has
-    return F.pandas_udf(space["named"], T.DoubleType())
+    return lambda *columns: call(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"a{i}") for i, c in enumerate(columns)]))
 
 
-f_p, chi2_p, normal_p, fisher_p, tukey_p = (_udf(f) for f in (f_tail, chi2_tail, normal_two_sided, fisher_exact, studentized_range_tail))
+f_p, chi2_p, normal_p, fisher_p, tukey_p = (_column(f) for f in (f_tail, chi2_tail, normal_two_sided, fisher_exact, studentized_range_tail))
 
 
 @F.pandas_udf(T.DoubleType())
