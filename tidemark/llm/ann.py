@@ -69,8 +69,8 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[b][codes[:, b]] for b in range(len(books)))
 
 
-def fit_books(x: np.ndarray, m: int = BOOKS, k: int = WORDS, refits: int = 1, seed: int = 7) -> np.ndarray:
-    """Codebooks (m, k, dimension): k-means of residuals, then beam codes and least squares over all books in turn."""
+def fit_books(x: np.ndarray, m: int = BOOKS, k: int = WORDS, refits: int = 1, sweeps: int = 6, seed: int = 7) -> np.ndarray:
+    """Codebooks (m, k, dimension): k-means of residuals, then beam codes and least squares by sweeps over the books."""
     rng, left, books = np.random.default_rng(seed), x.astype(np.float32), []
     for _ in range(m):
         c = _kmeans(left, k, rng)
@@ -79,14 +79,16 @@ def fit_books(x: np.ndarray, m: int = BOOKS, k: int = WORDS, refits: int = 1, se
         books.append(c)
     books = np.stack(books)
     for _ in range(refits):
-        codes = beam_codes(x, books).astype(np.int64) + np.arange(m) * k
-        gram, right = np.zeros((m * k, m * k), np.float64), np.zeros((m * k, x.shape[1]))
-        for a in range(m):
-            np.add.at(right, codes[:, a], x)
-            for b in range(m):
-                np.add.at(gram, (codes[:, a], codes[:, b]), 1)
-        solved = np.linalg.solve(gram + 1e-2 * np.eye(m * k), right)
-        books = solved.reshape(m, k, -1).astype(np.float32)
+        codes = beam_codes(x, books)
+        left = x - decode(codes, books)
+        for _ in range(sweeps):
+            for b in range(m):  # the best book b, the others held: means of what they leave
+                n = np.bincount(codes[:, b], minlength=k)
+                order, full = np.argsort(codes[:, b], kind="stable"), n > 0
+                step = np.zeros_like(books[b])
+                step[full] = np.add.reduceat(left[order], (np.cumsum(n) - n)[full], axis=0) / n[full][:, None]
+                books[b] += step
+                left -= step[codes[:, b]]
     return books
 
 
