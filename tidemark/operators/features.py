@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
@@ -21,13 +21,17 @@ def feature_table(bins: DataFrame, bin_minutes: float = 1, threshold: float = 5,
     return left.join(right, FLY)
 
 
-def problem_flies(features: DataFrame, with_doze: bool = False) -> DataFrame:
-    """Flies without sleep or bouts (null or 0), or on request without P_doze."""
+def is_problem(with_doze: bool = False) -> Column:
+    """Whether a fly has no sleep or no bouts (null or 0), or on request no P_doze."""
     names = ["total_sleep_mean", "total_bouts_mean"] + (["p_doze_mean"] if with_doze else [])
     bad = F.lit(False)
     for n in names:
-        bad = bad | F.coalesce(F.col(n), F.lit(0.0)).eqNullSafe(F.lit(0.0))
-    return features.where(bad)
+        bad = bad | (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) == 0)
+    return bad
+
+
+def problem_flies(features: DataFrame, with_doze: bool = False) -> DataFrame:
+    return features.where(is_problem(with_doze))
 
 
 def iqr_bounds(features: DataFrame, column: str = "total_sleep_mean", multiplier: float = 1.5) -> DataFrame:
@@ -38,10 +42,13 @@ def iqr_bounds(features: DataFrame, column: str = "total_sleep_mean", multiplier
 
 
 def with_outlier(features: DataFrame, column: str = "total_sleep_mean", multiplier: float = 1.5) -> DataFrame:
-    """Features with is_outlier; missing values are no outliers. Bounds are one row for each group."""
-    joined = features.join(iqr_bounds(features, column, multiplier).select(*META, "lower", "upper"), META, "left")
-    out = (F.col(column) < F.col("lower")) | (F.col(column) > F.col("upper"))
-    return joined.withColumn("is_outlier", F.coalesce(out, F.lit(False)))
+    """Features with is_outlier; missing values are no outliers. Quartiles are windows, so features are computed once."""
+    w = Window.partitionBy(*META)
+    q1, q3 = (F.percentile(column, F.lit(p)).over(w) for p in (0.25, 0.75))
+    df = features.withColumn("_q1", q1).withColumn("_q3", q3)
+    reach = multiplier * (F.col("_q3") - F.col("_q1"))
+    out = (F.col(column) < F.col("_q1") - reach) | (F.col(column) > F.col("_q3") + reach)
+    return df.withColumn("is_outlier", F.coalesce(out, F.lit(False))).drop("_q1", "_q3")
 
 
 def outlier_summary(features: DataFrame, **options) -> DataFrame:
@@ -51,9 +58,8 @@ def outlier_summary(features: DataFrame, **options) -> DataFrame:
 
 def impute(features: DataFrame, columns: list[str] = IMPUTED) -> DataFrame:
     """Missing values become the mean of their (genotype, sex, treatment); a group without values stays missing."""
-    means = features.groupBy(*META).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    filled = features.join(means, META, "left")
-    return filled.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    w = Window.partitionBy(*META)
+    return features.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(w)) for c in columns})
 
 
 def z_scores(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -76,8 +82,8 @@ def diagnostics(features: DataFrame) -> DataFrame:
 
 def clean(features: DataFrame, multiplier: float = 1.5, with_doze: bool = False) -> DataFrame:
     """Without problem flies and outliers, and imputed."""
-    good = features.join(problem_flies(features, with_doze).select("fly_id"), "fly_id", "left_anti")
-    return impute(with_outlier(good, multiplier=multiplier).where(~F.col("is_outlier")).drop("is_outlier", "lower", "upper"), [c for c in IMPUTED if c in good.columns])
+    kept = with_outlier(features.where(~is_problem(with_doze)), multiplier=multiplier).where(~F.col("is_outlier"))
+    return impute(kept.drop("is_outlier"), [c for c in IMPUTED if c in kept.columns])
 
 
 def removal_stage(flies: list[str], days: dict[str, list[int]], genotypes: list[str], sexes: list[str], treatments: list[str], statuses: list[str]) -> Column:

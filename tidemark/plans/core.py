@@ -159,8 +159,7 @@ def _problem(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d)
-    return f.join(features.problem_flies(f).select("fly_id"), "fly_id", "left_anti")
+    return table(spark, d).where(~features.is_problem())
 
 
 def _removal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
