@@ -192,7 +192,7 @@ QUERIES = {
     "sta1_cosinor": (lambda s, d: rounded(rhythm.cosinor(hourly(s, d)).select("fly_id", "exp_day", "mesor", "amplitude", "phase", "p_value"), 6), f"WITH {HOURLY} {COSINOR} SELECT fly_id, exp_day::BIGINT AS exp_day, {rnd(['mesor', 'amplitude', 'phase', 'p_value'], 6)} FROM cosinor"),
     "sta3_onset_offset": (lambda s, d: rounded(rhythm.onset_offset(hourly(s, d)).select("fly_id", "exp_day", "onset_zt", "offset_zt")), f"WITH {HOURLY} {ONSET} SELECT fly_id, exp_day::BIGINT AS exp_day, onset_zt::BIGINT AS onset_zt, offset_zt::BIGINT AS offset_zt FROM onset"),
     "sta4_interdaily_stability": (lambda s, d: rounded(rhythm.interdaily_stability(hourly(s, d)).select("fly_id", "interdaily_stability"), 6), f"WITH {HOURLY} {STABILITY} SELECT fly_id, {rnd(['interdaily_stability'], 6)} FROM stab"),
-    "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d), with_periodogram=False), 6), f"WITH {HOURLY} {RHYTHM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES, 6)} FROM rhythm"),
+    "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d), with_periodogram=False), 7), f"WITH {HOURLY} {RHYTHM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES, 7)} FROM rhythm"),
     "sta2_periodogram": (lambda s, d: rounded(rhythm.periodogram(hourly(s, d)).select("fly_id", "exp_day", "periodogram_period", "periodogram_power")), None),
     "win1_run_lengths": (lambda s, d: rounded(run_lengths(adapter.dense(s, d), ["fly_id", "exp_day"], "datetime", F.col("n") == 0).withColumnRenamed("flag", "zero")), f"WITH {HOURLY} {RUNS} SELECT fly_id, exp_day::BIGINT AS exp_day, run_id::BIGINT AS run_id, zero, count(*) AS length, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start FROM rn GROUP BY fly_id, exp_day, run_id, zero"),
     "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(adapter.dense(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, missing_frac FROM dm"),
@@ -205,8 +205,8 @@ QUERIES = {
     "flt8_unusable_flies": (lambda s, d: rounded(health.without_usable_readings(adapter.readings(s, d))), f"SELECT fly_id, monitor, channel::BIGINT AS channel, round(max(value) FILTER (event_type = 'view'), 4) AS max_mt, round(max(value) FILTER (event_type NOT IN ('view', 'click')), 4) AS max_pn FROM (SELECT {FLY_SQL}, value, event_type FROM events) GROUP BY ALL HAVING coalesce(max_mt, 0) <= 0 OR coalesce(max_pn, 0) <= 0"),
     "win5_sleep_bouts": (lambda s, d: rounded(sleep.sleep_bouts(adapter.dense(s, d), BIN, THRESHOLD).select("fly_id", "exp_day", "start", "minutes", "is_day")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, minutes, is_day FROM bouts"),
     "win6_sleep_daily": (lambda s, d: rounded(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD).drop("monitor", "channel", "genotype", "sex", "treatment")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, total_bouts, day_bouts, night_bouts, {rnd([c for c in SLEEP_NAMES if c not in ('total_bouts', 'day_bouts', 'night_bouts')])} FROM daily"),
-    "agg7_sleep_features": (lambda s, d: rounded(sleep.sleep_features(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD)), 6), f"WITH {HOURLY} {SLEEP} SELECT {CH}, {', '.join(f'round(avg({c}), 6) AS {c}_mean' for c in SLEEP_NAMES)}, count(*) AS n_days FROM daily GROUP BY {FL}"),
-    "join10_feature_table": (lambda s, d: rounded(table(s, d), 6), f"WITH {FEATURES} SELECT {CH}, rhythmic_days, n_days, {rnd(ALL_NAMES, 6)} FROM feat"),
+    "agg7_sleep_features": (lambda s, d: rounded(sleep.sleep_features(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD)), 7), f"WITH {HOURLY} {SLEEP} SELECT {CH}, {', '.join(f'round(avg({c}), 7) AS {c}_mean' for c in SLEEP_NAMES)}, count(*) AS n_days FROM daily GROUP BY {FL}"),
+    "join10_feature_table": (lambda s, d: rounded(table(s, d), 7), f"WITH {FEATURES} SELECT {CH}, rhythmic_days, n_days, {rnd(ALL_NAMES, 7)} FROM feat"),
     "flt9_problem_flies": (_problem, f"WITH {FEATURES} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean FROM feat WHERE coalesce(total_sleep_mean, 0) = 0 OR coalesce(total_bouts_mean, 0) = 0"),
     "agg8_iqr_bounds": (lambda s, d: rounded(features.iqr_bounds(_kept(s, d))), f"WITH {GOOD} SELECT genotype, sex, treatment, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM bounds"),
     "flt10_iqr_outliers": (lambda s, d: rounded(features.with_outlier(_kept(s, d)).select("fly_id", "total_sleep_mean", "is_outlier")), f"WITH {GOOD} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean, is_outlier FROM flagged"),

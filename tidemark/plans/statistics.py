@@ -72,7 +72,7 @@ QUERIES = {
     "sta16_cliffs_delta": (lambda s, d: rounded(stats.cliffs_delta(long(s, d), "genotype")), f"WITH {LONG} SELECT x.feature, x.genotype AS g1, y.genotype AS g2, round(avg(sign(x.value - y.value)), 4) AS delta, CASE WHEN abs(avg(sign(x.value - y.value))) < 0.147 THEN 'negligible' WHEN abs(avg(sign(x.value - y.value))) < 0.33 THEN 'small' WHEN abs(avg(sign(x.value - y.value))) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM lng x JOIN lng y ON x.feature = y.feature AND x.genotype < y.genotype GROUP BY ALL"),
     "sta17_cohens_d": (lambda s, d: rounded(stats.cohens_d(long(s, d), "genotype")), f"WITH {LONG}, g AS (SELECT DISTINCT genotype FROM lng), m AS (SELECT l.feature, g.genotype, count(*) FILTER (l.genotype = g.genotype) AS n1, count(*) FILTER (l.genotype <> g.genotype) AS n2, avg(value) FILTER (l.genotype = g.genotype) AS m1, avg(value) FILTER (l.genotype <> g.genotype) AS m2, var_samp(value) FILTER (l.genotype = g.genotype) AS v1, var_samp(value) FILTER (l.genotype <> g.genotype) AS v2 FROM lng l, g GROUP BY ALL) SELECT feature, genotype, round(CASE WHEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) < 1e-12 THEN 0 ELSE (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) END, 4) AS d FROM m WHERE n1 >= 2 AND n2 >= 2"),
     "agg17_group_medians": (lambda s, d: rounded(stats.medians(long(s, d), "genotype")), f"WITH {LONG} SELECT genotype, feature, round(median(value), 4) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, count(*) AS n FROM lng GROUP BY ALL"),
-    "agg18_signature": (lambda s, d: rounded(_kept(s, d).groupBy("genotype").agg(*[F.avg(c).alias(c) for c in ALL_NAMES]), 6), f"WITH {GOOD} SELECT genotype, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ALL_NAMES)} FROM kept GROUP BY genotype"),
+    "agg18_signature": (lambda s, d: rounded(_kept(s, d).groupBy("genotype").agg(*[F.avg(c).alias(c) for c in ALL_NAMES]), 7), f"WITH {GOOD} SELECT genotype, {', '.join(f'round(avg({c}), 7) AS {c}' for c in ALL_NAMES)} FROM kept GROUP BY genotype"),
     "srt4_top_effects": (lambda s, d: rounded(cluster.top_k(stats.cohens_d(long(s, d), "genotype"), ["genotype"], F.abs("d"), 5, "feature")), None),
     "sta18_davies_calinski": (lambda s, d: rounded(cluster.centroid_scores(cluster.components_long(embedded(s, d), "vec_id", "label", "embedding")), 4), f"WITH {EMB}, w AS (SELECT label, vec_id, sqrt(sum((x - c) * (x - c))) AS dist, sum((x - c) * (x - c)) AS sq FROM v JOIN ce USING (label, j) GROUP BY ALL), s AS (SELECT label, avg(dist) AS s, sum(sq) AS ssw FROM w GROUP BY label), m AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM ce a JOIN ce b ON a.j = b.j AND a.label <> b.label GROUP BY ALL), r AS (SELECT la, max((x.s + y.s) / m) AS r FROM m JOIN s x ON la = x.label JOIN s y ON lb = y.label GROUP BY la), bs AS (SELECT sum(n * (c - g) * (c - g)) AS ssb FROM ce JOIN gr USING (j) JOIN sz USING (label)) SELECT (SELECT count(*) FROM sz) AS n_clusters, round((SELECT avg(r) FROM r), 4) AS davies_bouldin, round((SELECT ssb FROM bs) / ((SELECT count(*) FROM sz) - 1) / ((SELECT sum(ssw) FROM s) / ((SELECT sum(n) FROM sz) - (SELECT count(*) FROM sz))), 4) AS calinski_harabasz"),
     "sta18_silhouette": (lambda s, d: rounded(cluster.silhouette(embedded(s, d), "vec_id", "label", "embedding"), 4), "WITH p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL), x AS (SELECT vec_id, la, max(s / n) FILTER (la = lb) AS a, min(s / n) FILTER (la <> lb) AS b FROM p GROUP BY ALL) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM x"),
