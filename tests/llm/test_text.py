@@ -131,6 +131,19 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(docs, known.where("false")).where("license_id is not null").count() == 0
 
 
+def test_licenses_by_file_and_title(spark):
+    texts, rest = licenses.TEXTS, licenses.TEXTS["MIT (without title)"]
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+    rows = [(n, texts[n].replace("\n", "\r\n\t").upper()) for n in names]
+    rows += [("Apache-2.0 (without appendix)", texts["Apache-2.0"].split("APPENDIX")[0])]
+    rows += [("MIT (The MIT License (MIT))", f"The MIT License (MIT)\n\nCopyright (c) 2019 A. Body\n\n{rest}")]
+    rows += [("BSD-3-Clause (BSD 3-Clause License)", f"BSD 3-Clause License\n\nCopyright (c) 2020, B\nAll rights reserved.\n\n{texts['BSD-3-Clause']}")]
+    rows += [("ISC (without title)", "Copyright (c) 2021 C\n\n" + texts["ISC"].removeprefix("ISC License\n\n")), ("none", texts["GPL-3.0"][:-400])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[i] or "none" for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def lcs_slow(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
