@@ -97,13 +97,13 @@ def _labelled(points: DataFrame) -> DataFrame:
 
 def forest_report(points: DataFrame) -> DataFrame:
     rows = _labelled(points)
-    model = fit_forest(rows.where("part = 'train'"), trees=30, depth=8)
+    model = fit_forest(rows.where("part = 'train'"))
     return metrics(model.transform(rows.where("part = 'test'")))
 
 
 def forest_importance(points: DataFrame) -> DataFrame:
     """(feature, importance, rank) of a forest, largest first."""
-    model = fit_forest(_labelled(points).where("part = 'train'"), trees=30, depth=8)
+    model = fit_forest(_labelled(points).where("part = 'train'"))
     got = sorted(enumerate(model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
     return points.sparkSession.createDataFrame([(f"x{i}", v, r + 1) for r, (i, v) in enumerate(got)], "feature string, importance double, rank int")
 
@@ -137,7 +137,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, label: str = "label", depths=(
 
 def boosted_report(points: DataFrame) -> DataFrame:
     rows = _labelled(points).withColumn("label", (F.col("label") < 5).cast("double"))
-    model = fit_boosted(rows.where("part = 'train'"), rows.where("part = 'val'"), depths=(3,), rates=(0.1,), rounds=10)
+    model = fit_boosted(rows.where("part = 'train'"), rows.where("part = 'val'"))
     return metrics(model.transform(rows.where("part = 'test'")))
 
 

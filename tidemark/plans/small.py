@@ -50,12 +50,12 @@ def _near_death(s: SparkSession, d: str) -> DataFrame:
 
 def _confusion(s: SparkSession, d: str) -> DataFrame:
     rows = ml._labelled(_points(s, d))
-    return ml.confusion(ml.fit_forest(rows.where("part = 'train'"), trees=20, depth=6).transform(rows.where("part = 'test'")))
+    return ml.confusion(ml.fit_forest(rows.where("part = 'train'")).transform(rows.where("part = 'test'")))
 
 
 def _permuted(s: SparkSession, d: str) -> DataFrame:
     rows = ml._labelled(_points(s, d))
-    return rounded(ml.permutation_importance(ml.fit_forest(rows.where("part = 'train'"), trees=20, depth=6), rows.where("part = 'test'"), most=100))
+    return rounded(ml.permutation_importance(ml.fit_forest(rows.where("part = 'train'")), rows.where("part = 'test'")))
 
 
 VALUES = "(SELECT feature, round(avg(value), 4) AS m, round(stddev_samp(value), 4) AS sd FROM lng GROUP BY feature)"
@@ -89,7 +89,7 @@ QUERIES = {
     "join19_two_rankings": (_rankings, f"WITH {statistics.LONG}, v AS {VALUES}, a AS (SELECT row_number() OVER (ORDER BY m DESC, feature) AS rank, feature AS by_mean FROM v), b AS (SELECT row_number() OVER (ORDER BY sd DESC, feature) AS rank, feature AS by_deviation FROM v) SELECT rank, by_mean, by_deviation FROM a FULL JOIN b USING (rank)"),
     "sta20_stability_grid": (lambda s, d: rounded(ml.stability_grid(_points(s, d).orderBy("vec_id"), "vec_id", "embedding", "label")), None),
     "sta21_density_grid": (lambda s, d: rounded(cluster.density_grid(_points(s, d).select(F.get("embedding", 0).alias("x"), F.get("embedding", 1).alias("y")), "x", "y"), 6), None),
-    "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding", epochs=50)), None),
+    "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding")), None),
     "ml7_confusion": (_confusion, None),
     "ml11_permutation_importance": (_permuted, None),
     "ml12_near_death": (_near_death, None),
