@@ -26,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Most rows and bytes of an Arrow batch that goes to Python: texts are long, and a worker holds some batches at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, unused
 
 BLOCK, RANK, OVERSAMPLE, STOP = 24, 64, 16, 0.02
 COVER, COSINE, FAINT, SHARE, COPY, PARAPHRASE, ANSWER = 0.35, 0.45, 0.15, 0.6, 0.6, 0.45, 0.8
@@ -336,5 +336,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark; all columns stay. Rows are matched by doc_id and text."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    hit = scratch.keep(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    key, text_key = unused(docs, "id", "hash")
+    hit = scratch.keep(find_leaks(docs, benchmark).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key)).distinct())
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, column, unused
 
 #: Marks the ends of matches; a text's own such characters are read as _OTHER, which no pattern matches either.
 _MARK, _OTHER = "\u0001", "\u0002"
@@ -167,7 +167,8 @@ def report(docs: DataFrame, **settings) -> DataFrame:
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; of overlapping spans the first by start stays. All
     columns stay as they are but text; rows are matched by doc_id and text."""
-    found = find_spans(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    key, text_key, every = unused(docs, "id", "hash", "spans")
+    found = find_spans(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key), F.col("spans").alias(every))
     names, text = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")]), F.coalesce(F.col("text"), F.lit(""))
 
     def step(s: Column, x: Column) -> Column:
@@ -176,7 +177,7 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
         return F.struct(F.when(take, x["end"]).otherwise(s["at"]).alias("at"), F.when(take, grown).otherwise(s["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
-    return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    clean = F.aggregate(every, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(text_key)), "left")
+    new = F.when(F.col(every).isNull(), F.col("text")).otherwise(clean)
+    return joined.select(*[new.alias("text") if c == "text" else column(c) for c in docs.columns])

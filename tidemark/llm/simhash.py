@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, unused
 from tidemark.llm.components import component_labels
 
 SEED, BITS = 42, 64
@@ -254,8 +254,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, text: str
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
     """The first document of each group, by doc_id and then hash of text; of rows that repeat it, one. All columns stay."""
-    kept = _grouped(docs, width, budget, "text").where("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    key, text_key = unused(docs, "id", "hash")
+    kept = _grouped(docs, width, budget, "text").where("first").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_key))
     found = docs.join(kept, same, "left_semi")
-    repeats = found.groupBy("doc_id", F.xxhash64("text").alias("_h")).count().where("count > 1").limit(1).count()
+    repeats = found.groupBy("doc_id", F.xxhash64("text").alias(text_key)).agg(F.count(F.lit(1)).alias(key)).where(F.col(key) > 1).limit(1).count()
     return found.dropDuplicates(["doc_id", "text"]) if repeats else found
