@@ -51,9 +51,14 @@ def with_decline(daily: DataFrame, ref_day: int = REF_DAY, t: dict = THRESHOLDS)
     return daily.withColumn("ref_activity", ref).withColumn("rel_activity", rel).withColumn("decline_status", label)
 
 
-def with_status(daily: DataFrame, bin_minutes: int = 1, apply_decline: bool = False, t: dict = THRESHOLDS) -> DataFrame:
-    """Flags and status of each fly-day: the first rule that holds decides."""
-    dead_a2, dead_a1 = F.col("longest_zero") >= t["A2"] / bin_minutes, F.col("longest_zero") >= t["A1"] / bin_minutes
+def with_status(daily: DataFrame, bin_minutes: int = 1, apply_decline: bool = False, t: dict = THRESHOLDS, a_in_bins: bool = False) -> DataFrame:
+    """Flags and status of each fly-day: the first rule that holds decides.
+
+    Zero runs and thresholds are minutes. With ``a_in_bins`` A1 and A2 are first divided by the length of a bin, as pipelines do
+    that meant minute bins; the two agree there.
+    """
+    per = bin_minutes if a_in_bins else 1
+    dead_a2, dead_a1 = F.col("longest_zero") >= t["A2"] / per, F.col("longest_zero") >= t["A1"] / per
     low = (F.col("total_activity") <= t["activity_low"]) | (F.col("activity_index") <= t["index_low"])
     sleepy = (F.col("total_sleep") >= t["sleep_max"]) | (F.col("longest_zero") >= t["sleep_bout"])
     flags = {"flag_a2": dead_a2, "flag_a1": dead_a1, "flag_low_activity": low, "flag_sleep": sleepy, "flag_missing": F.col("missing_frac") > t["missing_max"]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, health, rhythm, sleep
 from tidemark.operators.runs import run_lengths
-from tidemark.schemas import FLY
+from tidemark.schemas import FLY, THRESHOLDS
 from tidemark.sources import adapter
 
 BIN, THRESHOLD = 60, 180
@@ -34,8 +34,22 @@ def table(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_table(adapter.dense(spark, d), BIN, THRESHOLD, with_periodogram=False)
 
 
+#: Users of the event table that make one fly where status counts: some nine events a day. Thresholds fit that rate.
+USERS, STATUS = 4, THRESHOLDS | {"A1": 11 * 60, "A2": 15 * 60, "activity_low": 5, "sleep_bout": 10 * 60}
+
+
+def watched(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bins of flies of USERS users, missing where an error was read."""
+    return adapter.dense(spark, d, users=USERS, missing=True)
+
+
 def days(spark: SparkSession, d: str) -> DataFrame:
-    return health.fly_days(adapter.dense(spark, d), BIN)
+    return health.fly_days(watched(spark, d), BIN, t=STATUS)
+
+
+def status(spark: SparkSession, d: str, **options) -> DataFrame:
+    days = health.with_decline(health.daily_metrics(watched(spark, d), BIN))
+    return rounded(health.with_status(days, BIN, t=STATUS, **options).select("fly_id", "exp_day", "status", "missing_frac"))
 
 
 FLY_SQL = """
@@ -45,12 +59,19 @@ FLY_SQL = """
 TIME_SQL = """
     datetime::DATE AS date, floor((hour(datetime) + minute(datetime) / 60.0 - 9 + 24) % 24)::INTEGER AS zt,
     (datediff('day', DATE '2024-01-01', datetime::DATE) + 1)::INTEGER AS exp_day"""
-DENSE = f"""
-    raw AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS datetime, count(*) AS n, sum(value) AS value FROM events GROUP BY 1, 2),
-    grid AS (SELECT u.user_id, g.datetime FROM (SELECT DISTINCT user_id FROM events) u,
+
+
+def dense_sql(users: int = 1, missing: bool = False) -> str:
+    n = "CASE WHEN NOT bool_or(event_type = 'error') THEN count(*) END" if missing else "count(*)"
+    return f"""
+    raw AS (SELECT user_id // {users} AS user_id, time_bucket(INTERVAL 1 HOUR, ts) AS datetime, {n} AS n, sum(value) AS value, true AS seen FROM events GROUP BY 1, 2),
+    grid AS (SELECT u.user_id, g.datetime FROM (SELECT DISTINCT user_id // {users} AS user_id FROM events) u,
              (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS datetime) g),
-    dense AS (SELECT {FLY_SQL}, datetime, coalesce(n, 0) AS n, coalesce(value, 0) AS value, {TIME_SQL}
+    dense AS (SELECT {FLY_SQL}, datetime, CASE WHEN seen THEN n ELSE 0 END AS n, coalesce(value, 0) AS value, {TIME_SQL}
               FROM grid LEFT JOIN raw USING (user_id, datetime))"""
+
+
+DENSE = dense_sql()
 HOURLY = DENSE + """,
     used AS (SELECT * FROM dense),
     hourly AS (SELECT fly_id, monitor, channel, genotype, sex, treatment, exp_day, zt, sum(value) AS y FROM used GROUP BY ALL)"""
@@ -130,19 +151,19 @@ GOOD = FEATURES + """,
                      coalesce(waso_mean, avg(waso_mean) OVER g) AS waso_mean, coalesce(mesor_sd, avg(mesor_sd) OVER g) AS mesor_sd,
                      coalesce(amplitude_sd, avg(amplitude_sd) OVER g) AS amplitude_sd, coalesce(phase_sd, avg(phase_sd) OVER g) AS phase_sd)
               FROM flagged WHERE NOT is_outlier WINDOW g AS (PARTITION BY genotype, sex, treatment))"""
-HEALTH = DENSE + f""",
+HEALTH = dense_sql(USERS, True) + f""",
     used AS (SELECT *, abs(hour(datetime) - 9) <= 10 / 60.0 OR abs(hour(datetime) - 21) <= 10 / 60.0 AS edge FROM dense)""" + RUNS + f""",
-    runs AS (SELECT {D}, date, run_id, zero, count(*) AS len, sum(n) AS total, count(*) FILTER (n > 0) AS active, sum(CASE WHEN edge THEN n END) AS edge FROM rn GROUP BY ALL),
-    dm AS (SELECT {D}, date, sum(total)::BIGINT AS total_activity, sum(active) / sum(len)::DOUBLE AS activity_index,
+    runs AS (SELECT {D}, date, run_id, zero, count(*) AS len, sum(n) AS total, count(*) FILTER (n > 0) AS active, count(*) FILTER (n IS NULL) AS missing, sum(CASE WHEN edge THEN n END) AS edge FROM rn GROUP BY ALL),
+    dm AS (SELECT {D}, date, coalesce(sum(total), 0)::BIGINT AS total_activity, sum(active) / sum(len)::DOUBLE AS activity_index,
                   coalesce(max(CASE WHEN zero THEN len END), 0) * 60 AS longest_zero, coalesce(sum(CASE WHEN zero AND len >= 5 THEN len END), 0)::BIGINT * 60 AS total_sleep,
-                  0.0::DOUBLE AS missing_frac, coalesce(sum(edge), 0)::BIGINT AS transition_counts, coalesce(sum(edge), 0) = 0 AS no_startle FROM runs GROUP BY ALL),
+                  sum(missing) / sum(len)::DOUBLE AS missing_frac, coalesce(sum(edge), 0)::BIGINT AS transition_counts, coalesce(sum(edge), 0) = 0 AS no_startle FROM runs GROUP BY ALL),
     ref AS (SELECT *, max(CASE WHEN exp_day = 4 THEN total_activity END) OVER (PARTITION BY fly_id) AS ref_activity FROM dm),
     dec AS (SELECT *, total_activity / nullif(ref_activity, 0)::DOUBLE AS rel_activity FROM ref),
     dec2 AS (SELECT *, CASE WHEN ref_activity IS NULL THEN 'No Reference' WHEN rel_activity < 0.2 THEN 'Dead (by decline)'
                             WHEN rel_activity < 0.5 THEN 'Unhealthy (by decline)' ELSE 'Stable' END AS decline_status FROM dec),
-    st AS (SELECT *, CASE WHEN longest_zero >= 24 OR (longest_zero >= 12 AND no_startle) THEN 'Dead'
-                          WHEN (total_activity <= 50 OR activity_index <= 0.02 OR total_sleep >= 1300 OR longest_zero >= 720) AND no_startle THEN 'Unhealthy'
-                          ELSE 'Alive' END AS raw_status FROM dec2),
+    st AS (SELECT *, CASE WHEN longest_zero >= {STATUS["A2"]} OR (longest_zero >= {STATUS["A1"]} AND no_startle) THEN 'Dead'
+                          WHEN (total_activity <= 5 OR activity_index <= 0.02 OR total_sleep >= 1300 OR longest_zero >= 600) AND no_startle THEN 'Unhealthy'
+                          WHEN missing_frac > 0.1 THEN 'QC_Fail' ELSE 'Alive' END AS raw_status FROM dec2),
     fin AS (SELECT *, CASE WHEN max((raw_status = 'Dead')::INTEGER) OVER (PARTITION BY fly_id ORDER BY exp_day) = 1 THEN 'Dead' ELSE raw_status END AS status FROM st),
     report AS (SELECT {FL}, count(*) AS days_analyzed, count(*) FILTER (status = 'Alive') AS days_alive, count(*) FILTER (status = 'Unhealthy') AS days_unhealthy,
                       count(*) FILTER (status = 'Dead') AS days_dead, count(*) FILTER (status = 'QC_Fail') AS days_qc_fail,
@@ -164,11 +185,11 @@ def _kept(spark: SparkSession, d: str) -> DataFrame:
 
 def _removal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     report = health.health_report(days(spark, d))
-    return features.remove_flies(adapter.readings(spark, d), report, flies=["1-ch3"], days={"0-ch7": [1, 2]}, genotypes=["SSS"], treatments=["8mM Arg"], statuses=["Unhealthy"])
+    return features.remove_flies(adapter.readings(spark, d, USERS), report, flies=["1-ch3"], days={"0-ch7": [1, 2]}, genotypes=["SSS"], treatments=["8mM Arg"], statuses=["Unhealthy"])
 
 
 REMOVAL = HEALTH + f""",
-    e AS (SELECT {FLY_SQL}, event_id, ts AS datetime, {TIME_SQL.replace("datetime", "ts")}, value FROM events),
+    e AS (SELECT {FLY_SQL}, event_id, ts AS datetime, {TIME_SQL.replace("datetime", "ts")}, value FROM (SELECT * REPLACE (user_id // {USERS} AS user_id) FROM events)),
     tag AS (SELECT e.*, CASE WHEN lower(final_status) = 'unhealthy' THEN 'status' WHEN e.monitor || '-ch' || e.channel = '1-ch3' THEN 'fly'
                              WHEN e.monitor || '-ch' || e.channel = '0-ch7' AND exp_day IN (1, 2) THEN 'day' WHEN lower(e.genotype) = 'sss' THEN 'genotype'
                              WHEN lower(e.treatment) = '8mm arg' THEN 'treatment' END AS stage FROM e LEFT JOIN report r ON e.fly_id = r.fly_id)"""
@@ -195,10 +216,12 @@ QUERIES = {
     "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d), with_periodogram=False), 7), f"WITH {HOURLY} {RHYTHM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES, 7)} FROM rhythm"),
     "sta2_periodogram": (lambda s, d: rounded(rhythm.periodogram(hourly(s, d)).select("fly_id", "exp_day", "periodogram_period", "periodogram_power")), None),
     "win1_run_lengths": (lambda s, d: rounded(run_lengths(adapter.dense(s, d), ["fly_id", "exp_day"], "datetime", F.col("n") == 0).withColumnRenamed("flag", "zero")), f"WITH {HOURLY} {RUNS} SELECT fly_id, exp_day::BIGINT AS exp_day, run_id::BIGINT AS run_id, zero, count(*) AS length, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start FROM rn GROUP BY fly_id, exp_day, run_id, zero"),
-    "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(adapter.dense(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, missing_frac FROM dm"),
-    "agg3_startle": (lambda s, d: rounded(health.daily_metrics(adapter.dense(s, d), BIN).select("fly_id", "date", "transition_counts", "no_startle")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, transition_counts, no_startle FROM dm"),
+    "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, missing_frac FROM dm"),
+    "agg3_startle": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "transition_counts", "no_startle")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, transition_counts, no_startle FROM dm"),
     "sta5_decline": (lambda s, d: rounded(days(s, d).select("fly_id", "exp_day", "ref_activity", "rel_activity", "decline_status")), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, ref_activity, round(rel_activity, 4) AS rel_activity, decline_status FROM dec2"),
-    "sta6_status": (lambda s, d: rounded(health.with_status(health.with_decline(health.daily_metrics(adapter.dense(s, d), BIN)), BIN).select("fly_id", "exp_day", "status")), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, raw_status AS status FROM st"),
+    "sta6_status": (status, f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, raw_status AS status, round(missing_frac, 4) AS missing_frac FROM st"),
+    "sta6_status_a_in_bins": (lambda s, d: status(s, d, a_in_bins=True), f"WITH {HEALTH.replace(f'>= {STATUS["A2"]}', f'>= {STATUS["A2"] / BIN}').replace(f'>= {STATUS["A1"]}', f'>= {STATUS["A1"] / BIN}')} SELECT fly_id, exp_day::BIGINT AS exp_day, raw_status AS status, round(missing_frac, 4) AS missing_frac FROM st"),
+    "sta6_status_with_decline": (lambda s, d: status(s, d, apply_decline=True), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, CASE WHEN raw_status = 'Dead' OR decline_status = 'Dead (by decline)' THEN 'Dead' WHEN raw_status = 'Unhealthy' OR decline_status = 'Unhealthy (by decline)' THEN 'Unhealthy' ELSE raw_status END AS status, round(missing_frac, 4) AS missing_frac FROM st"),
     "win10_irreversible_death": (lambda s, d: rounded(days(s, d).select("fly_id", "exp_day", "status")), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, status FROM fin"),
     "agg4_health_report": (lambda s, d: rounded(health.health_report(days(s, d))), f"WITH {HEALTH} SELECT {CH}, {REPORT_NAMES} FROM report"),
     "snk6_last_day_metrics": (lambda s, d: rounded(health.last_day_metrics(days(s, d))), f"WITH {HEALTH} SELECT fly_id, max_by(total_activity, exp_day) AS total_activity, round(least(max_by(longest_zero, exp_day) / 60.0, 999.99), 4) AS longest_zero_hours, round(greatest(least(max_by(rel_activity, exp_day), 99.999), -99.999), 4) AS rel_activity, NOT max_by(no_startle, exp_day) AS has_startle FROM fin GROUP BY fly_id"),

@@ -44,7 +44,7 @@ def _rankings(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near_death(s: SparkSession, d: str) -> DataFrame:
-    rows = sliding.near_death(sliding.sliding_rows(adapter.dense(s, d), core.days(s, d), core.BIN, core.THRESHOLD), 2)
+    rows = sliding.near_death(sliding.sliding_rows(core.watched(s, d), core.days(s, d), core.BIN, core.THRESHOLD), 2)
     return rows.groupBy("status", "near_death").agg(F.count(F.lit(1)).alias("n"))
 
 

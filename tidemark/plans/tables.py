@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ml, sliding, states
 from tidemark.plans import core
-from tidemark.plans.core import DENSE, FLY_SQL, rounded
+from tidemark.plans.core import FLY_SQL, rounded
 from tidemark.sources import adapter, monitor, store
 
 
@@ -35,12 +35,12 @@ def _filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bins(spark: SparkSession, d: str) -> DataFrame:
-    """Hours as bins: events are movement, the sum of values the variance."""
-    return adapter.dense(spark, d).select("fly_id", "genotype", "sex", "treatment", F.col("datetime").alias("bin_start"), F.col("n").alias("mt_sum"), F.col("value").alias("pn_var"))
+    """Hours as bins: events are movement, the sum of values the variance. Some users make a fly, so that some flies live."""
+    return adapter.dense(spark, d, users=core.USERS).select("fly_id", "genotype", "sex", "treatment", F.col("datetime").alias("bin_start"), F.col("n").alias("mt_sum"), F.col("value").alias("pn_var"))
 
 
-DEATH, SHORT, ROLL, WARMUP = 14, 2, 48, 5
-BINS = DENSE + f""", bins AS (SELECT fly_id, genotype, sex, treatment, datetime AS bin_start, n AS mt_sum, value AS pn_var FROM dense),
+DEATH, SHORT, ROLL, WARMUP = 18, 2, 48, 5
+BINS = core.dense_sql(core.USERS) + f""", bins AS (SELECT fly_id, genotype, sex, treatment, datetime AS bin_start, n AS mt_sum, value AS pn_var FROM dense),
     s0 AS (SELECT *, mt_sum = 0 AND pn_var = 0 AS still FROM bins),
     s1 AS (SELECT *, CASE WHEN lag(still) OVER w IS DISTINCT FROM still THEN 1 ELSE 0 END AS o FROM s0 WINDOW w AS (PARTITION BY fly_id ORDER BY bin_start)),
     s2 AS (SELECT *, sum(o) OVER (PARTITION BY fly_id ORDER BY bin_start) AS run FROM s1),
@@ -50,18 +50,17 @@ BINS = DENSE + f""", bins AS (SELECT fly_id, genotype, sex, treatment, datetime
     r1 AS (SELECT *, CASE WHEN lag(st) OVER w IS DISTINCT FROM st THEN 1 ELSE 0 END AS o FROM r0 WINDOW w AS (PARTITION BY fly_id ORDER BY bin_start)),
     r2 AS (SELECT *, sum(o) OVER (PARTITION BY fly_id ORDER BY bin_start) AS run FROM r1),
     rawst AS (SELECT * EXCLUDE (o, run), CASE WHEN st = 'Active' AND count(*) OVER (PARTITION BY fly_id, run) < {SHORT} THEN 'Sleep' ELSE st END AS raw_state FROM r2)"""
-ALL_ACTIVE = BINS.replace(f"< {SHORT} THEN 'Sleep'", "< 1 THEN 'Sleep'").replace(f">= {DEATH})", ">= 100000)")
-ROLLING = ALL_ACTIVE + f""", f AS (SELECT *, raw_state = 'Active' AS act FROM rawst),
+ROLLING = BINS + f""", f AS (SELECT *, raw_state = 'Active' AS act FROM rawst),
     g AS (SELECT *, sum(act::INTEGER) OVER (PARTITION BY fly_id ORDER BY bin_start) AS active_count,
         avg(mt_sum) FILTER (act) OVER b AS mm, stddev_samp(mt_sum) FILTER (act) OVER b AS ms, avg(pn_var) FILTER (act) OVER b AS pm, stddev_samp(pn_var) FILTER (act) OVER b AS ps,
         0.01 * stddev_samp(mt_sum) FILTER (act) OVER (PARTITION BY fly_id) AS mf, 0.01 * stddev_samp(pn_var) FILTER (act) OVER (PARTITION BY fly_id) AS pf
         FROM f WINDOW b AS (PARTITION BY fly_id ORDER BY bin_start ROWS BETWEEN {ROLL - 1} PRECEDING AND CURRENT ROW)),
     st AS (SELECT *, CASE WHEN NOT act THEN raw_state WHEN active_count < {WARMUP} THEN 'Warmup' WHEN coalesce(ms < mf OR ps < pf, false) THEN 'Low_Data' ELSE 'HMM_candidate' END AS state,
-        CASE WHEN act THEN (pn_var - pm) / nullif(greatest(ps, pf), 0) END AS pn_z FROM g)"""
+        CASE WHEN act THEN (mt_sum - mm) / nullif(greatest(ms, mf), 0) END AS mt_z, CASE WHEN act THEN (pn_var - pm) / nullif(greatest(ps, pf), 0) END AS pn_z FROM g)"""
 
 
 def rolled(spark: SparkSession, d: str) -> DataFrame:
-    return states.rolling_states(states.raw_states(bins(spark, d), 100_000, 1), ROLL, WARMUP)
+    return states.rolling_states(states.raw_states(bins(spark, d), DEATH, SHORT), ROLL, WARMUP)
 
 
 def _five(spark: SparkSession, d: str) -> DataFrame:
@@ -86,12 +85,12 @@ QUERIES = {
     "agg15_bins": (_five, "WITH " + BINS.split(",\n    s0 AS")[0] + " SELECT fly_id, genotype, sex, treatment, strftime(time_bucket(INTERVAL 6 HOUR, bin_start, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS bin_start, sum(mt_sum)::DOUBLE AS mt_sum, round(coalesce(var_samp(pn_var), 0), 6) AS pn_var FROM bins GROUP BY fly_id, genotype, sex, treatment, time_bucket(INTERVAL 6 HOUR, bin_start, TIMESTAMP '1970-01-01') HAVING count(*) = 6"),
     "win14_time_of_death": (lambda s, d: rounded(states.time_of_death(bins(s, d), DEATH)), f"WITH {BINS} SELECT fly_id, strftime(time_of_death, '%Y-%m-%d %H:%M:%S') AS time_of_death FROM tod"),
     "win16_raw_states": (lambda s, d: rounded(states.raw_states(bins(s, d), DEATH, SHORT).select("fly_id", "bin_start", "raw_state")), f"WITH {BINS} SELECT fly_id, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start, raw_state FROM rawst"),
-    "win17_rolling_states": (lambda s, d: rounded(rolled(s, d).select("fly_id", "bin_start", "state", "pn_z")), f"WITH {ROLLING} SELECT fly_id, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start, state, round(pn_z, 4) AS pn_z FROM st"),
+    "win17_rolling_states": (lambda s, d: rounded(rolled(s, d).select("fly_id", "bin_start", "state", "mt_z", "pn_z")), f"WITH {ROLLING} SELECT fly_id, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start, state, round(mt_z, 4) AS mt_z, round(pn_z, 4) AS pn_z FROM st"),
     "win18_gap_bouts": (lambda s, d: rounded(states.gap_bouts(adapter.readings(s, d), ["fly_id"], gap_minutes=120)), f"WITH e AS (SELECT {FLY_SQL}, ts FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 120 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY fly_id ORDER BY ts)), b AS (SELECT *, sum(o) OVER (PARTITION BY fly_id ORDER BY ts)::BIGINT AS bout FROM g) SELECT fly_id, bout, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM b GROUP BY fly_id, bout"),
-    "agg19_state_shares": (lambda s, d: rounded(states.state_shares(rolled(s, d)).select("fly_id", "n_bins", "pct_sleep", "first_warmup"), 1), f"WITH {ROLLING} SELECT fly_id, count(*) AS n_bins, round_even(avg((state = 'Sleep')::INTEGER) * 100, 1) AS pct_sleep, strftime(min(CASE WHEN state = 'Warmup' THEN bin_start END), '%Y-%m-%d %H:%M:%S') AS first_warmup FROM st GROUP BY fly_id"),
+    "agg19_state_shares": (lambda s, d: rounded(states.state_shares(rolled(s, d)).select("fly_id", "n_bins", "pct_dead", "pct_sleep", "first_warmup"), 1), f"WITH {ROLLING} SELECT fly_id, count(*) AS n_bins, round_even(avg((state = 'Dead')::INTEGER) * 100, 1) AS pct_dead, round_even(avg((state = 'Sleep')::INTEGER) * 100, 1) AS pct_sleep, strftime(min(CASE WHEN state = 'Warmup' THEN bin_start END), '%Y-%m-%d %H:%M:%S') AS first_warmup FROM st GROUP BY fly_id"),
     "agg20_quality_summary": (lambda s, d: rounded(states.quality_summary(states.quality_table(rolled(s, d))), 1), f"WITH {ROLLING}, q AS (SELECT fly_id, genotype, round_even(avg((state = 'Dead')::INTEGER) * 100, 1) AS d, round_even(avg((state = 'Sleep')::INTEGER) * 100, 1) AS s FROM st GROUP BY ALL), k AS (SELECT genotype, CASE WHEN d > 0 THEN 'Exclude' ELSE 'Keep' END AS decision, count(*) AS n, round(median(d), 1) AS median_dead, round(median(s), 1) AS median_sleep FROM q GROUP BY ALL) SELECT *, round(n * 100.0 / sum(n) OVER (PARTITION BY genotype), 1)::DOUBLE AS percent FROM k"),
     "ml13_hmm_states": (lambda s, d: rounded(states.hmm_states(rolled(s, d))), None),
-    "win_sliding_rows": (lambda s, d: rounded(sliding.sliding_rows(adapter.dense(s, d), core.days(s, d), core.BIN, core.THRESHOLD)), None),
+    "win_sliding_rows": (lambda s, d: rounded(sliding.sliding_rows(core.watched(s, d), core.days(s, d), core.BIN, core.THRESHOLD)), None),
     "snk3_insert_ignore": (lambda s, d: store.insert_ignore(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)"),
     "snk4_upsert": (lambda s, d: store.upsert(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"),
     "snk7_delete": (lambda s, d: store.delete(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"),

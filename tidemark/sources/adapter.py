@@ -31,24 +31,28 @@ def with_fly(df: DataFrame) -> DataFrame:
     })
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each event: fly columns, datetime, date, zt, phase, exp_day, reading_type, value."""
-    e = with_fly(events(spark, sf_dir).select("event_id", "user_id", F.col("ts").alias("datetime"), "event_type", "value"))
+def readings(spark: SparkSession, sf_dir: str, users: int = 1) -> DataFrame:
+    """One row for each event: fly columns, datetime, date, zt, phase, exp_day, reading_type, value; ``users`` users are one fly."""
+    e = with_fly(events(spark, sf_dir).select("event_id", F.expr(f"user_id div {users}").alias("user_id"), F.col("ts").alias("datetime"), "event_type", "value"))
     kind = F.when(F.col("event_type") == "view", "MT").when(F.col("event_type") == "click", "CT").otherwise("Pn")
     t = F.col("datetime")
     return e.withColumns({"reading_type": kind, "date": F.to_date(t), "zt": tp.zt(t), "phase": tp.phase(t), "exp_day": tp.exp_day(t, START)})
 
 
-def dense(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
-    """Fly columns, datetime of the bin, n (events), value (their sum), date, zt, exp_day for every bin of the period."""
-    e = events(spark, sf_dir).select("user_id", "ts", "value")
+def dense(spark: SparkSession, sf_dir: str, minutes: int = 60, users: int = 1, missing: bool = False) -> DataFrame:
+    """Fly columns, datetime of the bin, n (events), value (their sum), date, zt, exp_day for every bin of the period.
+
+    ``users`` consecutive users are one fly; with ``missing``, n is null in bins in which an error was read.
+    """
+    bad = F.col("event_type") == "error" if missing else F.lit(False)
+    e = events(spark, sf_dir).select(F.expr(f"user_id div {users}").alias("user_id"), "ts", "value", bad.alias("bad"))
     end = F.expr(f"timestamp_ntz'{START}' + interval {DAYS} days - interval {minutes} minutes")
     bins = F.sequence(F.expr(f"timestamp_ntz'{START}'"), end, F.expr(f"interval {minutes} minutes"))
     # one empty row for each fly and bin; flies are distinct first, so the rows are as many as the result
-    empty = e.select("user_id").distinct().select("user_id", F.explode(bins).alias("datetime"), F.lit(0).alias("one"), F.lit(0.0).alias("value"))
+    empty = e.select("user_id").distinct().select("user_id", F.explode(bins).alias("datetime"), F.lit(0).alias("one"), F.lit(0.0).alias("value"), F.lit(False).alias("bad"))
     since = F.floor(F.expr(f"timestampdiff(MINUTE, timestamp_ntz'{START}', ts)") / minutes).cast("int") * minutes
     at = F.expr(f"timestamp_ntz'{START}'") + F.make_dt_interval(mins=since)
-    seen = e.select("user_id", at.alias("datetime"), F.lit(1).alias("one"), "value")
+    seen = e.select("user_id", at.alias("datetime"), F.lit(1).alias("one"), "value", "bad")
     t = F.col("datetime")
-    both = empty.unionByName(seen).groupBy("user_id", "datetime").agg(F.sum("one").alias("n"), F.sum("value").alias("value"))
+    both = empty.unionByName(seen).groupBy("user_id", "datetime").agg(F.when(~F.bool_or("bad"), F.sum("one")).alias("n"), F.sum("value").alias("value"))
     return with_fly(both).withColumns({"date": F.to_date(t), "zt": tp.zt(t), "exp_day": tp.exp_day(t, START)})
