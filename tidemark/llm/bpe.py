@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bound_batches
+from tidemark.llm.common import bound_batches, has_unassigned
 
 #: Words kept encoded by a Python worker, and characters of text that are encoded at once.
 CACHE_WORDS, CHUNK_CHARS = 150_000, 1_000_000
@@ -59,6 +59,7 @@ class WordBpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.made = key[order], order.astype(np.int64), np.array([m for *_, m in pairs], np.int64)[order]
         self._compiled = None
+        self.odd: set[str] = set()
         self._ids: dict[str, bytes] = {}
         self._texts: dict[str, str] = {}
 
@@ -68,7 +69,7 @@ class WordBpe:
             return cls(json.load(f))
 
     def __getstate__(self):
-        return self.__dict__ | {"_compiled": None, "_ids": {}, "_texts": {}}
+        return self.__dict__ | {"_compiled": None, "odd": set(), "_ids": {}, "_texts": {}}
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word, all words merged together round by round."""
@@ -105,19 +106,27 @@ class WordBpe:
             ids, owner = ids[keep], owner[~done]
         return [o[o >= 0] for o in out]
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str, by_library: bool = False) -> list[str]:
         """Words of a text; an added token stands as itself behind a blank, which no word holds."""
         if self._compiled is None:
             names = sorted(self.added, key=len, reverse=True)
             self._compiled = regex.compile(self.pattern), regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         words, added = self._compiled
+        cut = self._library_words if by_library else lambda t: words.findall(self._normal(t))
         if added is None or not any(a in text for a in self.added):
-            return words.findall(self._normal(text))
+            return cut(text)
         out: list[str] = []
         for i, part in enumerate(added.split(text)):
-            out += [" " + part] if i % 2 else words.findall(self._normal(part))
+            out += [" " + part] if i % 2 else cut(part)
         return out
 
+    def _library_words(self, text: str) -> list[str]:
+        """The same by the tokenizers library's own Unicode tables, for texts with code points that Python's don't assign."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        plain = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+        return [w for w, _ in pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True).pre_tokenize_str(plain)]
+
     @staticmethod
     def _normal(text: str) -> str:
         if text.isascii():
@@ -131,7 +140,7 @@ class WordBpe:
         """Encode what the table of words lacks."""
         new = [w for w in words if w not in self._ids]
         if len(self._ids) + len(new) > CACHE_WORDS:
-            self._ids, self._texts, new = {}, {}, list(words)
+            self._ids, self._texts, self.odd, new = {}, {}, set(), list(words)
         plain = [w for w in new if w[0] != " "]
         found = dict(zip(plain, self.encode_words(plain), strict=True))
         for w in new:
@@ -148,7 +157,11 @@ class WordBpe:
                 chars += len(texts[to] or "")
                 to += 1
             split = [self.split(t or "") for t in texts[at:to]]
+            odd = {w for w in set().union(*split) if (w in self.odd or w not in self._ids) and has_unassigned(w)}
+            if odd:
+                split = [words if odd.isdisjoint(words) else self.split(t or "", True) for t, words in zip(texts[at:to], split, strict=True)]
             self.learn(set().union(*split))
+            self.odd |= odd
             for words in split:
                 yield b"".join(map(self._ids.__getitem__, words)), " ".join(filter(None, map(self._texts.__getitem__, words)))
             at = to

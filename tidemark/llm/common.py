@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def has_unassigned(word: str) -> bool:
+    """Whether a word holds a code point that Python's Unicode tables don't assign: other tables may know it as a letter."""
+    return not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+
+
 #: Most rows and bytes of an Arrow batch that goes to Python: texts are long, and a worker holds some batches at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -81,6 +87,16 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Most keys of a broadcast table that ``having`` makes: 32 MB of numbers.
+BROADCAST_KEYS = 1 << 22
+
+
+def having(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose number ``on`` is one of ``keys``, a kept table of distinct numbers: broadcast if it has at most BROADCAST_KEYS,
+    joined by shuffle beyond that."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where the row belongs to the part that no model learns from; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import ann, bpe, decontam, licenses, linededup, pii, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
-#: The folder of the public tokenizer files; any other folder with the same file names will do.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; operators take the path of any file of the same kind."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_file_report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokenfile.token_file_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
