@@ -46,11 +46,15 @@ def test_lines_against_all_pairs(spark):
     for _ in range(30):
         base = "".join(random.choice("abcdé ") for _ in range(random.randint(24, 60))).strip(" ")
         lines += [base, *(edited(base, 5) for _ in range(8))]
+    # capitals that grow when lowered, lines of few code points, and lines shorter than the distance
+    few = ["İstanbul İzmir en guzel sehirler olsun", "Astanbul Azmir en guzel sehirler olsun", "chapter one", "chapter on", "a", "b", "xy", "zé", "xyz", "qqq", "wxyz", "🙂🙂", "🙂x"]
+    lines[9:9] = few + ["".join(random.choice("pqr") for _ in range(random.randint(1, 9))) for _ in range(32)]
+    lines = lines[: 30 * 9]
     docs = [(i, "\n".join(lines[i * 9 : i * 9 + 9])) for i in range(30)] + [(100, None), (101, ""), (None, "short\nshort\n" + lines[0]), (102, lines[0] + "\n\n" + lines[5]), (102, "other " * 9)]
     got = linededup.mark_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     every = [(d, k, v.strip(" ")) for d, t in docs for k, v in enumerate((t or "").split("\n"))]
     assert len(got) == len(every)
-    long = sorted({v for _, _, v in every if len(v) >= 24})
+    long = sorted({v for _, _, v in every if v})
     root = {}
 
     def find(x):
@@ -71,14 +75,34 @@ def test_lines_against_all_pairs(spark):
     pairs = {(r.class_id, find(v)) for r in got for v in texts[r.doc_id, r.line_no] if len(texts[r.doc_id, r.line_no]) == 1 and v}
     assert len(pairs) == len({c for c, _ in pairs}) == len({v for _, v in pairs})
     assert all(r.n_links == degree.get(next(iter(texts[r.doc_id, r.line_no])), 0) for r in got if len(texts[r.doc_id, r.line_no]) == 1)
+    ours = {(r.doc_id, r.line_no): r.class_id for r in got}
+    assert ours[1, 0] == ours[1, 1] and degree[few[0]] >= 1 and degree["a"] >= 5
     kept = [r.class_id for r in got if r.kept and r.class_id is not None]
     assert len(kept) == len(set(kept)) == len({r.class_id for r in got} - {None})
 
 
+def test_edits_in_proportion(spark):
+    texts = ["abcdefghijk", "abcdefghijx", "abcdefghijkl", "abcdefghijkX", "ok", "no", "q" * 30, "q" * 28 + "zz", "q" * 27 + "zzz"]
+    got = linededup.mark_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), per=12)
+    # one edit for each 12 code points of the longer line
+    want = {i: sum(a != b and distance(a, b) <= min(2, max(len(a), len(b)) // 12) for b in texts) for i, a in enumerate(texts)}
+    assert {r.doc_id: r.n_links for r in got.collect()} == want and want[2] == 2 and want[4] == 0
+    with pytest.raises(ValueError):
+        linededup.mark_lines(spark.createDataFrame([(1, "x")], "doc_id long, text string"), per=3)
+
+
+def test_large_family(spark):
+    """A thousand lines of which every two are within two edits: each links with all others, in one class."""
+    base = "the committee met on the third of march and agreed nothing"
+    family = {base[:i] + c + base[i + 1 :] for i in range(len(base)) for c in "abcdefghijklmnopqr"}
+    got = linededup.mark_lines(spark.createDataFrame(list(enumerate(sorted(family))), "doc_id long, text string")).collect()
+    assert len(family) > 900 and {r.n_links for r in got} == {len(family) - 1} and len({r.class_id for r in got}) == 1 and sum(r.kept for r in got) == 1
+
+
 def test_repeated_lines_go(spark, odd, none):
-    docs = spark.createDataFrame([(1, "a line that stands in both texts\nmine", 37), (2, "a line that stands in both texts.\nyours", 39), (3, "a line that stands in both texts", 32), (4, None, None), (5, "", 0)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, "a line that stands in both texts\nmine", 37), (2, "a line that stands in both texts.\nyours indeed", 46), (3, "a line that stands in both texts", 32), (4, None, None), (5, "", 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in linededup.drop_repeated_lines(docs).collect()}
-    assert got == {1: ("a line that stands in both texts\nmine", 37), 2: ("yours", 5), 4: (None, None), 5: ("", 0)}
+    assert got == {1: ("a line that stands in both texts\nmine", 37), 2: ("yours indeed", 12), 4: (None, None), 5: ("", 0)}
     assert linededup.mark_lines(odd).count() > 0 and linededup.drop_repeated_lines(odd).columns == odd.columns
     assert linededup.mark_lines(none).count() == 0 and linededup.drop_repeated_lines(none).count() == 0
 
