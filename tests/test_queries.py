@@ -58,6 +58,6 @@ def test_plans_stay_in_the_jvm(spark):
     """Minute-level chains hold no Python."""
     from tidemark import plans
 
-    for name in ("agg2_daily_metrics", "win6_sleep_daily", "sta1_cosinor", "join10_feature_table", "win17_rolling_states"):
+    for name in ("agg2_daily_metrics", "win6_sleep_daily", "sta1_cosinor", "agg8_iqr_bounds", "win17_rolling_states"):
         text = plans.registered()[name][0](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text, name

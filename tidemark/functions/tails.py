@@ -157,6 +157,36 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(p for p in ps if p <= seen * (1 + 1e-7)))
 
 
+def expected_cell(a: float, b: float, n: float) -> float:
+    """Mutual information that a cell with margins a and b of n rows is expected to hold under random labels."""
+    a, b, n = int(a), int(b), int(n)
+    k = np.arange(max(1, a + b - n), min(a, b) + 1)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    fixed = sum(map(math.lgamma, (a + 1, b + 1, n - a + 1, n - b + 1))) - math.lgamma(n + 1)
+    p = np.exp(fixed - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1))
+    return float((k / n * np.log(n * k / (a * b)) * p).sum())
+
+
+#: Most values of a rank sum for which its distribution is counted out.
+MOST_SUMS = 20_000
+
+
+def rank_sum_exact(u: float, n1: float, n2: float) -> float:
+    """Two-sided p of a rank sum without ties: the share of all arrangements whose U lies as far out."""
+    n1, n2 = sorted((int(n1), int(n2)))
+    size = n1 * n2 + 1
+    ways = np.zeros(size, object)
+    ways[0] = 1
+    for i in range(1, n1 + 1):  # Gaussian binomial coefficients: times 1 - q^(n2 + i), over 1 - q^i
+        step = n2 + i
+        if step < size:
+            ways[step:] = ways[step:] - ways[: size - step].copy()
+        for r in range(min(i, size)):
+            ways[r::i] = np.cumsum(ways[r::i])
+    far = math.ceil(max(u, n1 * n2 - u) - 1e-9)
+    return min(1.0, 2 * float(ways[far:].sum() / ways.sum()))
+
+
 def _column(f: Callable[..., float]) -> Callable[..., Column]:
     """A scalar function of numbers as a function of columns; a missing argument gives null."""
 
@@ -169,6 +199,7 @@ def _column(f: Callable[..., float]) -> Callable[..., Column]:
 
 
 f_p, chi2_p, normal_p, fisher_p, tukey_p = (_column(f) for f in (f_tail, chi2_tail, normal_two_sided, fisher_exact, studentized_range_tail))
+expected_information, rank_sum_p = _column(expected_cell), _column(rank_sum_exact)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import tails
+
 #: Rows of a block when every point meets every other.
 BLOCK = 4096
+#: Label of points that belong to no cluster.
+NOISE = -1
 
 
 def top_k(df: DataFrame, keys: list[str], by: Column, k: int, tie: str) -> DataFrame:
@@ -24,9 +28,25 @@ def components_long(points: DataFrame, key: str, label: str, vector: str) -> Dat
     return points.select(key, label, F.posexplode(F.col(vector).cast("array<double>")).alias("j", "x"))
 
 
+def without_noise(points: DataFrame, label: str) -> DataFrame:
+    """Points of clusters; rows without a label stay out as well."""
+    return points.where(F.col(label) != NOISE)
+
+
+def with_clusters(features: DataFrame, clusters: DataFrame, how: str = "inner", noise: bool = False) -> DataFrame:
+    """Features with their fly's cluster, joined by fly_id; noise is left out unless asked for.
+
+    ``clusters`` has ``cluster``, or else ``cluster_hdbscan``. With a left join flies without a cluster stay, unlabelled.
+    """
+    name = "cluster" if "cluster" in clusters.columns else "cluster_hdbscan"
+    found = clusters.select("fly_id", F.col(name).cast("int").alias("cluster")).dropDuplicates(["fly_id"])
+    return features.join(found if noise else without_noise(found, "cluster"), "fly_id", how)
+
+
 def centroid_scores(long: DataFrame, label: str = "label") -> DataFrame:
-    """n_clusters, davies_bouldin, calinski_harabasz from centroids, without distances between points. Fewer than two: null."""
-    key = long.columns[0]
+    """n_clusters, davies_bouldin, calinski_harabasz from centroids, without distances between points and without noise.
+    Fewer than two clusters: null."""
+    key, long = long.columns[0], without_noise(long, label)
     cent = long.groupBy(label, "j").agg(F.avg("x").alias("c"), F.count(F.lit(1)).alias("n"))
     off = long.join(cent.select(label, "j", "c"), [label, "j"])
     each = off.groupBy(key, label).agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("sq"))
@@ -96,7 +116,9 @@ def knn(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """Mean Euclidean silhouette; a point alone in its cluster counts 0. One row for each point, cluster and block in between."""
+    """Mean Euclidean silhouette without noise; a point alone in its cluster counts 0. One row for each point, cluster and block
+    in between."""
+    points = without_noise(points, label)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -114,7 +136,10 @@ def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFram
 
 
 def agreement(df: DataFrame, left: str, right: str) -> DataFrame:
-    """ari and nmi (arithmetic mean) of two labellings, from their contingency counts."""
+    """ari, ami and nmi (both by arithmetic mean) of two labellings, from their contingency counts.
+
+    The information expected by chance is summed over pairs of margins, of which there are as many as pairs of labels.
+    """
     c = df.groupBy(left, right).agg(F.count(F.lit(1)).cast("double").alias("n"))
     w1, w2 = Window.partitionBy(left), Window.partitionBy(right)
     cells = c.withColumn("a", F.sum("n").over(w1)).withColumn("b", F.sum("n").over(w2))
@@ -126,7 +151,11 @@ def agreement(df: DataFrame, left: str, right: str) -> DataFrame:
     ra = rows.join(F.broadcast(tot)).agg(F.sum(two("a")).alias("ai"), ent("a").alias("ha"))
     rb = cols.join(F.broadcast(tot)).agg(F.sum(two("b")).alias("bj"), ent("b").alias("hb"))
     j = one.join(F.broadcast(ra)).join(F.broadcast(rb)).withColumn("e", F.col("ai") * F.col("bj") / (F.col("t") * (F.col("t") - 1) / 2))
-    return j.select(F.try_divide(F.col("ij") - F.col("e"), (F.col("ai") + F.col("bj")) / 2 - F.col("e")).alias("ari"), F.try_divide("mi", (F.col("ha") + F.col("hb")) / 2).alias("nmi"))
+    margins = rows.select("a", F.lit(0).alias("_j")).join(cols.select("b", F.lit(0).alias("_j")), "_j").join(F.broadcast(tot))
+    chance = margins.agg(F.coalesce(F.sum(tails.expected_information(F.col("a"), F.col("b"), F.col("t"))), F.lit(0.0)).alias("emi"))
+    j = j.join(F.broadcast(chance)).withColumn("h", (F.col("ha") + F.col("hb")) / 2)
+    ami = F.when(F.abs(F.col("h") - F.col("emi")) < 1e-12, 1.0).otherwise((F.col("mi") - F.col("emi")) / (F.col("h") - F.col("emi")))
+    return j.select(ami.alias("ami"), F.try_divide(F.col("ij") - F.col("e"), (F.col("ai") + F.col("bj")) / 2 - F.col("e")).alias("ari"), F.try_divide("mi", (F.col("ha") + F.col("hb")) / 2).alias("nmi"))
 
 
 def elbow(distances: DataFrame, distance: str) -> DataFrame:
@@ -167,6 +196,8 @@ def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: in
         label = new
         if done:
             break
+    else:
+        raise RuntimeError(f"clusters have not settled after {most_rounds} rounds")
     number = label.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
     named = label.join(number, "label").select("node", "cluster")
     reach = pairs.join(named, pairs.b == named.node).groupBy("a").agg(F.min("cluster").alias("near"))

@@ -80,6 +80,14 @@ def diagnostics(features: DataFrame) -> DataFrame:
     return one.unpivot("n_rows", [c for c, _ in features.dtypes], "column", "n_missing").select("column", "n_missing", "n_rows")
 
 
+def rows_with_missing(features: DataFrame) -> DataFrame:
+    """(n_missing, n_rows): rows in which any column is missing."""
+    gap = F.lit(False)
+    for c, t in features.dtypes:
+        gap = gap | F.col(c).isNull() | (F.isnan(c) if t == "double" else F.lit(False))
+    return features.agg(F.count_if(gap).alias("n_missing"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def clean(features: DataFrame, multiplier: float = 1.5, with_doze: bool = False) -> DataFrame:
     """Without problem flies and outliers, and imputed."""
     kept = with_outlier(features.where(~is_problem(with_doze)), multiplier=multiplier).where(~F.col("is_outlier"))

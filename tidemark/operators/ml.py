@@ -6,7 +6,7 @@ HDBSCAN and UMAP hold all pairs of their rows, so they collect a bounded table (
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -59,7 +59,7 @@ def elbow_of(points: DataFrame, k: int = 5) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, stratum: str, shares: tuple[float, float, float] = (0.64, 0.16, 0.2), seed: int = 42) -> DataFrame:
     """Rows with ``part`` train, val or test: ranks of a hash of (seed, key) within each stratum, so no order is relied on."""
     w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) / F.count(F.lit(1)).over(w)
+    place = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)) / F.count(F.lit(1)).over(w)
     part = F.when(place <= shares[0], "train").when(place <= shares[0] + shares[1], "val").otherwise("test")
     return df.withColumn("part", part)
 
@@ -135,6 +135,22 @@ def fit_boosted(train: DataFrame, val: DataFrame, label: str = "label", depths=(
     return best[1]
 
 
+def fit_boosted_classes(train: DataFrame, val: DataFrame, label: str = "label", depths=(4, 6, 8), rates=(0.05, 0.1), rounds: int = 200, seed: int = 42):
+    """Boosted trees for labels 0, 1, 2 ...: one model for two classes, one against the rest for more; of all settings the one
+    most accurate on ``val``."""
+    if train.select(label).distinct().count() <= 2 and train.agg(F.max(label)).first()[0] <= 1:
+        return fit_boosted(train, val, label, depths, rates, rounds, seed)
+    weighted, best = balanced(train, label).cache(), None
+    for depth in depths:
+        for rate in rates:
+            one = GBTClassifier(labelCol=label, maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed)
+            model = OneVsRest(classifier=one, labelCol=label, weightCol="weight").fit(weighted)
+            score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(model.transform(val))
+            best = max(best or (-1.0, None), (score, model), key=lambda x: x[0])
+    weighted.unpersist()
+    return best[1]
+
+
 def boosted_report(points: DataFrame) -> DataFrame:
     rows = _labelled(points).withColumn("label", (F.col("label") < 5).cast("double"))
     model = fit_boosted(rows.where("part = 'train'"), rows.where("part = 'val'"))
@@ -142,18 +158,25 @@ def boosted_report(points: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model, rows: DataFrame, label: str = "label", most: int = 500, seed: int = 42) -> DataFrame:
-    """(feature, importance): accuracy lost when a feature's values are permuted over at most ``most`` rows."""
-    got = rows.orderBy(F.xxhash64(F.lit(seed), vector_to_array("features"))).limit(most).select("features", label).collect()
-    x, y, rng = np.array([r[0].toArray() for r in got]), np.array([r[1] for r in got]), np.random.default_rng(seed)
-    from pyspark.ml.linalg import Vectors
-
-    right = lambda m: np.mean([model.predict(Vectors.dense(v)) == t for v, t in zip(m, y, strict=True)])
-    base, out = right(x), []
-    for j in range(x.shape[1]):
-        p = x.copy()
-        p[:, j] = rng.permutation(p[:, j])
-        out.append((f"x{j}", float(base - right(p))))
-    return rows.sparkSession.createDataFrame(out, "feature string, importance double")
+    """(feature, importance): accuracy lost when a feature's values are permuted over a sample of ``most`` rows.
+
+    Each row of the sample is scored once as it is and once for each feature, with that feature's value of the row that stands
+    ``shift`` places on in the feature's own order of hashes; all of it is one frame for the model.
+    """
+    picked = rows.orderBy(F.xxhash64(F.lit(seed), vector_to_array("features"))).limit(most).select(vector_to_array("features").alias("v"), F.col(label).alias("_y"))
+    size = len(picked.first()["v"])
+    place = Window.orderBy(F.xxhash64(F.lit(seed), "v"), "v")  # at most ``most`` rows
+    numbered = picked.withColumn("i", F.row_number().over(place) - 1).cache()
+    n = numbered.count()
+    each = numbered.select("i", "v", "_y", F.explode(F.sequence(F.lit(-1), F.lit(size - 1))).alias("j"))
+    shift = F.pmod(F.col("i") + 1 + F.pmod(F.xxhash64(F.lit(seed), "j"), F.lit(max(n - 1, 1))), F.lit(n)).cast("int")
+    other = numbered.select(F.col("i").alias("_i"), F.col("v").alias("_o"))
+    mixed = each.withColumn("_at", shift).join(F.broadcast(other), F.col("_at") == F.col("_i"))
+    mixed = mixed.select("_y", "j", F.transform("v", lambda x, k: F.when(k == F.col("j"), F.get("_o", k)).otherwise(x)).alias("v"))
+    scored = model.transform(mixed.withColumn("features", array_to_vector("v")))
+    right = scored.groupBy("j").agg(F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("right"))
+    base = right.where("j = -1").select(F.col("right").alias("base"))
+    return right.where("j >= 0").join(F.broadcast(base)).select(F.concat(F.lit("x"), F.col("j")).alias("feature"), (F.col("base") - F.col("right")).alias("importance"))
 
 
 def _gather(points: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
@@ -321,6 +344,13 @@ def rand_index(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if top == 0 else (two(n) - expected) / top
 
 
+def stability_verdict(grid: DataFrame) -> DataFrame:
+    """(spread, verdict): sample deviation of ari_label over the grid; robust below 0.05, moderate below 0.15, else sensitive.
+    Fewer than two values: no row."""
+    spread = grid.agg(F.stddev_samp("ari_label").alias("spread"), F.count("ari_label").alias("n")).where("n > 1")
+    return spread.select("spread", F.when(F.col("spread") < 0.05, "robust").when(F.col("spread") < 0.15, "moderate").otherwise("sensitive").alias("verdict"))
+
+
 def stability_grid(points: DataFrame, key: str, vector: str, label: str, sizes=(5, 10, 15, 20), samples=(1, 3, 5), base=(10, 3)) -> DataFrame:
     """(min_size, min_samples, n_clusters, n_noise, ari_label, ari_base) for each setting of HDBSCAN, over rows that aren't noise."""
     got = points.select(key, vector, label).where(F.col(vector).isNotNull()).limit(MOST_ROWS + 1).toPandas().sort_values(key)

@@ -55,27 +55,37 @@ def periodogram(hourly: DataFrame, low: float = 18.0, high: float = 30.0, steps:
 
     Times are angles of the 24-hour day while periods are taken in hours, as in the pipeline that this matches. Null for fewer
     than 3 hours, missing values, or no variance. Python, batched over days: the grid times the hours of a day have no SQL form
-    that doesn't make a row for each.
+    that doesn't make a row for each. Days with the same hours are one product with the same sines, which are kept.
     """
     freq = 2 * np.pi / np.linspace(low, high, steps)
 
+    def waves(hours: tuple) -> tuple[np.ndarray, np.ndarray]:
+        wt = np.outer(freq, np.asarray(hours, float) * 2 * np.pi / 24)
+        tau = np.arctan2(np.sin(2 * wt).sum(1), np.cos(2 * wt).sum(1)) / 2
+        both = np.cos(wt - tau[:, None]), np.sin(wt - tau[:, None])
+        return tuple(m / np.sqrt(np.maximum((m * m).sum(1, keepdims=True), 1e-300)) for m in both)
+
     def best(frames):
+        known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in frames:
-            periods, powers = [], []
-            for zts, ys in zip(pdf["zts"], pdf["ys"], strict=True):
-                t, y = np.asarray(zts, float) * 2 * np.pi / 24, np.array([np.nan if v is None else v for v in ys], float)
-                if len(y) < 3 or np.isnan(y).any() or np.var(y) == 0:
-                    periods.append(None)
-                    powers.append(None)
+            at, power = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            alike: dict[tuple, list[int]] = {}
+            for i, zts in enumerate(pdf["zts"]):
+                alike.setdefault(tuple(zts), []).append(i)
+            for hours, rows in alike.items():
+                y = np.array([[np.nan if v is None else v for v in pdf["ys"].iloc[i]] for i in rows], float)
+                fine = ~np.isnan(y).any(1) & (np.var(y, axis=1) != 0) if len(hours) >= 3 else np.zeros(len(rows), bool)
+                if not fine.any():
                     continue
-                y = y - y.mean()
-                wt = np.outer(freq, t)
-                tau = np.arctan2(np.sin(2 * wt).sum(1), np.cos(2 * wt).sum(1)) / 2
-                c, s = np.cos(wt - tau[:, None]), np.sin(wt - tau[:, None])
-                power = ((c @ y) ** 2 / np.maximum((c * c).sum(1), 1e-300) + (s @ y) ** 2 / np.maximum((s * s).sum(1), 1e-300)) / (y @ y)
-                periods.append(2 * np.pi / freq[np.argmax(power)])
-                powers.append(power.max())
-            yield pdf.drop(columns=["zts", "ys"]).assign(periodogram_period=pd.array(periods, dtype="Float64"), periodogram_power=pd.array(powers, dtype="Float64"))
+                if len(known) > 64:
+                    known.clear()
+                c, s = known.setdefault(hours, known.get(hours) or waves(hours))
+                y = y[fine] - y[fine].mean(1, keepdims=True)
+                p = ((y @ c.T) ** 2 + (y @ s.T) ** 2) / (y * y).sum(1, keepdims=True)
+                where = np.asarray(rows)[fine]
+                at[where], power[where] = 2 * np.pi / freq[p.argmax(1)], p.max(1)
+            some = ~np.isnan(power)
+            yield pdf.drop(columns=["zts", "ys"]).assign(**{f"periodogram_{k}": pd.arrays.FloatingArray(np.where(some, v, 0.0), ~some) for k, v in (("period", at), ("power", power))})
 
     row = F.array_sort(F.collect_list(F.struct("zt", F.col("hourly_mt").cast("double").alias("y"))))
     days = hourly.groupBy(*DAY).agg(row.alias("r")).select(*DAY, F.col("r.zt").alias("zts"), F.col("r.y").alias("ys"))

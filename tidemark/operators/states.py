@@ -173,10 +173,30 @@ def state_shares(bins: DataFrame, state: str = "state", names: tuple[str, ...] =
     return bins.groupBy(*ID).agg(F.count(F.lit(1)).alias("n_bins"), *share, *first)
 
 
+def candidate_bouts(bins: DataFrame, gap_minutes: float = 5, least: int = SHORT_BINS) -> DataFrame:
+    """The candidate bins that lie in bouts of at least ``least`` bins, with ``bout``; a gap of more than ``gap_minutes`` ends a bout."""
+    w = Window.partitionBy("fly_id").orderBy("bin_start")
+    gap = F.timestamp_diff("SECOND", F.lag("bin_start").over(w), F.col("bin_start")) > 60 * gap_minutes
+    opens = F.when(F.row_number().over(w) == 1, 1).otherwise(gap.cast("int"))
+    marked = bins.where("state = 'HMM_candidate'").withColumn("_o", opens).withColumn("bout", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = F.count(F.lit(1)).over(Window.partitionBy("fly_id", "bout"))
+    return marked.withColumn("_o", size).where(F.col("_o") >= least).drop("_o")
+
+
+def with_decoded(bins: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Bins whose candidates have the state that the model gave them; candidates without one leave, other bins stay."""
+    named = bins.join(decoded.select("fly_id", "bin_start", F.col("state").alias("_s")), ["fly_id", "bin_start"], "left")
+    return named.withColumn("state", F.when(F.col("state") == "HMM_candidate", F.col("_s")).otherwise(F.col("state"))).where("state is not null").drop("_s")
+
+
 def quality_table(bins: DataFrame) -> DataFrame:
-    """Exclude flies with any dead bins, keep the others."""
-    shares = state_shares(bins)
-    return shares.withColumn("decision", F.when(F.col("pct_dead") > 0, "Exclude").otherwise("Keep"))
+    """Exclude flies with any dead bins, keep the others. Flies of a genotype whose model failed (a state HMM_FAILED) get one row
+    that says so, without shares."""
+    failed = bins.groupBy("genotype").agg(F.bool_or(F.col("state") == "HMM_FAILED").alias("_failed"))
+    shares = state_shares(bins).join(F.broadcast(failed), "genotype")
+    decision = F.when(F.col("_failed"), "HMM_FAILED").when(F.col("pct_dead") > 0, "Exclude").otherwise("Keep")
+    blank = [F.when(~F.col("_failed"), F.col(c)).alias(c) if c not in ID else F.col(c) for c in shares.columns if c != "_failed"]
+    return shares.select(*blank, decision.alias("decision"))
 
 
 def quality_summary(table: DataFrame) -> DataFrame:

@@ -109,9 +109,10 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, key: str) -> Da
 
 
 def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3) -> DataFrame:
-    """U of the rows where ``side`` holds, rank-biserial r and asymptotic p (ties and continuity corrected) for each keys.
+    """U of the rows where ``side`` holds, rank-biserial r and p for each keys.
 
-    Groups of fewer than ``least`` values on a side are left out.
+    Without ties and with at most eight values on a side p is exact; else, and beyond MOST_SUMS values of U, it is the normal one,
+    corrected for ties and continuity. Groups of fewer than ``least`` values on a side are left out.
     """
     ranked = mid_ranks(long.withColumn("_s", side), keys)
     one = ranked.groupBy(*keys).agg(
@@ -122,7 +123,9 @@ def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3)
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.col("t") / (F.col("n") * (F.col("n") - 1))))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)), sd)
     r = 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1
-    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(tails.normal_p("z"), F.lit(1.0)).alias("p_value"))
+    few = (F.col("t") == 0) & (F.least("n1", "n2") <= 8) & (F.col("n1") * F.col("n2") <= tails.MOST_SUMS)
+    exact = tails.rank_sum_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))
+    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(exact, tails.normal_p("z"), F.lit(1.0)).alias("p_value"))
 
 
 def one_vs_rest(long: DataFrame, label: str) -> DataFrame:
@@ -184,6 +187,21 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     return one.select("chi2", "df", tails.chi2_p(F.col("chi2"), F.col("df").cast("double")).alias("p_value"))
 
 
+def fisher(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Fisher's exact test of a two by two table: test, p_value; no row if either side hasn't exactly two labels."""
+    cells = contingency(df, row, col)
+    four = cells.agg(F.sort_array(F.collect_list(F.struct(row, col, "n"))).alias("c"), F.count_distinct(row).alias("r"), F.count_distinct(col).alias("k"))
+    n = lambda i: F.get(F.col("c.n"), F.lit(i)).cast("long")
+    return four.where("r = 2 and k = 2").select(F.lit("Fisher exact").alias("test"), tails.fisher_p(n(0), n(1), n(2), n(3)).alias("p_value"))
+
+
+def composition(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Whether a composition differs: test, p_value by Fisher's exact test for two by two labels, by chi-square otherwise."""
+    chi = chi_square(df, row, col)
+    small = chi.where("df > 1").select(F.concat(F.lit("Chi-square (df="), F.col("df"), F.lit(")")).alias("test"), "p_value")
+    return fisher(df, row, col).unionByName(small)
+
+
 def medians(long: DataFrame, label: str) -> DataFrame:
     """Median, interquartile range and number of values for each label and feature."""
     q = lambda p: F.percentile("value", F.lit(p))

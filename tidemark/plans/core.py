@@ -29,9 +29,9 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
     return rhythm.hourly_totals(adapter.dense(spark, d))
 
 
-def table(spark: SparkSession, d: str) -> DataFrame:
-    """The feature table without the periodogram, whose grid SQL can't run over whole tables in reasonable time."""
-    return features.feature_table(adapter.dense(spark, d), BIN, THRESHOLD, with_periodogram=False)
+def table(spark: SparkSession, d: str, with_periodogram: bool = False) -> DataFrame:
+    """The feature table; queries that use none of the periodogram's columns leave it out."""
+    return features.feature_table(adapter.dense(spark, d), BIN, THRESHOLD, with_periodogram=with_periodogram)
 
 
 #: Users of the event table that make one fly where status counts: some nine events a day. Thresholds fit that rate.
@@ -110,6 +110,18 @@ RHYTHM = COSINOR + ONSET + STABILITY + f""",
                       avg(offset_zt) AS activity_offset_zt_mean, stddev_samp(offset_zt) AS activity_offset_zt_sd,
                       any_value(interdaily_stability) AS interdaily_stability
                FROM cosinor JOIN onset USING ({D}) JOIN stab USING ({FL}) GROUP BY {FL})"""
+PERIODOGRAM = """,
+    fr AS (SELECT i, 2 * pi() / (18.0::DOUBLE + 12.0::DOUBLE * i / 999.0::DOUBLE) AS w FROM range(1000) t(i)),
+    zs AS (SELECT DISTINCT zt, 2 * pi() * zt / 24.0 AS t FROM hourly),
+    ta AS (SELECT i, w, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / 2 AS tau FROM fr, zs GROUP BY ALL),
+    ba AS (SELECT i, zt, cos(w * t - tau) AS c, sin(w * t - tau) AS s FROM ta, zs),
+    bl AS (SELECT i, list(c ORDER BY zt) AS cs, list(s ORDER BY zt) AS ss, sum(c * c) AS cn, sum(s * s) AS sn FROM ba GROUP BY i),
+    yd AS (SELECT fly_id, exp_day, zt, y - avg(y) OVER (PARTITION BY fly_id, exp_day) AS y FROM hourly),
+    yl AS (SELECT fly_id, exp_day, list(y ORDER BY zt) AS ys, sum(y * y) AS yy FROM yd GROUP BY ALL HAVING sum(y * y) > 0),
+    pm AS (SELECT fly_id, exp_day, max({'p': (pow(list_dot_product(ys, cs), 2) / cn + pow(list_dot_product(ys, ss), 2) / sn) / yy, 'i': -i}) AS m FROM yl, bl GROUP BY ALL),
+    pg AS (SELECT fly_id, exp_day, 18.0::DOUBLE - 12.0::DOUBLE * m.i / 999.0::DOUBLE AS periodogram_period, m.p AS periodogram_power FROM pm),
+    pf AS (SELECT fly_id, avg(periodogram_period) AS periodogram_period_mean, stddev_samp(periodogram_period) AS periodogram_period_sd, avg(periodogram_power) AS periodogram_power_mean FROM pg GROUP BY fly_id)"""
+PERIOD_NAMES = ["periodogram_period_mean", "periodogram_period_sd", "periodogram_power_mean"]
 RUNS = """,
     fl AS (SELECT *, n = 0 AS zero FROM used),
     ch AS (SELECT *, CASE WHEN lag(zero) OVER w IS DISTINCT FROM zero THEN 1 ELSE 0 END AS opens FROM fl WINDOW w AS (PARTITION BY fly_id, exp_day ORDER BY datetime)),
@@ -193,7 +205,7 @@ REMOVAL = HEALTH + f""",
     tag AS (SELECT e.*, CASE WHEN lower(final_status) = 'unhealthy' THEN 'status' WHEN e.monitor || '-ch' || e.channel = '1-ch3' THEN 'fly'
                              WHEN e.monitor || '-ch' || e.channel = '0-ch7' AND exp_day IN (1, 2) THEN 'day' WHEN lower(e.genotype) = 'sss' THEN 'genotype'
                              WHEN lower(e.treatment) = '8mm arg' THEN 'treatment' END AS stage FROM e LEFT JOIN report r ON e.fly_id = r.fly_id)"""
-STATS_Z = ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 4) AS {c}_z" for c in ALL_NAMES)
+STATS_Z = ", ".join(f"round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 4) AS {c}_z" for c in ALL_NAMES + PERIOD_NAMES)
 REPORT_NAMES = "days_analyzed, days_alive, days_unhealthy, days_dead, days_qc_fail, first_unhealthy_day::BIGINT AS first_unhealthy_day, first_dead_day::BIGINT AS first_dead_day, last_alive_day::BIGINT AS last_alive_day, final_status"
 CH = "fly_id, monitor, channel::BIGINT AS channel, genotype, sex, treatment"
 
@@ -203,7 +215,7 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _missing(spark: SparkSession, d: str) -> DataFrame:
-    return features.diagnostics(table(spark, d))
+    return features.diagnostics(table(spark, d, True))
 
 
 
@@ -213,8 +225,8 @@ QUERIES = {
     "sta1_cosinor": (lambda s, d: rounded(rhythm.cosinor(hourly(s, d)).select("fly_id", "exp_day", "mesor", "amplitude", "phase", "p_value"), 6), f"WITH {HOURLY} {COSINOR} SELECT fly_id, exp_day::BIGINT AS exp_day, {rnd(['mesor', 'amplitude', 'phase', 'p_value'], 6)} FROM cosinor"),
     "sta3_onset_offset": (lambda s, d: rounded(rhythm.onset_offset(hourly(s, d)).select("fly_id", "exp_day", "onset_zt", "offset_zt")), f"WITH {HOURLY} {ONSET} SELECT fly_id, exp_day::BIGINT AS exp_day, onset_zt::BIGINT AS onset_zt, offset_zt::BIGINT AS offset_zt FROM onset"),
     "sta4_interdaily_stability": (lambda s, d: rounded(rhythm.interdaily_stability(hourly(s, d)).select("fly_id", "interdaily_stability"), 6), f"WITH {HOURLY} {STABILITY} SELECT fly_id, {rnd(['interdaily_stability'], 6)} FROM stab"),
-    "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d), with_periodogram=False), 7), f"WITH {HOURLY} {RHYTHM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES, 7)} FROM rhythm"),
-    "sta2_periodogram": (lambda s, d: rounded(rhythm.periodogram(hourly(s, d)).select("fly_id", "exp_day", "periodogram_period", "periodogram_power")), None),
+    "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d)), 7), f"WITH {HOURLY} {RHYTHM} {PERIODOGRAM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES + PERIOD_NAMES, 7)} FROM rhythm LEFT JOIN pf USING (fly_id)"),
+    "sta2_periodogram": (lambda s, d: rounded(rhythm.periodogram(hourly(s, d)).select("fly_id", "exp_day", "periodogram_period", "periodogram_power")), f"WITH {HOURLY} {PERIODOGRAM} SELECT fly_id, exp_day::BIGINT AS exp_day, round(periodogram_period, 4) AS periodogram_period, round(periodogram_power, 4) AS periodogram_power FROM (SELECT DISTINCT fly_id, exp_day FROM hourly) LEFT JOIN pg USING (fly_id, exp_day)"),
     "win1_run_lengths": (lambda s, d: rounded(run_lengths(adapter.dense(s, d), ["fly_id", "exp_day"], "datetime", F.col("n") == 0).withColumnRenamed("flag", "zero")), f"WITH {HOURLY} {RUNS} SELECT fly_id, exp_day::BIGINT AS exp_day, run_id::BIGINT AS run_id, zero, count(*) AS length, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start FROM rn GROUP BY fly_id, exp_day, run_id, zero"),
     "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, missing_frac FROM dm"),
     "agg3_startle": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "transition_counts", "no_startle")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, transition_counts, no_startle FROM dm"),
@@ -229,14 +241,15 @@ QUERIES = {
     "win5_sleep_bouts": (lambda s, d: rounded(sleep.sleep_bouts(adapter.dense(s, d), BIN, THRESHOLD).select("fly_id", "exp_day", "start", "minutes", "is_day")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, minutes, is_day FROM bouts"),
     "win6_sleep_daily": (lambda s, d: rounded(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD).drop("monitor", "channel", "genotype", "sex", "treatment")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, total_bouts, day_bouts, night_bouts, {rnd([c for c in SLEEP_NAMES if c not in ('total_bouts', 'day_bouts', 'night_bouts')])} FROM daily"),
     "agg7_sleep_features": (lambda s, d: rounded(sleep.sleep_features(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD)), 7), f"WITH {HOURLY} {SLEEP} SELECT {CH}, {', '.join(f'round(avg({c}), 7) AS {c}_mean' for c in SLEEP_NAMES)}, count(*) AS n_days FROM daily GROUP BY {FL}"),
-    "join10_feature_table": (lambda s, d: rounded(table(s, d), 7), f"WITH {FEATURES} SELECT {CH}, rhythmic_days, n_days, {rnd(ALL_NAMES, 7)} FROM feat"),
+    "join10_feature_table": (lambda s, d: rounded(table(s, d, True), 7), f"WITH {FEATURES} {PERIODOGRAM} SELECT {CH}, rhythmic_days, n_days, {rnd(ALL_NAMES + PERIOD_NAMES, 7)} FROM feat LEFT JOIN pf USING (fly_id)"),
     "flt9_problem_flies": (_problem, f"WITH {FEATURES} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean FROM feat WHERE coalesce(total_sleep_mean, 0) = 0 OR coalesce(total_bouts_mean, 0) = 0"),
     "agg8_iqr_bounds": (lambda s, d: rounded(features.iqr_bounds(_kept(s, d))), f"WITH {GOOD} SELECT genotype, sex, treatment, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM bounds"),
     "flt10_iqr_outliers": (lambda s, d: rounded(features.with_outlier(_kept(s, d)).select("fly_id", "total_sleep_mean", "is_outlier")), f"WITH {GOOD} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean, is_outlier FROM flagged"),
     "agg9_outlier_summary": (lambda s, d: features.outlier_summary(_kept(s, d)).withColumn("percent", F.round("percent", 1)), f"WITH {GOOD} SELECT genotype, sex, treatment, count(*) AS n, count(*) FILTER (is_outlier) AS n_outliers, round(count(*) FILTER (is_outlier) * 100.0 / count(*), 1) AS percent FROM flagged GROUP BY ALL"),
     "agg10_clean_features": (lambda s, d: rounded(features.clean(table(s, d)).select("fly_id", "sleep_latency_mean", "waso_mean", "mesor_sd", "amplitude_sd", "phase_sd")), f"WITH {GOOD} SELECT fly_id, {rnd(['sleep_latency_mean', 'waso_mean', 'mesor_sd', 'amplitude_sd', 'phase_sd'])} FROM clean"),
-    "agg11_z_scores": (lambda s, d: rounded(features.z_scores(features.clean(table(s, d)))), f"WITH {GOOD} SELECT {CH}, {STATS_Z} FROM clean"),
-    "agg12_diagnostics": (_missing, f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM feat" for c in [*FLY, "rhythmic_days", "n_days", *ALL_NAMES])),
+    "agg11_z_scores": (lambda s, d: rounded(features.z_scores(features.clean(table(s, d, True)))), f"WITH {GOOD} {PERIODOGRAM} SELECT {CH}, {STATS_Z} FROM clean LEFT JOIN pf USING (fly_id)"),
+    "agg12_diagnostics": (_missing, f"WITH {FEATURES} {PERIODOGRAM}, wide AS (SELECT * FROM feat LEFT JOIN pf USING (fly_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM wide" for c in [*FLY, "rhythmic_days", "n_days", *ALL_NAMES, *PERIOD_NAMES])),
+    "agg12_rows_with_missing": (lambda s, d: features.rows_with_missing(table(s, d)), f"WITH {FEATURES} SELECT count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in ALL_NAMES)}) AS n_missing, count(*) AS n_rows FROM feat"),
     "flt7_removal": (lambda s, d: _removal(s, d)[0].select("event_id", "fly_id"), f"WITH {REMOVAL} SELECT event_id, fly_id FROM tag WHERE stage IS NULL"),
     "flt7_removal_counts": (lambda s, d: _removal(s, d)[1], f"WITH {REMOVAL} SELECT stage, count(*) AS n_rows, count(DISTINCT fly_id) AS n_flies FROM tag WHERE stage IS NOT NULL GROUP BY stage"),
 }

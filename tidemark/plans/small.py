@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions import timeparts as tp
 from tidemark.operators import cluster, ml, sliding, stats
 from tidemark.plans import core, statistics
 from tidemark.plans.core import DENSE, FLY_SQL, GOOD, HOURLY, TIME_SQL, _kept, rounded
+from tidemark.schemas import READING_TYPES
 from tidemark.sources import adapter
 
 E = f"e AS (SELECT event_id, {FLY_SQL}, ts, value, {TIME_SQL.replace('datetime', 'ts')}, CASE event_type WHEN 'view' THEN 'MT' WHEN 'click' THEN 'CT' ELSE 'Pn' END AS reading_type FROM events)"
@@ -81,8 +84,8 @@ QUERIES = {
     "win21_group_transform": (lambda s, d: rounded(_kept(s, d).select("fly_id", F.count(F.lit(1)).over(Window.partitionBy("genotype")).alias("n"), F.avg("total_sleep_mean").over(Window.partitionBy("genotype")).alias("m"))), f"WITH {GOOD} SELECT fly_id, count(*) OVER (PARTITION BY genotype) AS n, round((avg(total_sleep_mean) OVER (PARTITION BY genotype))::DOUBLE, 4) AS m FROM kept"),
     "srt2_key_order": (lambda s, d: adapter.readings(s, d).select("monitor", "channel").distinct().select(F.concat_ws("-", "monitor", "channel").alias("key"), F.row_number().over(Window.orderBy(F.col("monitor").cast("int"), "channel")).cast("long").alias("place")), f"WITH {E} SELECT monitor || '-' || channel AS key, row_number() OVER (ORDER BY monitor::INTEGER, channel) AS place FROM (SELECT DISTINCT monitor, channel FROM e)"),
     "srt5_latest": (lambda s, d: _events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id"), "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1"),
-    "srt6_sample": (lambda s, d: _events(s, d).orderBy(F.xxhash64(F.lit(42), "event_id")).limit(500).select("event_id"), None),
-    "set1_concat": (lambda s, d: adapter.readings(s, d).where("monitor = '0'").unionByName(adapter.readings(s, d).where("monitor = '1'")).select("event_id", "monitor"), f"WITH {E} SELECT event_id, monitor FROM e WHERE monitor IN ('0', '1')"),
+    "srt6_sample": (lambda s, d: _events(s, d).orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("event_id").cast("string"))), "event_id").limit(500).select("event_id"), "SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500"),
+    "set1_concat": (lambda s, d: functools.reduce(DataFrame.unionByName, [adapter.readings(s, d).where(F.col("reading_type") == k).select("event_id", "monitor", "reading_type") for k in READING_TYPES]), f"WITH {E} SELECT event_id, monitor, reading_type FROM e"),
     "set4_unique_values": (lambda s, d: adapter.readings(s, d).select("genotype", "treatment").distinct(), f"WITH {E} SELECT DISTINCT genotype, treatment FROM e"),
     "join13_group_pairs": (lambda s, d: (lambda g: g.join(g.withColumnRenamed("g1", "g2"), F.col("g1") < F.col("g2")))(adapter.readings(s, d).select(F.col("genotype").alias("g1")).distinct()), f"WITH {E}, g AS (SELECT DISTINCT genotype AS g FROM e) SELECT a.g AS g1, b.g AS g2 FROM g a JOIN g b ON a.g < b.g"),
     "join17_anti_semi": (lambda s, d: adapter.readings(s, d).join(adapter.readings(s, d).where("value > 450").select("fly_id").distinct(), "fly_id", "left_anti").select("event_id"), f"WITH {E} SELECT event_id FROM e WHERE fly_id NOT IN (SELECT fly_id FROM e WHERE value > 450)"),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cluster, stats
 from tidemark.plans.core import ALL_NAMES, GOOD, _kept, rounded
+from tidemark.schemas import FEATURE_LABELS
+from tidemark.sources import files
 
 IDS = ["fly_id", "genotype", "sex", "treatment"]
 
@@ -49,6 +51,15 @@ def _bh(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.benjamini_hochberg(p, [], "p_value", "feature"))
 
 
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d).withColumn("vehicle", F.col("treatment") == "VEH")
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    """A labelling of all flies: channel modulo five, the first of which is noise."""
+    return _kept(spark, d).select("fly_id", (F.col("channel") % 5 - 1).alias("cluster_hdbscan"))
+
+
 def _ari(spark: SparkSession, d: str) -> DataFrame:
     flies = _kept(spark, d)
     return rounded(cluster.agreement(flies, "genotype", "treatment"), 6)
@@ -68,14 +79,18 @@ QUERIES = {
     "sta14_mann_whitney": (lambda s, d: rounded(stats.mann_whitney(long(s, d), ["feature"], F.lower("sex").startswith("f")).select("feature", "n1", "n2", "u", "rank_biserial")), f"WITH {RANKS} SELECT feature, count(*) FILTER (sex = 'Female') AS n1, count(*) FILTER (sex <> 'Female') AS n2, round(sum(mid_rank) FILTER (sex = 'Female') - n1 * (n1 + 1) / 2.0, 4) AS u, round(2 * (sum(mid_rank) FILTER (sex = 'Female') - n1 * (n1 + 1) / 2.0) / (n1 * n2) - 1, 4) AS rank_biserial FROM rk GROUP BY feature HAVING n1 >= 3 AND n2 >= 3"),
     "join20_one_vs_rest": (lambda s, d: rounded(stats.one_vs_rest(long(s, d), "genotype").select("feature", "genotype", "u", "rank_biserial", "direction")), f"WITH {RANKS}, g AS (SELECT feature, genotype, count(*) AS n1, sum(mid_rank) AS r1 FROM rk GROUP BY ALL), w AS (SELECT *, sum(n1) OVER (PARTITION BY feature) - n1 AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u FROM g) SELECT feature, genotype, round(u, 4) AS u, round(2 * u / (n1 * n2)::DOUBLE - 1, 4) AS rank_biserial, CASE WHEN 2 * u / (n1 * n2)::DOUBLE - 1 > 0 THEN 'elevated' ELSE 'suppressed' END AS direction FROM w WHERE n1 >= 3 AND n2 >= 3"),
     "sta15_chi_square": (lambda s, d: rounded(stats.chi_square(_kept(s, d), "genotype", "treatment").select("chi2", "df")), f"WITH {GOOD}, n AS (SELECT genotype, treatment, count(*) AS n FROM kept GROUP BY ALL), a AS (SELECT genotype, sum(n) AS a FROM n GROUP BY 1), b AS (SELECT treatment, sum(n) AS b FROM n GROUP BY 1), e AS (SELECT genotype, treatment, a * b / (SELECT sum(n) FROM n)::DOUBLE AS e FROM a, b) SELECT round(sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e), 4) AS chi2, ((SELECT count(*) FROM a) - 1) * ((SELECT count(*) FROM b) - 1) AS df FROM e LEFT JOIN n USING (genotype, treatment)"),
+    "sta15_fisher": (lambda s, d: rounded(stats.fisher(_halves(s, d), "sex", "vehicle"), 6), f"WITH {GOOD}, c AS (SELECT sex, treatment = 'VEH' AS vehicle, count(*) AS n FROM kept GROUP BY ALL), g AS (SELECT s.sex, v.vehicle, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT sex FROM c) s CROSS JOIN (SELECT DISTINCT vehicle FROM c) v LEFT JOIN c ON c.sex = s.sex AND c.vehicle = v.vehicle), q AS (SELECT list(n ORDER BY sex, vehicle) AS l FROM g), m AS (SELECT l[1]::BIGINT AS a, (l[1] + l[2])::BIGINT AS r, (l[1] + l[3])::BIGINT AS k, (l[1] + l[2] + l[3] + l[4])::BIGINT AS n FROM q), p AS (SELECT x, a, lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(r - x + 1) - lgamma(n - k - r + x + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) AS lp FROM (SELECT *, unnest(generate_series(greatest(0, r + k - n), least(r, k))) AS x FROM m)) SELECT 'Fisher exact' AS test, round(least(1, sum(exp(lp))), 6) AS p_value FROM p WHERE exp(lp) <= (SELECT exp(lp) FROM p WHERE x = a) * (1 + 1e-7) HAVING count(*) > 0"),
+    "sta15_composition": (lambda s, d: rounded(stats.composition(_kept(s, d), "genotype", "treatment")), None),
+    "join14_clusters_features": (lambda s, d: rounded(cluster.with_clusters(_kept(s, d), _clusters(s, d)).groupBy("cluster", "genotype").agg(F.count(F.lit(1)).alias("n"), F.avg("total_sleep_mean").alias("sleep"))), f"WITH {GOOD} SELECT channel::BIGINT % 5 - 1 AS cluster, genotype, count(*) AS n, round(avg(total_sleep_mean), 4) AS sleep FROM kept WHERE channel % 5 > 0 GROUP BY ALL"),
+    "prj12_display_names": (lambda s, d: rounded(files.display_names(stats.medians(long(s, d), "sex"))), f"WITH {LONG} SELECT sex, CASE feature {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FEATURE_LABELS.items())} ELSE feature END AS feature, round(median(value), 4) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, count(*) AS n FROM lng GROUP BY ALL"),
     "agg16_contingency": (lambda s, d: rounded(stats.contingency(_kept(s, d), "genotype", "sex")), f"WITH {GOOD}, n AS (SELECT genotype, sex, count(*) AS n FROM kept GROUP BY ALL), a AS (SELECT genotype, sum(n) AS a FROM n GROUP BY 1), b AS (SELECT sex, sum(n) AS b FROM n GROUP BY 1) SELECT genotype, sex, coalesce(n, 0)::BIGINT AS n, round(a * b / (SELECT sum(n) FROM n)::DOUBLE, 4) AS expected, round(coalesce(n, 0) * 100 / a::DOUBLE, 4) AS row_percent FROM a CROSS JOIN b LEFT JOIN n USING (genotype, sex)"),
     "sta16_cliffs_delta": (lambda s, d: rounded(stats.cliffs_delta(long(s, d), "genotype")), f"WITH {LONG} SELECT x.feature, x.genotype AS g1, y.genotype AS g2, round(avg(sign(x.value - y.value)), 4) AS delta, CASE WHEN abs(avg(sign(x.value - y.value))) < 0.147 THEN 'negligible' WHEN abs(avg(sign(x.value - y.value))) < 0.33 THEN 'small' WHEN abs(avg(sign(x.value - y.value))) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM lng x JOIN lng y ON x.feature = y.feature AND x.genotype < y.genotype GROUP BY ALL"),
     "sta17_cohens_d": (lambda s, d: rounded(stats.cohens_d(long(s, d), "genotype")), f"WITH {LONG}, g AS (SELECT DISTINCT genotype FROM lng), m AS (SELECT l.feature, g.genotype, count(*) FILTER (l.genotype = g.genotype) AS n1, count(*) FILTER (l.genotype <> g.genotype) AS n2, avg(value) FILTER (l.genotype = g.genotype) AS m1, avg(value) FILTER (l.genotype <> g.genotype) AS m2, var_samp(value) FILTER (l.genotype = g.genotype) AS v1, var_samp(value) FILTER (l.genotype <> g.genotype) AS v2 FROM lng l, g GROUP BY ALL) SELECT feature, genotype, round(CASE WHEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) < 1e-12 THEN 0 ELSE (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) END, 4) AS d FROM m WHERE n1 >= 2 AND n2 >= 2"),
     "agg17_group_medians": (lambda s, d: rounded(stats.medians(long(s, d), "genotype")), f"WITH {LONG} SELECT genotype, feature, round(median(value), 4) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, count(*) AS n FROM lng GROUP BY ALL"),
     "agg18_signature": (lambda s, d: rounded(_kept(s, d).groupBy("genotype").agg(*[F.avg(c).alias(c) for c in ALL_NAMES]), 7), f"WITH {GOOD} SELECT genotype, {', '.join(f'round(avg({c}), 7) AS {c}' for c in ALL_NAMES)} FROM kept GROUP BY genotype"),
-    "srt4_top_effects": (lambda s, d: rounded(cluster.top_k(stats.cohens_d(long(s, d), "genotype"), ["genotype"], F.abs("d"), 5, "feature")), None),
+    "srt4_top_effects": (lambda s, d: rounded(cluster.top_k(stats.cohens_d(long(s, d), "genotype"), ["genotype"], F.abs(F.round("d", 6)), 5, "feature")), f"WITH {LONG}, g AS (SELECT DISTINCT genotype FROM lng), m AS (SELECT l.feature, g.genotype, count(*) FILTER (l.genotype = g.genotype) AS n1, count(*) FILTER (l.genotype <> g.genotype) AS n2, avg(value) FILTER (l.genotype = g.genotype) AS m1, avg(value) FILTER (l.genotype <> g.genotype) AS m2, var_samp(value) FILTER (l.genotype = g.genotype) AS v1, var_samp(value) FILTER (l.genotype <> g.genotype) AS v2 FROM lng l, g GROUP BY ALL), ds AS (SELECT feature, genotype, CASE WHEN sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) < 1e-12 THEN 0 ELSE (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) END AS d FROM m WHERE n1 >= 2 AND n2 >= 2) SELECT genotype, feature, round(d, 4) AS d, row_number() OVER (PARTITION BY genotype ORDER BY abs(round(d, 6)) DESC, feature) AS rank FROM ds QUALIFY rank <= 5"),
     "sta18_davies_calinski": (lambda s, d: rounded(cluster.centroid_scores(cluster.components_long(embedded(s, d), "vec_id", "label", "embedding")), 4), f"WITH {EMB}, w AS (SELECT label, vec_id, sqrt(sum((x - c) * (x - c))) AS dist, sum((x - c) * (x - c)) AS sq FROM v JOIN ce USING (label, j) GROUP BY ALL), s AS (SELECT label, avg(dist) AS s, sum(sq) AS ssw FROM w GROUP BY label), m AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM ce a JOIN ce b ON a.j = b.j AND a.label <> b.label GROUP BY ALL), r AS (SELECT la, max((x.s + y.s) / m) AS r FROM m JOIN s x ON la = x.label JOIN s y ON lb = y.label GROUP BY la), bs AS (SELECT sum(n * (c - g) * (c - g)) AS ssb FROM ce JOIN gr USING (j) JOIN sz USING (label)) SELECT (SELECT count(*) FROM sz) AS n_clusters, round((SELECT avg(r) FROM r), 4) AS davies_bouldin, round((SELECT ssb FROM bs) / ((SELECT count(*) FROM sz) - 1) / ((SELECT sum(ssw) FROM s) / ((SELECT sum(n) FROM sz) - (SELECT count(*) FROM sz))), 4) AS calinski_harabasz"),
     "sta18_silhouette": (lambda s, d: rounded(cluster.silhouette(embedded(s, d), "vec_id", "label", "embedding"), 4), "WITH p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL), x AS (SELECT vec_id, la, max(s / n) FILTER (la = lb) AS a, min(s / n) FILTER (la <> lb) AS b FROM p GROUP BY ALL) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM x"),
-    "sta19_agreement": (_ari, f"WITH {GOOD}, c AS (SELECT genotype, treatment, count(*)::DOUBLE AS n FROM kept GROUP BY ALL), a AS (SELECT genotype, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT treatment, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(a * (a - 1) / 2) FROM a) AS ai, (SELECT sum(b * (b - 1) / 2) FROM b) AS bj, (SELECT t * (t - 1) / 2 FROM t) AS tt, (SELECT sum(n / t * ln(n * t / (a * b))) FROM c JOIN a USING (genotype) JOIN b USING (treatment), t) AS mi, (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb) SELECT round((ij - ai * bj / tt) / ((ai + bj) / 2 - ai * bj / tt), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi FROM s"),
+    "sta19_agreement": (_ari, f"WITH {GOOD}, c AS (SELECT genotype, treatment, count(*)::DOUBLE AS n FROM kept GROUP BY ALL), a AS (SELECT genotype, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT treatment, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c), e AS (SELECT coalesce(sum(x.e), 0) AS emi FROM (SELECT (k / t.t) * ln(t.t * k / (a.a * b.b)) * exp(lgamma(a.a + 1) + lgamma(b.b + 1) + lgamma(t.t - a.a + 1) + lgamma(t.t - b.b + 1) - lgamma(t.t + 1) - lgamma(k + 1) - lgamma(a.a - k + 1) - lgamma(b.b - k + 1) - lgamma(t.t - a.a - b.b + k + 1)) AS e FROM a, b, t, LATERAL (SELECT unnest(generate_series(greatest(1, a.a + b.b - t.t)::BIGINT, least(a.a, b.b)::BIGINT))::DOUBLE AS k)) x), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(a * (a - 1) / 2) FROM a) AS ai, (SELECT sum(b * (b - 1) / 2) FROM b) AS bj, (SELECT t * (t - 1) / 2 FROM t) AS tt, (SELECT sum(n / t * ln(n * t / (a * b))) FROM c JOIN a USING (genotype) JOIN b USING (treatment), t) AS mi, (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb, (SELECT emi FROM e) AS emi) SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami, round((ij - ai * bj / tt) / ((ai + bj) / 2 - ai * bj / tt), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi FROM s"),
     "ml3_nearest_neighbours": (lambda s, d: rounded(cluster.knn(embedded(s, d), "vec_id", "embedding", 5), 4), "SELECT vec_id, k, round(distance, 4) AS distance FROM (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) - 1 AS k FROM embeddings a, embeddings b) WHERE k < 5"),
 }

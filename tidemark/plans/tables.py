@@ -75,10 +75,10 @@ def _part(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _part(spark, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
-    return c.where("c_custkey % 3 != 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2))
+    return c.where("c_acctbal < 6000"), c.where("c_acctbal >= 3000").withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2))
 
 
-OLD_NEW = "o AS (SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, c_mktsegment, round(round(c_acctbal, 2) + 1, 2) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)"
+OLD_NEW = "o AS (SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE round(c_acctbal, 2) < 6000), n AS (SELECT c_custkey, c_mktsegment, round(round(c_acctbal, 2) + 1, 2) AS c_acctbal FROM customer WHERE round(c_acctbal, 2) >= 3000)"
 QUERIES = {
     "src1_monitor_readings": (_readings, f"WITH {LINES}, w AS (SELECT k.monitor, k.channel, k.t, x.kind, coalesce(n, 0) AS n FROM k, x LEFT JOIN c ON c.monitor = k.monitor AND c.channel = k.channel AND c.t = k.t AND c.kind = x.kind) SELECT monitor, strftime(t, '%Y-%m-%d %H:%M:%S') AS datetime, channel::BIGINT AS channel, kind AS reading_type, n::BIGINT AS value FROM w"),
     "src5_filtered_lines": (_filtered, f"WITH {LINES} SELECT monitor, kind AS movement_type, count(*) AS n FROM (SELECT DISTINCT monitor, t, kind FROM c WHERE t >= TIMESTAMP '2024-01-03 09:00:00' AND t < TIMESTAMP '2024-01-08 09:00:00') GROUP BY ALL"),
@@ -89,6 +89,8 @@ QUERIES = {
     "win18_gap_bouts": (lambda s, d: rounded(states.gap_bouts(adapter.readings(s, d), ["fly_id"], gap_minutes=120)), f"WITH e AS (SELECT {FLY_SQL}, ts FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 120 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM e WINDOW w AS (PARTITION BY fly_id ORDER BY ts)), b AS (SELECT *, sum(o) OVER (PARTITION BY fly_id ORDER BY ts)::BIGINT AS bout FROM g) SELECT fly_id, bout, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM b GROUP BY fly_id, bout"),
     "agg19_state_shares": (lambda s, d: rounded(states.state_shares(rolled(s, d)).select("fly_id", "n_bins", "pct_dead", "pct_sleep", "first_warmup"), 1), f"WITH {ROLLING} SELECT fly_id, count(*) AS n_bins, round_even(avg((state = 'Dead')::INTEGER) * 100, 1) AS pct_dead, round_even(avg((state = 'Sleep')::INTEGER) * 100, 1) AS pct_sleep, strftime(min(CASE WHEN state = 'Warmup' THEN bin_start END), '%Y-%m-%d %H:%M:%S') AS first_warmup FROM st GROUP BY fly_id"),
     "agg20_quality_summary": (lambda s, d: rounded(states.quality_summary(states.quality_table(rolled(s, d))), 1), f"WITH {ROLLING}, q AS (SELECT fly_id, genotype, round_even(avg((state = 'Dead')::INTEGER) * 100, 1) AS d, round_even(avg((state = 'Sleep')::INTEGER) * 100, 1) AS s FROM st GROUP BY ALL), k AS (SELECT genotype, CASE WHEN d > 0 THEN 'Exclude' ELSE 'Keep' END AS decision, count(*) AS n, round(median(d), 1) AS median_dead, round(median(s), 1) AS median_sleep FROM q GROUP BY ALL) SELECT *, round(n * 100.0 / sum(n) OVER (PARTITION BY genotype), 1)::DOUBLE AS percent FROM k"),
+    "join16_candidate_bouts": (lambda s, d: rounded(states.candidate_bouts(rolled(s, d), 120, 2).select("fly_id", "bin_start", "bout")), f"WITH {ROLLING}, cb AS (SELECT fly_id, bin_start, CASE WHEN bin_start - lag(bin_start) OVER w > INTERVAL 120 MINUTE THEN 1 ELSE 0 END AS o FROM st WHERE state = 'HMM_candidate' WINDOW w AS (PARTITION BY fly_id ORDER BY bin_start)), b AS (SELECT *, sum(o) OVER (PARTITION BY fly_id ORDER BY bin_start) AS run FROM cb) SELECT fly_id, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start, 1 + run::BIGINT - min(run) OVER (PARTITION BY fly_id)::BIGINT AS bout FROM b QUALIFY count(*) OVER (PARTITION BY fly_id, run) >= 2"),
+    "ml14_quality_after_model": (lambda s, d: rounded(states.quality_table(states.with_decoded(rolled(s, d), states.hmm_states(rolled(s, d)))).groupBy("genotype", "decision").agg(F.count(F.lit(1)).alias("n"))), None),
     "ml13_hmm_states": (lambda s, d: rounded(states.hmm_states(rolled(s, d))), None),
     "win_sliding_rows": (lambda s, d: rounded(sliding.sliding_rows(core.watched(s, d), core.days(s, d), core.BIN, core.THRESHOLD)), None),
     "snk3_insert_ignore": (lambda s, d: store.insert_ignore(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)"),
@@ -100,10 +102,10 @@ QUERIES = {
     "src17_listing_difference": (lambda s, d: store.listing_difference(*[t.select(F.col("c_custkey").cast("string").alias("path"), F.col("c_acctbal").alias("size")) for t in _old_new(s, d)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")), f"WITH {OLD_NEW} SELECT CASE WHEN n.c_custkey IS NULL THEN 'push' WHEN o.c_custkey IS NULL THEN 'pull' WHEN o.c_acctbal <> n.c_acctbal THEN 'differs' ELSE 'same' END AS state, count(*) AS n FROM o FULL JOIN n ON o.c_custkey = n.c_custkey GROUP BY 1"),
     "ml1_pca_variance": (lambda s, d: ml.pca_variance(_part(s, d, "embeddings"), "embedding"), None),
     "ml4_dbscan": (lambda s, d: ml.dbscan_sizes(_part(s, d, "embeddings")), None),
-    "win20_elbow": (lambda s, d: ml.elbow_of(_part(s, d, "embeddings")), None),
+    "win20_elbow": (lambda s, d: rounded(ml.elbow_of(_part(s, d, "embeddings"))), "WITH k AS (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b), s AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM k WHERE n = 6), t AS (SELECT d, i, lead(d, 2) OVER (ORDER BY d) - 2 * lead(d) OVER (ORDER BY d) + d AS bend FROM s) SELECT i::BIGINT AS index, round(d, 4) AS distance FROM t WHERE bend IS NOT NULL ORDER BY bend DESC, i LIMIT 1"),
     "ml6_forest_metrics": (lambda s, d: rounded(ml.forest_report(_part(s, d, "embeddings"))), None),
     "ml8_forest_importance": (lambda s, d: rounded(ml.forest_importance(_part(s, d, "embeddings"))), None),
     "ml10_boosted_metrics": (lambda s, d: rounded(ml.boosted_report(_part(s, d, "embeddings"))), None),
     "ml5_hdbscan_sizes": (lambda s, d: ml.hdbscan(_part(s, d, "embeddings"), "vec_id", "embedding").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), None),
-    "ml9_group_split": (lambda s, d: ml.group_split(adapter.readings(s, d), "fly_id", F.lit("all")).groupBy("part").agg(F.count_distinct("fly_id").alias("n")), None),
+    "ml9_group_split": (lambda s, d: ml.group_split(adapter.readings(s, d), "fly_id", F.lit("all")).groupBy("part").agg(F.count_distinct("fly_id").alias("n")), f"WITH f AS (SELECT DISTINCT fly_id FROM (SELECT {FLY_SQL} FROM events)), p AS (SELECT row_number() OVER (ORDER BY md5('42:' || fly_id), fly_id) / count(*) OVER () AS place FROM f) SELECT CASE WHEN place <= 0.8 THEN 'train' WHEN place <= 0.9 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM p GROUP BY 1"),
 }

@@ -44,3 +44,39 @@ THRESHOLDS = {
     "decline": 0.5, "death": 0.2, "missing_max": 0.10, "transition_minutes": 10,
 }
 LIGHTS_ON, LIGHTS_OFF, REF_DAY, EXCLUDE_DAYS = 9, 21, 4, (1, 7)
+#: How features are named in tables for readers.
+FEATURE_LABELS = {
+    "mesor_mean": "Mesor",
+    "mesor_sd": "Mesor variation",
+    "amplitude_mean": "Amplitude",
+    "amplitude_sd": "Amplitude variation",
+    "phase_mean": "Phase",
+    "phase_sd": "Phase variation",
+    "periodogram_period_mean": "Period",
+    "periodogram_period_sd": "Period variation",
+    "periodogram_power_mean": "Rhythmicity",
+    "activity_onset_zt_mean": "Activity onset",
+    "activity_onset_zt_sd": "Activity onset variation",
+    "activity_offset_zt_mean": "Activity offset",
+    "activity_offset_zt_sd": "Activity offset variation",
+    "interdaily_stability": "Interdaily stability",
+    "total_sleep_mean": "Total sleep",
+    "day_sleep_mean": "Daytime sleep",
+    "night_sleep_mean": "Nighttime sleep",
+    "total_bouts_mean": "Total sleep bouts",
+    "day_bouts_mean": "Day sleep bouts",
+    "night_bouts_mean": "Night sleep bouts",
+    "mean_bout_mean": "Mean bout duration",
+    "max_bout_mean": "Longest bout",
+    "mean_day_bout_mean": "Mean day bout",
+    "max_day_bout_mean": "Longest day bout",
+    "mean_night_bout_mean": "Mean night bout",
+    "max_night_bout_mean": "Longest night bout",
+    "frag_bouts_per_hour_mean": "Sleep bouts/hour",
+    "frag_bouts_per_min_sleep_mean": "Sleep interruption rate",
+    "mean_wake_bout_mean": "Wake bout duration",
+    "p_wake_mean": "P(wake)",
+    "p_doze_mean": "P(doze)",
+    "sleep_latency_mean": "Sleep latency",
+    "waso_mean": "WASO",
+}

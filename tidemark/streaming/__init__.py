@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +31,23 @@ def gap_bouts(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes
     """Bouts of events at most ``gap`` apart."""
     got = stream.withWatermark("datetime", late).groupBy("fly_id", F.session_window("datetime", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return got.select("fly_id", F.col("w.start").alias("start"), F.col("w.end").alias("closed"), "n")
+
+
+def irreversible(days: DataFrame) -> DataFrame:
+    """Fly-days (fly_id, exp_day, status) as they come, Dead from a fly's first dead day on.
+
+    A fly's state is that day. A day that comes late, but lies before it, keeps its status; days that went out as something
+    else before an earlier death became known aren't sent again.
+    """
+
+    def label(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        f, since = pd.concat(list(frames)), state.get[0] if state.exists else None
+        dead = f.loc[f["status"] == "Dead", "exp_day"]
+        if len(dead):
+            since = int(dead.min() if since is None else min(dead.min(), since))
+        if since is not None:
+            f = f.assign(status=f["status"].where(f["exp_day"] < since, "Dead"))
+            state.update((since,))
+        yield f[["fly_id", "exp_day", "status"]]
+
+    return days.groupBy("fly_id").applyInPandasWithState(label, "fly_id string, exp_day int, status string", "since int", "append", "NoTimeout")
