@@ -8,7 +8,7 @@ import pytest
 from tidemark.llm import bpe, queries, tokenfile
 
 tokenizers = pytest.importorskip("tokenizers")
-WORD, BYTE = f"{queries.TOKENIZERS}/word_bpe_49k.json", f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+WORD, BYTE = queries.tokenizer_file("word_bpe_49k.json"), queries.tokenizer_file("byte_bpe_50k.json")
 pytestmark = pytest.mark.skipif(not os.path.exists(WORD), reason="no tokenizer files")
 TEXTS = [
     "", " ", "Hello WORLD it's <|endoftext|>x <|startoftext|>", "Σας ΑΣ İstanbul été Å", "a" * 3000, "\x1c\x1d a\x85b c", "aaaa aaa aa 12345 don't'S !!! ###\n\t\v\f x",
@@ -46,12 +46,57 @@ def test_encode_documents(spark, odd, none):
     assert all(r.decoded == r.again for r in back)
 
 
-def test_whole_texts_are_encoded():
+def every_code_point():
+    """Texts that hold every code point (surrogates aside) between letters, after a digit, and between signs and blanks."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or c >= 0xE0000 and c < 0xE0200 or c % 257 == 0)]
+    for at in range(0, len(points), 64):
+        some = points[at : at + 64]
+        yield " ".join(f"a{c}b 1{c} !{c}." for c in some)
+
+
+def test_word_bpe_over_every_code_point():
+    lib, mine, texts = tokenizers.Tokenizer.from_file(WORD), bpe.WordBpe.load(WORD), list(every_code_point())
+    for text, want, (raw, _) in zip(texts, lib.encode_batch(texts, add_special_tokens=False), mine.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == want.ids, ascii(text[:8])
+
+
+def test_whole_texts_are_encoded(monkeypatch):
     lib = tokenizers.Tokenizer.from_file(BYTE)
     with open(BYTE, encoding="utf-8") as f:
-        mine = tokenfile.encode_texts(tokenfile.open_tokenizer(f.read()), TEXTS)
-    for text, raw in zip(TEXTS, mine, strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+        mine = tokenfile.open_tokenizer(f.read())
+    monkeypatch.setattr(tokenfile, "TABLE_WORDS", 2000)
+    texts = TEXTS + list(every_code_point())
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 50):
+        for text, ids, raw in zip(texts[at : at + 50], want[at : at + 50], mine.encode(texts[at : at + 50]), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == ids, ascii(text[:8])
+
+
+def repeats(sym, ends):
+    """The most places without overlap that a pair of neighbours within a document has."""
+    seen = {}
+    for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        last = {}
+        for k, pair in enumerate(zip(sym[a : b - 1].tolist(), sym[a + 1 : b].tolist(), strict=True)):
+            if last.get(pair) == k - 1:
+                del last[pair]
+                continue
+            last[pair] = k
+            seen[pair] = seen.get(pair, 0) + 1
+    return max(seen.values(), default=0)
+
+
+@pytest.mark.parametrize("first", [8, 70_000, 1 << 30])
+def test_no_pair_is_left_twice(first):
+    rng = np.random.default_rng(first)
+    for _ in range(60):
+        n = int(rng.integers(1, 300))
+        ids = rng.integers(0, rng.integers(1, 8), n)
+        ends = np.unique(np.r_[rng.integers(1, n + 1, int(rng.integers(0, 5))), n])
+        sym, rules, got = tokenfile.compress(ids, ends, first)
+        assert repeats(sym, got) < 2 and np.array_equal(tokenfile.expand(sym, rules, tokenfile.rule_lengths(rules, first), first), ids)
+    text = np.tile(rng.integers(0, 8, 1000), 50)
+    assert len(tokenfile.compress(text, np.array([len(text)]), first)[0]) < 20
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -69,7 +114,7 @@ def test_grammar_round_trip(seed):
         a, b = sorted(rng.integers(0, len(flat) + 1, 2))
         assert b == a or np.array_equal(shard.slice(a, b), flat[a:b])
     assert len(shard.rules) == 0 or len(shard.symbols) < len(flat)
-    assert tokenfile.rule_lengths(shard.rules, 50257).tolist() == [len(tokenfile.expand(np.array([50257 + r]), shard.rules, 50257)) for r in range(len(shard.rules))]
+    assert tokenfile.rule_lengths(shard.rules, 50257).tolist() == shard.lengths.tolist()
 
 
 def test_token_file(spark, odd, none, monkeypatch):

@@ -1,8 +1,8 @@
 """Token-id files: byte-level BPE ids in ascending doc_id order, compressed shard by shard with a Re-Pair grammar.
 
 Each document is encoded whole by the tokenizers library and ended by an end id. A shard holds the ids of consecutive
-documents as a straight-line grammar: frequent neighbouring ids are replaced again and again by nonterminals. Pairs never
-reach over a document's end, so every document is a range of the shard's symbols, and the stored expansion lengths of the
+documents as a straight-line grammar: the most frequent neighbouring ids are replaced by nonterminals until no pair repeats,
+whatever the numbers of ids and rules. Pairs never reach over a document's end, so every document is a range of the shard's symbols, and the stored expansion lengths of the
 rules let a reader find and expand any range of ids without the rest of the shard.
 
 A file is a Parquet table of shards (part, shard, first, n_ids, payload); payload is the binary layout of ``pack``. Any
@@ -14,6 +14,7 @@ text and then text. Extra columns are ignored. No rows: an empty file.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -21,95 +22,163 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, has_unassigned
 
-MAGIC = b"TMRP0001"
-#: Ids after which a shard is closed, rounds of replacement, and pairs with fewer places that are left alone.
-SHARD_IDS, ROUNDS, LEAST = 1 << 19, 5, 24
+MAGIC = b"TMRP0002"
+#: Ids after which a shard is closed, and how much rarer than the most frequent pair one may be that is replaced with it.
+SHARD_IDS, STEP = 1 << 19, 8
+#: Fixed value: how byte-level tokenizers cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-_OPEN: dict[int, object] = {}
+#: Words whose ids a Python worker keeps.
+TABLE_WORDS = 1_000_000
+_OPEN: dict[int, Encoder] = {}
 
 
-def open_tokenizer(spec: str):
-    """A Python worker's tokenizer of this file, which tasks that follow one another share. It keeps to the task's core."""
-    if hash(spec) not in _OPEN:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Encoder:
+    """The tokenizers library over whole texts, with a table of the words that it has encoded.
+
+    A byte-level tokenizer cuts a text into words by a fixed pattern and encodes each by itself, so a word met before needs no
+    second call. Texts that hold an added token, or a code point that not all Unicode tables know, go to the library whole.
+    """
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # keep to the task's core
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_str(spec)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        settings = json.loads(spec)
+        cut = settings["pre_tokenizer"] or {}
+        fixed = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not settings["normalizer"]
+        self.words = regex.compile(WORDS).findall if fixed else None
+        self.table: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        if self.words is None:
+            return self._whole(texts)
+        split = [None if any(a in t for a in self.added) else self.words(t) for t in texts]
+        new = set().union(*filter(None, split)).difference(self.table)
+        odd = {w for w in new if has_unassigned(w)}
+        if len(self.table) + len(new) > TABLE_WORDS:
+            self.table, new = {}, set().union(*filter(None, split))
+        new = sorted(new - odd)
+        self.table.update(zip(new, self._whole(new), strict=True))
+        whole = [i for i, words in enumerate(split) if words is None or odd and not odd.isdisjoint(words)]
+        found = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+        return [found[i] if i in found else b"".join(map(self.table.__getitem__, words)) for i, words in enumerate(split)]
+
+
+def open_tokenizer(spec: str) -> Encoder:
+    """A Python worker's encoder of this file, which tasks that follow one another share."""
+    if hash(spec) not in _OPEN:
         _OPEN.clear()
-        _OPEN[hash(spec)] = Tokenizer.from_str(spec)
+        _OPEN[hash(spec)] = Encoder(spec)
     return _OPEN[hash(spec)]
 
 
-def encode_texts(tokenizer, texts: list[str]) -> list[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit integers."""
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def _grouped(sym: np.ndarray, nxt: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, pair of each place, pairs, places of each pair) of the pairs that start at ``at``, which ascends.
 
-
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Of a run of equal symbols every second place counts, from the left: a pair's places never overlap.
+    """
+    left, right = sym[at], sym[nxt[at]]
+    same = left == right
+    if same.any():
+        run = at[same]
+        fresh = np.r_[True, run[1:] != nxt[run[:-1]]]
+        k = np.arange(len(run))
+        keep = ~same
+        keep[same] = (k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0
+        at, left, right = at[keep], left[keep], right[keep]
+    if not len(at):
+        return at, at, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits, low = int(max(left.max(), right.max())).bit_length(), len(at).bit_length()
+    if 2 * bits + low < 64:  # one sort of numbers that end with the place is faster than a sort of places
+        packed = np.sort((((left << bits) | right) << low) | np.arange(len(at)))
+        key, at = packed >> low, at[packed & ((1 << low) - 1)]
+    else:
+        key = (left << 32) | right
+        order = np.argsort(key, kind="stable")
+        key, at, bits = key[order], at[order], 32
+    new = np.r_[True, key[1:] != key[:-1]]
+    begin = np.flatnonzero(new)
+    names = key[begin]
+    return at, np.cumsum(new) - 1, ((names >> bits) << 32) | (names & ((1 << bits) - 1)), np.diff(np.r_[begin, len(key)])
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, symbol ends of the documents). Rule r is the nonterminal first + r and expands to its two symbols.
 
-    A round counts all neighbouring pairs and replaces every pair that is frequent enough, the most frequent first: where
-    pairs overlap, the place goes to the one more frequent, and equal neighbours are taken from the left.
+    Replacement goes on until no pair has two places that don't overlap. Pairs within a factor STEP of the most frequent one are
+    replaced together: where places overlap the more frequent pair has it, and a pair that is left with one place is left
+    alone. Symbols are linked to their neighbours, so that a round touches only the places of pairs that still repeat.
     """
-    sym = ids.astype(np.int64)
-    close = np.zeros(len(sym), bool)
-    close[ends - 1] = True
-    rules: list[np.ndarray] = []
-    top = 1 << 16
-    for _ in range(rounds):
-        room = top - first - sum(map(len, rules))
-        if len(sym) < 2 or room <= 0:
-            break
-        key = (sym[:-1] << 20) | sym[1:]
-        key[close[:-1]] = -1
-        # buckets that are too light hold no frequent pair; the rest is counted exactly
-        bucket = (key * 0x9E3779B1 >> 11) & 0xFFFFF
-        heavy = (np.bincount(bucket, minlength=1 << 20)[bucket] >= least) & (key >= 0)
-        names, counts = np.unique(key[heavy], return_counts=True)
-        keep = counts >= least
-        names, counts = names[keep], counts[keep]
-        if not len(names):
-            break
-        if len(names) > room:
-            chosen = np.sort(np.argsort(-counts, kind="stable")[:room])
-            names, counts = names[chosen], counts[chosen]
-        at = np.flatnonzero(heavy)
-        pos = np.minimum(np.searchsorted(names, key[at]), len(names) - 1)
-        hit = names[pos] == key[at]
-        at, pos = at[hit], pos[hit]
-        weight = np.zeros(len(sym) + 1, np.int64)
-        # more frequent pairs weigh more; ties go to the smaller pair
-        rank = np.empty(len(names), np.int64)
-        rank[np.lexsort((names, -counts))] = np.arange(len(names), 0, -1)
-        weight[at] = rank[pos]
-        here, before, after = weight[at], weight[at - 1], weight[at + 1]
-        before[at == 0] = 0
-        equal = (here == before) | (here == after)
-        win = (here > before) & (here > after)
-        run = at[equal & (here >= before) & (here >= after)]
-        if len(run):  # runs of one pair: every second place from the left
-            fresh = np.r_[True, np.diff(run) != 1]
-            origin = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
-            win[np.searchsorted(at, run[(np.arange(len(run)) - origin) % 2 == 0])] = True
-        at, pos = at[win], pos[win]
-        used, pos = np.unique(pos, return_inverse=True)
-        if not len(used):
+    n = len(ids)
+    sym = np.append(ids.astype(np.int64), -1)  # -1: no symbol; place n stands for none
+    nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+    if len(ends):
+        nxt[ends - 1], prv[np.r_[0, ends[:-1]]] = n, n
+    nxt[n] = prv[n] = n
+    open_, mark = np.ones(n + 1, bool), np.zeros(n + 1, bool)
+    weight, owner = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    rules, made = [np.zeros((0, 2), np.int64)], 0
+    while True:
+        at = np.flatnonzero(open_[:n] & (sym[:n] >= 0) & (nxt[:n] < n))
+        here, pair, names, counts = _grouped(sym, nxt, at)
+        open_[here[counts[pair] < 2]] = False
+        least = max(2, int(counts.max(initial=0)) // STEP)
+        if counts.max(initial=0) < 2:
             break
-        base = first + sum(map(len, rules))
-        rules.append(np.stack([names[used] >> 20, names[used] & 0xFFFFF], axis=1))
-        sym[at] = base + pos
-        close[at] = close[at + 1]
-        stay = np.ones(len(sym), bool)
-        stay[at + 1] = False
-        sym, close = sym[stay], close[stay]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return sym, table, np.flatnonzero(close) + 1
+        while len(here):
+            # pairs that are frequent enough, heavier ones first; every place is taken or lost to a neighbour
+            heavy = np.flatnonzero(counts >= least)
+            rank = np.zeros(len(names), np.int64)
+            rank[heavy[np.lexsort((names[heavy], counts[heavy]))]] = np.arange(1, len(heavy) + 1)
+            weight[here], owner[here] = rank[pair], pair
+            todo, won = here[rank[pair] > 0], []
+            while len(todo):
+                w = weight[todo]
+                win = todo[(w > weight[prv[todo]]) & (w > weight[nxt[todo]])]
+                won.append(win)
+                weight[win] = weight[prv[win]] = weight[nxt[win]] = 0
+                todo = todo[weight[todo] > 0]
+            weight[here] = 0
+            win = np.concatenate(won) if won else here[:0]
+            twice = np.bincount(owner[win], minlength=len(names)) > 1
+            win = win[twice[owner[win]]]
+            if not len(win):
+                break
+            used = np.flatnonzero(twice)
+            number = np.zeros(len(names), np.int64)
+            number[used] = first + made + np.arange(len(used))
+            rules.append(np.stack([names[used] >> 32, names[used] & 0xFFFFFFFF], axis=1))
+            made += len(used)
+            gone = nxt[win]
+            sym[win], sym[gone] = number[owner[win]], -1
+            after = nxt[gone]
+            nxt[win], prv[after] = after, win
+            prv[n] = n
+            # pairs with a new symbol are all here, so that one which is met once is settled
+            mark[win] = mark[prv[win]] = True
+            mark[n] = False
+            at = np.flatnonzero(mark[:n])
+            mark[at] = False
+            open_[at] = True
+            here, pair, names, counts = _grouped(sym, nxt, at[nxt[at] < n])
+            open_[here[counts[pair] < 2]] = False
+    alive = sym[:n] >= 0
+    return sym[:n][alive], np.concatenate(rules), np.r_[0, np.cumsum(alive)][ends]
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -126,33 +195,45 @@ def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(sym: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """All ids of a range of symbols."""
+def expand(sym: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """All ids of a range of symbols. Every symbol is put at its place, which the lengths before it tell, and those that are
+    nonterminals are opened until none is left."""
     sym = sym.astype(np.int64)
-    while True:
+    size = np.ones(len(sym), np.int64)
+    size[sym >= first] = lengths[sym[sym >= first] - first]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int64)
+    while len(sym):
         big = sym >= first
-        if not big.any():
-            return sym
-        start = np.arange(len(sym)) + np.cumsum(big) - big
-        out = np.empty(len(sym) + int(big.sum()), np.int64)
-        two = rules[sym[big] - first]
-        out[start[~big]] = sym[~big]
-        out[start[big]], out[start[big] + 1] = two[:, 0], two[:, 1]
-        sym = out
+        out[at[~big]] = sym[~big]
+        at, two = at[big], rules[sym[big] - first]
+        left = np.ones(len(at), np.int64)
+        deep = two[:, 0] >= first
+        left[deep] = lengths[two[deep, 0] - first]
+        sym, at = np.concatenate([two[:, 0], two[:, 1]]), np.concatenate([at, at + left])
+    return out
+
+
+def symbol_bytes(top: int) -> int:
+    """Bytes of a symbol below ``top``."""
+    return max(1, -(-(top - 1).bit_length() // 8))
+
+
+def narrow(values: np.ndarray, wide: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first: int) -> bytes:
     """A shard's bytes: magic; numbers of documents, symbols and rules, first nonterminal; then arrays, little-endian: doc_id
-    (8 bytes) and its null flag (1), ids of each document (8), symbol end of each document (8), rules (4 + 4), their
-    expansion lengths (4), symbols (4, or 2 where all are below 65536)."""
+    (8 bytes) and its null flag (1), ids of each document (8), symbol end of each document (8), rules (two symbols), their
+    expansion lengths (8), symbols. A symbol takes as many bytes as the highest number needs."""
     sym, rules, ends = compress(ids, np.cumsum(counts), first)
-    lens = rule_lengths(rules, first)
-    kind = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
+    lens, wide = rule_lengths(rules, first), symbol_bytes(first + len(rules))
     return b"".join([
         MAGIC, struct.pack("<QQQQ", len(doc_ids), len(sym), len(rules), first),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "<u1").tobytes(),
-        counts.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), rules.astype("<u4").tobytes(), lens.astype("<u4").tobytes(),
-        sym.astype(kind).tobytes(),
+        counts.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), narrow(rules.ravel(), wide), lens.astype("<i8").tobytes(),
+        narrow(sym, wide),
     ])
 
 
@@ -174,24 +255,30 @@ class Shard:
         ids, null = take("<i8", n), take("<u1", n)
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, null, strict=True)]
         self.counts, self.ends = take("<i8", n), take("<i8", n)
-        self.rules = take("<u4", 2 * r).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u4", r).astype(np.int64)
-        self.symbols = take("<u2" if self.first + r <= 1 << 16 else "<u4", m)
+        wide = symbol_bytes(self.first + r)
+
+        def symbols(k: int) -> np.ndarray:
+            out = np.zeros((k, 8), np.uint8)
+            out[:, :wide] = take("<u1", k * wide).reshape(k, wide)
+            return out.view("<i8").ravel()
+
+        self.rules, self.lengths, self.symbols = symbols(2 * r).reshape(-1, 2), take("<i8", r), symbols(m)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document."""
-        return expand(self.symbols[self.ends[i - 1] if i else 0 : self.ends[i]], self.rules, self.first)
+        return expand(self.symbols[self.ends[i - 1] if i else 0 : self.ends[i]], self.rules, self.lengths, self.first)
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard; only the symbols that cover them are expanded."""
-        size = np.where(self.symbols < self.first, 1, np.r_[self.lengths, 0][np.maximum(self.symbols.astype(np.int64) - self.first, 0) if len(self.lengths) else np.zeros(len(self.symbols), int)])
+        size, big = np.ones(len(self.symbols), np.int64), self.symbols >= self.first
+        size[big] = self.lengths[self.symbols[big] - self.first]
         ends = np.cumsum(size)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = int(ends[a - 1]) if a else 0
-        return expand(self.symbols[a:b], self.rules, self.first)[start - skip : stop - skip]
+        return expand(self.symbols[a:b], self.rules, self.lengths, self.first)[start - skip : stop - skip]
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        ids, at = expand(self.symbols, self.rules, self.first), 0
+        ids, at = expand(self.symbols, self.rules, self.lengths, self.first), 0
         for d, n in zip(self.doc_ids, self.counts.tolist(), strict=True):
             yield d, ids[at : at + n]
             at += n
@@ -212,7 +299,7 @@ def shard_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = open_tokenizer(spec.value)
-        first = tokenizer.get_vocab_size(with_added_tokens=True)
+        first = tokenizer.library.get_vocab_size(with_added_tokens=True)
         part, shard, done = TaskContext.get().partitionId(), 0, 0
         end, names, held, size = np.array([end_id], "<u4").tobytes(), [], [], 0
 
@@ -227,7 +314,7 @@ def shard_rows(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitions
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                for d, raw in zip(some.column(0).to_pylist(), encode_texts(tokenizer, [t or "" for t in some.column(1).to_pylist()]), strict=True):
+                for d, raw in zip(some.column(0).to_pylist(), tokenizer.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     names.append(d)
                     held.append(raw + end)
                     size += len(raw) // 4 + 1
