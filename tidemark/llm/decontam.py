@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, unused
 
 BLOCK, RANK, OVERSAMPLE, STOP = 24, 64, 16, 0.02
-COVER, COSINE, FAINT, SHARE, COPY, PARAPHRASE, ANSWER = 0.35, 0.45, 0.15, 0.6, 0.6, 0.45, 0.8
+COVER, COSINE, FAINT, SHARE, COPY, PARAPHRASE, ANSWER = 0.3, 0.35, 0.15, 0.4, 0.6, 0.45, 0.8
 #: Characters of benchmark text that are searched for at once.
 ITEM_CHARS = 4_000_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[.!?]+\s")
-#: Words and passages that are worked on at once, which bounds a task's memory.
-_CHUNK, _PASSAGES = 40_000, 4096
+#: Words, passages and pieces of items that are worked on at once, which bounds a task's memory.
+_CHUNK, _PASSAGES, _PIECES = 40_000, 4096, 4096
 
 
 def words_of(text: str | None) -> list[str]:
@@ -194,7 +194,7 @@ def latent_space(words: DataFrame, weight: np.ndarray, kind: str, rank: int = RA
     spark, size, width = words.sparkSession, len(weight), rank + OVERSAMPLE
     omega = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     shared = spark.sparkContext.broadcast((weight.astype(np.float32), omega))
-    slices = 16
+    columns = [f"z{j}" for j in range(width)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, omega = shared.value
@@ -218,19 +218,14 @@ def latent_space(words: DataFrame, weight: np.ndarray, kind: str, rank: int = RA
                 order = np.argsort(word, kind="stable")
                 begin = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
                 z[word[order][begin]] += np.add.reduceat(y[owner[order]] * w[order][:, None], begin)
-        parts = np.array_split(z, slices)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "z"])
+        met = np.flatnonzero(z.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *[pa.array(z[met, j].astype(float)) for j in range(width)]], names=["id", *columns])
 
-    def add(key, frames):
-        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in frames["z"])
-        import pandas as pd
-
-        return pd.DataFrame({"part": [key[0]], "z": [total.astype(np.float64).tobytes()]})
-
-    got = words.select("ids").mapInArrow(gather, "part int, z binary").groupBy("part").applyInPandas(add, "part int, z binary").toPandas()
+    # a row for each word of a task; their sums are added up like any aggregate, and no group is gathered
+    rows = words.select("ids").mapInArrow(gather, ", ".join(["id int", *[f"{c} double" for c in columns]]))
+    got = rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     z = np.zeros((size, width))
-    if len(got):
-        z = np.concatenate([np.frombuffer(b, np.float64) for b in got.sort_values("part")["z"]]).reshape(size, width)
+    z[got["id"].to_numpy(int)] = got[columns].to_numpy(float)
     # A'A ~ Z (O'Z)^-1 Z'; a small shift keeps the inverse tame
     shift = 1e-6 * max(np.linalg.norm(z), 1e-12)
     z = z + shift * omega
@@ -242,6 +237,17 @@ def latent_space(words: DataFrame, weight: np.ndarray, kind: str, rank: int = RA
     return u[:, :rank].astype(np.float32)
 
 
+def _candidates(x: np.ndarray, norm: np.ndarray, energy: np.ndarray, mass: np.ndarray, latent: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, piece, cosine) of the pairs that are worth a look, piece by piece in blocks."""
+    for at in range(0, len(latent), _PIECES):
+        some = slice(at, at + _PIECES)
+        dot = x @ latent[some].T
+        cosine = dot / norm
+        near = ((cosine >= COSINE) | ((cosine >= FAINT) & (dot >= SHARE * length[some]))) & (energy[:, None] >= COVER * mass[some])
+        for i, k in zip(*np.nonzero(near), strict=True):
+            yield int(i), at + int(k), float(cosine[i, k])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, verdict, lcs_share, answer_share, cosine): one row for each document and item that meet."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
@@ -301,10 +307,8 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
                 x[pair], energy[pair] = x[pair] + x[pair + 1], energy[pair] + energy[pair + 1]
                 places = np.sort(np.r_[pair, alone])
                 x, energy = x[places], energy[places]
-                dot = x @ latent.T
-                cosine = dot / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                near = (cosine >= COSINE) | ((cosine >= FAINT) & (dot >= SHARE * length))
-                for i, piece in zip(*np.nonzero(near & (energy[:, None] >= COVER * mass)), strict=True):
+                norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for i, piece, near in _candidates(x, norm, energy, mass, latent, length):
                     b, k = int(places[i]) + lo, int(items.piece_of[piece])
                     d = int(owner[b])
                     begin, end = (int(ends[d - 1]) if d else 0), int(ends[d])
@@ -318,7 +322,7 @@ def _search(docs: DataFrame, items: Items, scratch: Scratch, schema: str) -> Dat
                     told = lcs(answer, around) / max(len(answer), 1)
                     verdict = "copy" if share >= COPY else "paraphrase" if told >= ANSWER else None
                     if verdict:
-                        best[d, k] = (verdict, share, told, float(cosine[i, piece]))
+                        best[d, k] = (verdict, share, told, near)
             if best:
                 who = [d for d, _ in best]
                 columns = [batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array([items.ids[k] for _, k in best], pa.int64())]
