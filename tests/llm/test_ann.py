@@ -36,6 +36,22 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_copies_take_one_place(spark):
+    """A group of copies far larger than the shortlist hides no neighbour, and ties in it go to the smallest ids."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    vectors = {1000 + i: base for i in range(400)} | {i: base + rng.normal(size=8) * 0.3 for i in range(60)}
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in vectors.items()], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 20 == 0, shortlist=60).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[1000] == [1001, 1002, 1003, 1004, 1005] and got[1020] == [1000, 1001, 1002, 1003, 1004]
+    for q in (0, 20, 40):
+        close = [i for i, v in vectors.items() if i < 1000 and i != q and np.dot(v, vectors[q]) / np.linalg.norm(v) > np.dot(base, vectors[q]) / np.linalg.norm(base)]
+        want = [i for i, _ in brute({i: vectors[i] for i in [*close, q]}, [q])[q]]
+        assert got[q] == (want + [1000, 1001, 1002, 1003, 1004])[:5]
+
+
 def test_codes_come_close():
     rng = np.random.default_rng(1)
     x = ann._unit(rng.normal(size=(800, 12)))

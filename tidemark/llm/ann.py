@@ -8,6 +8,9 @@ of its looked-up products over its stored norm. The best rows are ranked again b
 Only the codebooks are fitted on a sample (``sample`` vectors, the smallest hashes of vec_id); every row is indexed, and
 every query of the stated set meets every row, block by block: a block of queries and a block of codes is one task.
 
+Equal vectors are indexed once, under their smallest vec_id; a vector on the shortlist stands for as many of its rows as could
+be among the nearest. So a group of copies of any size takes one place, and none of it is lost.
+
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of another
 length than the most frequent one. Rows that repeat a vec_id count once, with the smallest vector. Equal cosines go to the
 smaller vec_id. Extra columns are ignored. Fewer candidates than asked for: all of them.
@@ -134,7 +137,7 @@ def _packed(rows: DataFrame, blocks: int, pack, schema: str) -> DataFrame:
 
 
 def search(index: DataFrame, books: np.ndarray, queries: DataFrame, n_codes: int, n_queries: int, shortlist: int) -> DataFrame:
-    """(query_id, vec_id) of the ``shortlist`` rows with the best looked-up score for each query, itself excepted."""
+    """(query_id, vec_id) of the ``shortlist`` rows with the best looked-up score for each query."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(books)
     codes = _packed(
@@ -161,10 +164,9 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, n_codes: int
                     score = product[0][code[0]]
                     for b in range(1, m):
                         score = score + product[b][code[b]]
-                    score = np.where(ids == qid, -np.inf, score / np.maximum(norms, 1e-12))
+                    score = score / np.maximum(norms, 1e-12)
                     keep = min(shortlist, len(ids))
                     best = np.argpartition(-score, keep - 1)[:keep]
-                    best = best[ids[best] != qid]
                     out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "approx": score[best]}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
@@ -187,7 +189,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, shortlist: int = 256
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that ``is_query`` (over vec_id) marks."""
     scratch = Scratch(table.sparkSession, "ann")
     vectors = scratch.keep(valid_vectors(table))
-    index, books = build_index(vectors)
+    distinct = scratch.keep(vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id")))
+    index, books = build_index(distinct)
     queries = vectors.where(is_query)
     n_queries = queries.count()
     if books is None or not n_queries:
@@ -195,8 +198,12 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, shortlist: int = 256
     index = scratch.keep(index)
     short = search(index, books, queries, index.count(), n_queries, shortlist)
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = short.join(vectors, "vec_id").join(asked, "query_id")
-    ranked = pairs.select("query_id", "vec_id", exact_cosine("q", "v").alias("score"))
+    scored = short.join(distinct, "vec_id").join(asked, "query_id").select("query_id", F.col("vec_id").alias("first"), exact_cosine("q", "v").alias("score"))
+    # the k + 1 smallest vec_ids of each vector: one of them may be the query itself
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    same = vectors.withColumn("_place", place).where(F.col("_place") <= k + 1)
+    same = scratch.keep(same.join(distinct.withColumnRenamed("vec_id", "first"), "v").select("first", "vec_id"))
+    ranked = scored.join(same, "first").where("vec_id != query_id").select("query_id", "vec_id", "score")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = ranked.withColumn("rank", place).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
