@@ -133,11 +133,12 @@ def test_base_spans(spark):
 
 
 def test_disclosing_terms(spark, odd, none):
-    rows = [(i, f"zebra{i % 3}word stands near bob.{i % 3}@mail.example.com today") for i in range(12)] + [(100 + i, "near today stands") for i in range(60)]
+    rows = [(i, f"zebra{i % 3}word stands near bob.{i % 3}@mail.example.com today") for i in range(12)] + [(100 + i, "near today stands") for i in range(60)] + [(200, "far away, zebra0word " + "and so on " * 30 + "Zebra0word; zebra0words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.report(docs).collect()}
     assert got[0].n_email == 1 and got[0].spans == "term:0:10,email:23:45"  # the telling word, not the common ones
     assert got[100].spans == ""
+    assert got[200].spans == "term:10:20,term:321:331"  # the term tells wherever it stands, as a whole word
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[0] == "[TERM] stands near [EMAIL] today" and clean[100] == "near today stands"
     assert pii.report(odd).count() == odd.count() and pii.sanitise(odd).columns == odd.columns
@@ -211,3 +212,23 @@ def test_leaks(spark, odd, none):
     assert {r.doc_id for r in left.collect()} == set(range(300)) - set(want) and left.columns == ["doc_id", "text", "lang"]
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0
     assert decontam.contaminated(df, bench.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("replaced", "least"), [(0.0, 1.0), (0.3, 1.0), (0.5, 0.9)])
+def test_paraphrases_in_running_text(spark, monkeypatch, replaced, least):
+    """Items with a share of their words replaced and their answer kept, inside longer texts: found, and nothing else is."""
+    monkeypatch.setattr(decontam, "_PIECES", 7)
+    rng = random.Random(int(replaced * 10))
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, some(rng.randint(14, 50)), some(rng.randint(4, 8))) for i in range(40)]
+    docs, want = [(i, " ".join(some(rng.randint(60, 700)))) for i in range(150)], set()
+    for i, question, answer in items:
+        told = [w if rng.random() >= replaced else rng.choice(vocabulary) for w in question]
+        around = some(rng.randint(50, 400))
+        at = rng.randrange(len(around))
+        docs.append((1000 + i, " ".join([*around[:at], *told, *answer, *around[at:]])))
+        want.add((1000 + i, i))
+    benchmark = spark.createDataFrame([(i, " ".join(q) + ". " + " ".join(a) + ".") for i, q, a in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got <= want and len(got) >= least * len(want)

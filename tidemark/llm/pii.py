@@ -3,9 +3,10 @@
 Base spans (email, ip, card, phone) come from patterns and their checks. They are the protected entities, known by kind and
 value. Over the whole corpus, documents are counted that hold an entity (n_e), a term (n_t), and the term within ``window``
 code points of the entity (n_te). The pointwise mutual information log(N n_te / (n_t n_e)) says how much of the entity's
-information content log(N / n_e) the term gives away; where the share reaches ``disclosure`` and n_te reaches ``support``, the
-term's places near the entity become spans of kind term. ``sanitise`` replaces spans by their kind. Only built-in functions
-are used.
+information content log(N / n_e) the term gives away; where the share reaches ``disclosure`` and n_te reaches ``support``, every
+place of the term becomes a span of kind term, in whatever text: who knows the term knows the entity, whether it stands beside
+it or not. Terms are whole words of three characters or more that start with a letter. ``sanitise`` replaces spans by their
+kind. Only built-in functions are used.
 
 Null texts count as empty. Rows that repeat (doc_id, text) get equal results, and count as often as they occur. Places are
 code points, end exclusive. Extra columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, column, unused
+from tidemark.llm.common import Scratch, column, having, unused
 
 #: Marks the ends of matches; a text's own such characters are read as _OTHER, which no pattern matches either.
 _MARK, _OTHER = "\u0001", "\u0002"
@@ -30,7 +31,7 @@ PATTERNS = {
 #: What a text must hold for a kind's pattern to be tried.
 _HINT = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = list(PATTERNS)
-TERM = r"\p{L}[\p{L}\p{N}_]{2,}+"
+TERM = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{2,}+"
 BUCKETS = 1 << 20
 
 
@@ -110,6 +111,11 @@ def _near_terms(text: Column, base: Column, window: int) -> Column:
     return F.transform(base, lambda b: F.struct(F.concat_ws(":", b["kind"].cast("string"), F.lower(b["value"])).alias("entity"), terms(b).alias("terms")))
 
 
+def _words(text: str = "text") -> Column:
+    """Distinct words of a text, lower case."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"))
+
+
 def disclosing_terms(docs: DataFrame, near: DataFrame, scratch: Scratch, disclosure: float, support: int) -> DataFrame:
     """(entity, term) whose co-occurrence gives away at least the share ``disclosure`` of the entity's information.
 
@@ -129,8 +135,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, scratch: Scratch, disclos
     pairs = scratch.keep(pairs.join(least, "term").join(entities, "entity").where(tells(F.col("n_near"))))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("_b")
     wanted = F.broadcast(pairs.select(bucket).distinct())
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"))
-    seen = docs.select(F.explode(words).alias("term")).withColumn("_b", bucket).join(wanted, "_b", "left_semi")
+    seen = docs.select(F.explode(_words()).alias("term")).withColumn("_b", bucket).join(wanted, "_b", "left_semi")
     terms = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     joined = pairs.join(terms, "term")
     return scratch.keep(joined.where(tells(F.greatest("n_t", "n_te"))).select("entity", "term"))
@@ -146,11 +151,19 @@ def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 3, windo
     wide = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("n"))
     wide = wide.select("doc_id", "text_hash", "n.entity", F.explode_outer("n.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.start", "t.end", "t.term")
     wide = scratch.keep(wide)
-    telling = disclosing_terms(docs, wide, scratch, disclosure, support)
-    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.lit("").alias("value"))
-    more = wide.join(telling, ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(span).alias("more"))
-    more = scratch.keep(more)
+    telling = disclosing_terms(docs, wide, scratch, disclosure, support).select("term").distinct()
+    telling = scratch.keep(telling.withColumn("h", F.xxhash64("term")))
     scratch.drop(wide)
+    # the texts that hold such terms, by words; then the places, where no base span is
+    texts = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    held = having(texts.select("doc_id", "text_hash", F.explode(_words()).alias("term")).withColumn("h", F.xxhash64("term")), telling.select("h").distinct(), "h")
+    held = scratch.keep(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("terms")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    at = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])) & ~F.exists("base", lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"])))
+    span = F.transform(at, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.lit("").alias("value")))
+    based = found.select("doc_id", "text_hash", "base").join(held, same).select("_id", "_hash", "terms", "base").dropDuplicates(["_id", "_hash"])
+    more = texts.join(based, same).select("_id", "_hash", span.alias("more")).dropDuplicates(["_id", "_hash"])
+    more = scratch.keep(more.where(F.size("more") > 0))
     out = found.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return out.select("doc_id", "text_hash", "base", spans.alias("spans"))
