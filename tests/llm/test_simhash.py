@@ -88,3 +88,16 @@ def test_components_name_the_smallest_id(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(9, 4), (4, 4), (7, 7), (None, 4)}
     assert docs.select(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_keys_stay_whole(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(simhash, "WALK_ROWS", 10)
+    rows = pd.DataFrame({"mask": [1] * 30 + [2] * 5, "key": [0] * 3 + [1] * 25 + [2] * 7, "sub": 0, "fp": range(35), "side": 0})
+    for size in (1, 4, 7, 35):
+        parts = list(simhash._whole_keys(rows.iloc[a : a + size] for a in range(0, 35, size)))
+        assert pd.concat(parts)["fp"].tolist() == list(range(35))
+        names = [{*zip(p["mask"], p["key"], strict=True)} for p in parts]
+        assert sum(map(len, names)) == len(set().union(*names))
+    assert list(simhash._whole_keys(iter([rows.iloc[:0]]))) == []

@@ -28,8 +28,10 @@ from tidemark.llm.components import component_labels
 
 SEED, BITS = 42, 64
 #: A key with more fingerprints than HOT_KEY is cut into subtries by the first of the bits SUB_AT, as many as bring it below.
-HOT_KEY, SUB_AT = 4096, (5, 21, 37, 53, 13, 29, 45, 61)
+HOT_KEY, SUB_AT = 4096, (5, 21, 37, 53, 13, 29, 45, 61, 1, 17, 33, 49)
 MOST_SUB_BITS = len(SUB_AT)
+#: Rows of whole keys that a task walks at once.
+WALK_ROWS = 400_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -173,12 +175,31 @@ def trie_links(prints: np.ndarray, roots: list[tuple[np.ndarray, np.ndarray]], b
     return child, forest.find(child)
 
 
+def _whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that hold every row of their keys, of some WALK_ROWS rows or one larger key; rows come in the order of keys."""
+    held, size, most = [], 0, WALK_ROWS
+    for f in frames:
+        held.append(f)
+        size += len(f)
+        if size < most:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        names = rows[["mask", "key", "sub"]].to_numpy()
+        cut = int(np.flatnonzero((names != names[-1]).any(axis=1))[-1]) + 1 if (names[0] != names[-1]).any() else 0
+        if cut:
+            yield rows.iloc[:cut]
+        held, size = [rows.iloc[cut:]], len(rows) - cut
+        most = max(WALK_ROWS, 2 * size)
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _walk(budget: int):
     def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [f for f in frames if len(f)]
-        if not got:
-            return
-        rows = pd.concat(got, ignore_index=True)
+        for rows in _whole_keys(frames):
+            yield from walk(rows)
+
+    def walk(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         mask, key, sub, fp, side = (rows[c].to_numpy() for c in ("mask", "key", "sub", "fp", "side"))
         prints = fp.astype(np.int64).view(np.uint64)
         order = np.lexsort((prints, side, sub, key, mask))
@@ -225,7 +246,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, budget: int = 4) ->
     cut = cut.withColumn("q", F.explode(F.when(F.col("deep").isNull(), F.array(F.lit(0))).otherwise(others)))
     sub = F.least("p", "q") * (1 << MOST_SUB_BITS) + F.greatest("p", "q")
     tasks = cut.select("mask", "key", sub.alias("sub"), "fp", (F.col("p") > F.col("q")).cast("int").alias("side"))
-    dealt = tasks.repartition("mask", "key", "sub")
+    dealt = tasks.repartition("mask", "key", "sub").sortWithinPartitions("mask", "key", "sub")
     return dealt.mapInPandas(_walk(budget), "a long, b long").distinct()
 
 
