@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
-from tidemark.llm.common import held_out, labelled_sample
+from tidemark.llm.common import held_out, labelled_sample, sampled_features
 
 
 def corpus(spark, n=400):
@@ -61,3 +62,29 @@ def test_additive_model_is_its_tables():
     fine, rough = m.bins(x, m.cuts), m.bins(x, m.coarse)
     by_hand = [m.base + sum(t[b] for t, b in zip(m.tables, f, strict=True)) + sum(t[r[a], r[b]] for (a, b), t in zip(m.pairs, m.pair_tables, strict=True)) for f, r in zip(fine[:20], rough[:20], strict=True)]
     assert np.allclose(m.margin(x[:20]), by_hand)
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize(("run", "name", "least"), [(quality.classify_quality, "quality", 0.98), (toxicity.classify_toxicity, "toxic", 0.75)])
+def test_held_out_rows_of_the_tables(spark, run, name, least):
+    """Share of pairs of held-out rows of both labels that the score puts in order."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rows = run(docs, labels).join(labels, "doc_id").where("held_out").select(name, "score").collect()
+    good, bad = (np.array([r.score for r in rows if r[name] == k]) for k in (1, 0))
+    assert len(good) > 5 and len(bad) > 5
+    order = (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2
+    assert order >= least
+
+
+def test_features_are_bounded(spark):
+    docs, labels = corpus(spark, 60)
+    sample = labelled_sample(docs, labels, "toxic", 50)
+    sizes = {r.doc_id: r.n for r in sample.select("doc_id", F.size(toxicity.grams_udf(F.col("text"))).alias("n")).collect()}
+    got = sampled_features(sample, toxicity.grams_udf(F.col("text")), 100 * max(sizes.values())).num_rows
+    assert got == len(sizes)
+    most = sum(sizes.values()) // 2
+    kept = sampled_features(sample.where(F.size(toxicity.grams_udf(F.col("text"))) <= most // 100), toxicity.grams_udf(F.col("text")), most)
+    assert sum(len(r) for r in kept.column("features").to_pylist()) <= most

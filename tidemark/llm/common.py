@@ -6,7 +6,7 @@ import tempfile
 import unicodedata
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows whose crc32(doc_id as text) leaves this remainder by HELD_OUT_MOD are never learned from.
@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and one machine does
+    all the work. On a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("tidemark.scratch.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.scratch.dir", found)
     return found.rstrip("/")
@@ -123,8 +126,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def sampled_features(sample: DataFrame, features: Column) -> list:
-    """Rows (label, features), one for each sampled id, collected: at most as many as the sample's bound."""
+def sampled_features(sample: DataFrame, features: Column, most: int) -> list:
+    """Rows (label, features), one for each sampled id, collected: at most as many as the sample's bound, and at most ``most``
+    features in all. Rows with over a hundredth of that are left out; the others are taken in the sample's order of hashes."""
     found = sample.select("doc_id", "label", F.xxhash64("text").alias("_h"), features.alias("features"))
     one = found.groupBy("doc_id").agg(F.min_by("label", "_h").alias("label"), F.min_by("features", "_h").alias("features"))
-    return one.orderBy("doc_id").select("label", "features").toArrow()
+    one = Scratch(sample.sparkSession, "sample").keep(one.where(F.size("features") <= most // 100))
+    so_far = F.sum(F.size("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    few = one.select("doc_id", so_far.alias("n")).where(F.col("n") <= most).select("doc_id")
+    return one.join(F.broadcast(few), "doc_id", "left_semi").orderBy("doc_id").select("label", "features").toArrow()

@@ -181,7 +181,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float =
 
 def train_quality(docs: DataFrame, labels: DataFrame, bound: int = 8000) -> AdditiveModel:
     """Fit on at most ``bound`` labelled documents that aren't held out; everything else covers all rows."""
-    got = sampled_features(labelled_sample(docs, labels, "quality", bound), features_udf(F.col("text")))
+    got = sampled_features(labelled_sample(docs, labels, "quality", bound), features_udf(F.col("text")), bound * 100)
     x = np.array(got.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit_additive(x, np.array(got.column("label").to_pylist(), float))
 

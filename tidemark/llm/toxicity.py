@@ -96,9 +96,10 @@ def fit_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, l2: flo
     return RatioModel(float(w[-1]), table)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 5000) -> RatioModel:
-    """Fit on at most ``bound`` labelled documents that aren't held out; everything else covers all rows."""
-    got = sampled_features(labelled_sample(docs, labels, "toxic", bound), grams_udf(F.col("text")))
+def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 5000, most_grams: int = 40_000_000) -> RatioModel:
+    """Fit on at most ``bound`` labelled documents that aren't held out, with at most ``most_grams`` distinct n-grams summed over
+    documents (160 MB on the driver); everything else covers all rows."""
+    got = sampled_features(labelled_sample(docs, labels, "toxic", bound), grams_udf(F.col("text")), most_grams)
     rows = [np.asarray(part) for chunk in got.column("features").chunks for part in np.split(chunk.values.to_numpy(), chunk.offsets.to_numpy()[1:-1])]
     return fit_ratio(rows, np.array(got.column("label").to_pylist(), float))
 
