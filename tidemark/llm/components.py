@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
@@ -33,10 +33,12 @@ def component_labels(links: DataFrame, scratch: Scratch, most_rounds: int = 60)
     )
     before = None
     for _ in range(most_rounds):
-        now = scratch.keep(_small_star(_large_star(edges)))
+        # the sums are taken while the round is written; each row counts once there
+        seen = Observation()
+        marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
+        now = scratch.keep(_small_star(_large_star(edges)).observe(seen, *marks))
         scratch.drop(edges)
-        edges = now
-        mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        edges, mark = now, (seen.get["n"], seen.get["sum"])
         if mark == before or mark[0] == 0:
             break
         before = mark
