@@ -114,8 +114,7 @@ def remove(spark: SparkSession, a: argparse.Namespace) -> None:
 def feature_table(spark: SparkSession, a: argparse.Namespace) -> None:
     number = None if a.input else experiment(spark, a)
     readings = files.first_of(spark, a.input) if a.input else stored(spark, a, "readings", number)
-    rows = readings.withColumn("zt", F.col("zt").try_cast("int")).dropna(subset=[*META, "zt", "exp_day"])
-    table = features.feature_table(minute_bins(rows), 1, a.sleep_threshold, tuple(a.exclude_days))
+    table = features.feature_table(minute_bins(features.usable_rows(readings)), 1, a.sleep_threshold, tuple(a.exclude_days))
     if a.input:
         store.to_csv(table, a.output)
     else:

@@ -21,6 +21,11 @@ def feature_table(bins: DataFrame, bin_minutes: float = 1, threshold: float = 5,
     return left.join(right, FLY)
 
 
+def usable_rows(readings: DataFrame) -> DataFrame:
+    """Readings with a numeric zt, a day and all metadata; zt becomes a number."""
+    return readings.withColumn("zt", F.col("zt").try_cast("int")).dropna(subset=[*META, "zt", "exp_day"])
+
+
 def is_problem(with_doze: bool = False) -> Column:
     """Whether a fly has no sleep or no bouts (null or 0), or on request no P_doze."""
     names = ["total_sleep_mean", "total_bouts_mean"] + (["p_doze_mean"] if with_doze else [])

@@ -187,8 +187,14 @@ def rnd(names: list[str], digits: int = 4) -> str:
     return ", ".join(f"round(({c})::DOUBLE, {digits}) AS {c}" for c in names)
 
 
+#: Minutes of stillness that count as sleep where some flies are to have none.
+LONG_SLEEP = 13 * 60
+LONG = FEATURES.replace(DENSE, dense_sql(USERS)).replace(f">= {THRESHOLD}", f">= {LONG_SLEEP}")
+
+
 def _problem(spark: SparkSession, d: str) -> DataFrame:
-    return features.problem_flies(table(spark, d)).select("fly_id", F.round("total_sleep_mean", 4).alias("total_sleep_mean"))
+    bins = adapter.dense(spark, d, users=USERS)
+    return features.problem_flies(features.feature_table(bins, BIN, LONG_SLEEP, with_periodogram=False)).select("fly_id", F.round("total_sleep_mean", 4).alias("total_sleep_mean"))
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
@@ -237,12 +243,12 @@ QUERIES = {
     "win10_irreversible_death": (lambda s, d: rounded(days(s, d).select("fly_id", "exp_day", "status")), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, status FROM fin"),
     "agg4_health_report": (lambda s, d: rounded(health.health_report(days(s, d))), f"WITH {HEALTH} SELECT {CH}, {REPORT_NAMES} FROM report"),
     "snk6_last_day_metrics": (lambda s, d: rounded(health.last_day_metrics(days(s, d))), f"WITH {HEALTH} SELECT fly_id, max_by(total_activity, exp_day) AS total_activity, round(least(max_by(longest_zero, exp_day) / 60.0, 999.99), 4) AS longest_zero_hours, round(greatest(least(max_by(rel_activity, exp_day), 99.999), -99.999), 4) AS rel_activity, NOT max_by(no_startle, exp_day) AS has_startle FROM fin GROUP BY fly_id"),
-    "flt8_unusable_flies": (lambda s, d: rounded(health.without_usable_readings(adapter.readings(s, d))), f"SELECT fly_id, monitor, channel::BIGINT AS channel, round(max(value) FILTER (event_type = 'view'), 4) AS max_mt, round(max(value) FILTER (event_type NOT IN ('view', 'click')), 4) AS max_pn FROM (SELECT {FLY_SQL}, value, event_type FROM events) GROUP BY ALL HAVING coalesce(max_mt, 0) <= 0 OR coalesce(max_pn, 0) <= 0"),
+    "flt8_unusable_flies": (lambda s, d: rounded(health.without_usable_readings(adapter.readings(s, d).withColumn("value", F.greatest(F.col("value") - 100, F.lit(0.0))))), f"SELECT fly_id, monitor, channel::BIGINT AS channel, round(max(value) FILTER (event_type = 'view'), 4) AS max_mt, round(max(value) FILTER (event_type NOT IN ('view', 'click')), 4) AS max_pn FROM (SELECT {FLY_SQL}, greatest(value - 100, 0) AS value, event_type FROM events) GROUP BY ALL HAVING coalesce(max_mt, 0) <= 0 OR coalesce(max_pn, 0) <= 0"),
     "win5_sleep_bouts": (lambda s, d: rounded(sleep.sleep_bouts(adapter.dense(s, d), BIN, THRESHOLD).select("fly_id", "exp_day", "start", "minutes", "is_day")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, minutes, is_day FROM bouts"),
     "win6_sleep_daily": (lambda s, d: rounded(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD).drop("monitor", "channel", "genotype", "sex", "treatment")), f"WITH {HOURLY} {SLEEP} SELECT fly_id, exp_day::BIGINT AS exp_day, total_bouts, day_bouts, night_bouts, {rnd([c for c in SLEEP_NAMES if c not in ('total_bouts', 'day_bouts', 'night_bouts')])} FROM daily"),
     "agg7_sleep_features": (lambda s, d: rounded(sleep.sleep_features(sleep.sleep_daily(adapter.dense(s, d), BIN, THRESHOLD)), 7), f"WITH {HOURLY} {SLEEP} SELECT {CH}, {', '.join(f'round(avg({c}), 7) AS {c}_mean' for c in SLEEP_NAMES)}, count(*) AS n_days FROM daily GROUP BY {FL}"),
     "join10_feature_table": (lambda s, d: rounded(table(s, d, True), 7), f"WITH {FEATURES} {PERIODOGRAM} SELECT {CH}, rhythmic_days, n_days, {rnd(ALL_NAMES + PERIOD_NAMES, 7)} FROM feat LEFT JOIN pf USING (fly_id)"),
-    "flt9_problem_flies": (_problem, f"WITH {FEATURES} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean FROM feat WHERE coalesce(total_sleep_mean, 0) = 0 OR coalesce(total_bouts_mean, 0) = 0"),
+    "flt9_problem_flies": (_problem, f"WITH {LONG} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean FROM feat WHERE coalesce(total_sleep_mean, 0) = 0 OR coalesce(total_bouts_mean, 0) = 0"),
     "agg8_iqr_bounds": (lambda s, d: rounded(features.iqr_bounds(_kept(s, d))), f"WITH {GOOD} SELECT genotype, sex, treatment, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM bounds"),
     "flt10_iqr_outliers": (lambda s, d: rounded(features.with_outlier(_kept(s, d)).select("fly_id", "total_sleep_mean", "is_outlier")), f"WITH {GOOD} SELECT fly_id, round(total_sleep_mean, 4) AS total_sleep_mean, is_outlier FROM flagged"),
     "agg9_outlier_summary": (lambda s, d: features.outlier_summary(_kept(s, d)).withColumn("percent", F.round("percent", 1)), f"WITH {GOOD} SELECT genotype, sex, treatment, count(*) AS n, count(*) FILTER (is_outlier) AS n_outliers, round(count(*) FILTER (is_outlier) * 100.0 / count(*), 1) AS percent FROM flagged GROUP BY ALL"),

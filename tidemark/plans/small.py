@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
-from tidemark.operators import cluster, ml, sliding, stats
+from tidemark.operators import cluster, features, ml, sliding, stats
 from tidemark.plans import core, statistics
 from tidemark.plans.core import DENSE, FLY_SQL, GOOD, HOURLY, TIME_SQL, _kept, rounded
 from tidemark.schemas import READING_TYPES
-from tidemark.sources import adapter
+from tidemark.sources import adapter, store
 
 E = f"e AS (SELECT event_id, {FLY_SQL}, ts, value, {TIME_SQL.replace('datetime', 'ts')}, CASE event_type WHEN 'view' THEN 'MT' WHEN 'click' THEN 'CT' ELSE 'Pn' END AS reading_type FROM events)"
 HEAT = ["mesor_mean", "amplitude_mean", "total_sleep_mean", "waso_mean"]
@@ -31,6 +31,12 @@ def _heatmap(s: SparkSession, d: str) -> DataFrame:
     return rounded(stats.medians(long, "genotype").groupBy("genotype").pivot("feature", HEAT).agg(F.first("median")))
 
 
+def _gappy(s: SparkSession, d: str) -> DataFrame:
+    """Readings some of whose channels have no genotype or a treatment of NA."""
+    r = adapter.readings(s, d)
+    return r.withColumns({"genotype": F.when(F.col("channel") % 5 > 0, F.col("genotype")), "treatment": F.when(F.col("channel") % 7 == 3, " NA ").otherwise(F.col("treatment"))})
+
+
 def _mirrored(s: SparkSession, d: str) -> DataFrame:
     """Pairs in both directions, named "a vs b"."""
     one = stats.cliffs_delta(statistics.long(s, d), "sex").select("feature", "g1", "g2", "delta")
@@ -41,9 +47,9 @@ def _mirrored(s: SparkSession, d: str) -> DataFrame:
 def _rankings(s: SparkSession, d: str) -> DataFrame:
     """Two rankings of features side by side: by mean and by deviation."""
     got = statistics.long(s, d).groupBy("feature").agg(F.round(F.avg("value"), 4).alias("m"), F.round(F.stddev_samp("value"), 4).alias("sd"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "feature")).cast("long")
-    a, b = got.select(place("m").alias("rank"), F.col("feature").alias("by_mean")), got.select(place("sd").alias("rank"), F.col("feature").alias("by_deviation"))
-    return a.join(b, "rank", "full_outer")
+    first = got.select(F.row_number().over(Window.orderBy(F.desc("m"), "feature")).alias("rank"), "feature", F.col("m").alias("importance"))
+    both = ml.ranking_table(first, got.select("feature", F.col("sd").alias("loading")))
+    return both.select(F.col("rank").cast("long").alias("rank"), F.col("forest_feature").alias("by_mean"), F.col("pca_feature").alias("by_deviation"))
 
 
 def _near_death(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +76,8 @@ QUERIES = {
     "flt2_active_bins": (lambda s, d: adapter.dense(s, d).where("n > 0").groupBy("fly_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {DENSE} SELECT fly_id, count(*) AS n FROM dense WHERE n > 0 GROUP BY fly_id"),
     "flt3_date_range": (lambda s, d: adapter.readings(s, d).where(F.col("date").between("2024-01-05", "2024-01-10")).select("event_id", "fly_id"), f"WITH {E} SELECT event_id, fly_id FROM e WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"),
     "flt4_mt_without_days": (lambda s, d: adapter.readings(s, d).where("reading_type = 'MT' and exp_day not in (1, 7)").select("event_id", "fly_id"), f"WITH {E} SELECT event_id, fly_id FROM e WHERE reading_type = 'MT' AND exp_day NOT IN (1, 7)"),
-    "flt5_usable_metadata": (lambda s, d: adapter.readings(s, d).where(tp.is_ok(F.col("genotype")) & tp.is_ok(F.col("sex")) & tp.is_ok(F.col("treatment"))).groupBy("genotype", "sex", "treatment").agg(F.count_distinct("fly_id").alias("n")), f"WITH {E} SELECT genotype, sex, treatment, count(DISTINCT fly_id) AS n FROM e WHERE lower(genotype) NOT IN ('', 'na', 'nan') GROUP BY ALL"),
+    "flt5_usable_metadata": (lambda s, d: _gappy(s, d).where(tp.is_ok(F.col("genotype")) & tp.is_ok(F.col("sex")) & tp.is_ok(F.col("treatment"))).groupBy("genotype", "sex", "treatment").agg(F.count_distinct("fly_id").alias("n")), f"WITH {E} SELECT genotype, sex, treatment, count(DISTINCT fly_id) AS n FROM e WHERE channel % 5 > 0 AND channel % 7 <> 3 GROUP BY ALL"),
+    "flt6_usable_rows": (lambda s, d: features.usable_rows(_gappy(s, d).withColumn("zt", F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("zt").cast("string")))).groupBy("fly_id").agg(F.count(F.lit(1)).alias("n"), F.sum("zt").alias("zts")), f"WITH {E} SELECT fly_id, count(*) AS n, sum(zt)::BIGINT AS zts FROM e WHERE channel % 5 > 0 AND event_id % 11 <> 0 GROUP BY fly_id"),
     "flt11_vehicle": (lambda s, d: adapter.readings(s, d).where(F.upper("treatment") == "VEH").select("fly_id").distinct(), f"WITH {E} SELECT DISTINCT fly_id FROM e WHERE upper(treatment) = 'VEH'"),
     "flt15_group_sizes": (lambda s, d: _kept(s, d).groupBy("genotype", "treatment").agg(F.count(F.lit(1)).alias("n")).where("n >= 3"), f"WITH {GOOD} SELECT genotype, treatment, count(*) AS n FROM kept GROUP BY ALL HAVING count(*) >= 3"),
     "flt16_sex_prefix": (lambda s, d: _kept(s, d).where(F.lower("sex").startswith("f")).select("fly_id"), f"WITH {GOOD} SELECT fly_id FROM kept WHERE lower(sex) LIKE 'f%'"),
@@ -83,7 +90,7 @@ QUERIES = {
     "win11_rolling_mean": (lambda s, d: rounded(core.hourly(s, d).select("fly_id", "exp_day", "zt", F.avg("hourly_mt").over(Window.partitionBy("fly_id", "exp_day").orderBy("zt").rowsBetween(-1, 1)).alias("smooth")), 6), f"WITH {HOURLY} SELECT fly_id, exp_day::BIGINT AS exp_day, zt::BIGINT AS zt, round(avg(y) OVER (PARTITION BY fly_id, exp_day ORDER BY zt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM hourly"),
     "win21_group_transform": (lambda s, d: rounded(_kept(s, d).select("fly_id", F.count(F.lit(1)).over(Window.partitionBy("genotype")).alias("n"), F.avg("total_sleep_mean").over(Window.partitionBy("genotype")).alias("m"))), f"WITH {GOOD} SELECT fly_id, count(*) OVER (PARTITION BY genotype) AS n, round((avg(total_sleep_mean) OVER (PARTITION BY genotype))::DOUBLE, 4) AS m FROM kept"),
     "srt2_key_order": (lambda s, d: adapter.readings(s, d).select("monitor", "channel").distinct().select(F.concat_ws("-", "monitor", "channel").alias("key"), F.row_number().over(Window.orderBy(F.col("monitor").cast("int"), "channel")).cast("long").alias("place")), f"WITH {E} SELECT monitor || '-' || channel AS key, row_number() OVER (ORDER BY monitor::INTEGER, channel) AS place FROM (SELECT DISTINCT monitor, channel FROM e)"),
-    "srt5_latest": (lambda s, d: _events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id"), "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1"),
+    "srt5_latest": (lambda s, d: store.latest(_events(s, d).select(F.col("event_id").alias("experiment_id"), F.col("ts").alias("created_at"))).select(F.col("experiment_id").alias("event_id")), "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1"),
     "srt6_sample": (lambda s, d: _events(s, d).orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("event_id").cast("string"))), "event_id").limit(500).select("event_id"), "SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500"),
     "set1_concat": (lambda s, d: functools.reduce(DataFrame.unionByName, [adapter.readings(s, d).where(F.col("reading_type") == k).select("event_id", "monitor", "reading_type") for k in READING_TYPES]), f"WITH {E} SELECT event_id, monitor, reading_type FROM e"),
     "set4_unique_values": (lambda s, d: adapter.readings(s, d).select("genotype", "treatment").distinct(), f"WITH {E} SELECT DISTINCT genotype, treatment FROM e"),

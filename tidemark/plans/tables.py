@@ -34,6 +34,25 @@ def _filtered(spark: SparkSession, d: str) -> DataFrame:
     return monitor.parse_lines(monitor.filter_lines(lines(spark, d), dt.date(2024, 1, 2), 5, 1)).groupBy("monitor", "movement_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of the lines with the metadata of channels in use, by genotype and time of day."""
+    meta = adapter.readings(spark, d).where("channel % 5 > 0").select("monitor", "channel", "fly_id", "genotype", "sex", "treatment").distinct()
+    ready = monitor.prepare(monitor.to_readings(monitor.parse_lines(lines(spark, d))), meta, adapter.START)
+    return rounded(ready.groupBy("genotype", "reading_type", "zt", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+
+
+def _flies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Customers as flies of an experiment, a nation each, and orders as their readings."""
+    flies = _part(spark, d, "customer").select(F.col("c_nationkey").alias("experiment_id"), F.col("c_custkey").cast("string").alias("fly_id"))
+    readings = _part(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("fly_id"), "o_orderkey").join(flies, "fly_id")
+    return {"flies": flies, "readings": readings}
+
+
+def _cascade(spark: SparkSession, d: str) -> DataFrame:
+    tables = _flies(spark, d)
+    return store.counts(store.delete_flies(tables, tables["flies"].where("fly_id like '%7'")))
+
+
 def bins(spark: SparkSession, d: str) -> DataFrame:
     """Hours as bins: events are movement, the sum of values the variance. Some users make a fly, so that some flies live."""
     return adapter.dense(spark, d, users=core.USERS).select("fly_id", "genotype", "sex", "treatment", F.col("datetime").alias("bin_start"), F.col("n").alias("mt_sum"), F.col("value").alias("pn_var"))
@@ -96,6 +115,9 @@ QUERIES = {
     "snk3_insert_ignore": (lambda s, d: store.insert_ignore(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)"),
     "snk4_upsert": (lambda s, d: store.upsert(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"),
     "snk7_delete": (lambda s, d: store.delete(*_old_new(s, d), ["c_custkey"]), f"WITH {OLD_NEW} SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n)"),
+    "snk7_delete_flies": (_cascade, "WITH f AS (SELECT c_nationkey AS experiment_id, c_custkey FROM customer WHERE c_custkey::VARCHAR NOT LIKE '%7') SELECT experiment_id, 'flies' AS \"table\", count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT experiment_id, 'readings', count(*) FROM f JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "snk8_counts": (lambda s, d: store.counts(_flies(s, d)), "SELECT c_nationkey AS experiment_id, 'flies' AS \"table\", count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'readings', count(*) FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "join1_prepared": (_prepared, f"WITH {LINES}, m AS (SELECT DISTINCT monitor, channel, genotype FROM e WHERE channel % 5 > 0), w AS (SELECT k.monitor, k.channel, k.t, x.kind, coalesce(n, 0) AS n FROM k, x LEFT JOIN c ON c.monitor = k.monitor AND c.channel = k.channel AND c.t = k.t AND c.kind = x.kind) SELECT genotype, kind AS reading_type, ((hour(t) + 15) % 24)::BIGINT AS zt, CASE WHEN (hour(t) + 15) % 24 < 12 THEN 'Light' ELSE 'Dark' END AS phase, count(*) AS n, sum(n)::BIGINT AS total FROM w JOIN m USING (monitor, channel) GROUP BY ALL"),
     "set2_difference": (lambda s, d: _old_new(s, d)[0].select("c_custkey").exceptAll(_old_new(s, d)[1].select("c_custkey")), f"WITH {OLD_NEW} SELECT c_custkey FROM o EXCEPT ALL SELECT c_custkey FROM n"),
     "set3_union": (lambda s, d: _old_new(s, d)[0].select("c_mktsegment").union(_old_new(s, d)[1].select("c_mktsegment")).distinct(), f"WITH {OLD_NEW} SELECT c_mktsegment FROM o UNION SELECT c_mktsegment FROM n"),
     "join5_fact_dimension": (lambda s, d: rounded(_part(s, d, "orders").join(_part(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2), "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
