@@ -156,7 +156,7 @@ def test_metadata(spark):
 def test_store(spark):
     old, new = (spark.createDataFrame(v, "k int, v string") for v in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d"), (3, "d")]))
     rows = lambda df: sorted(tuple(r) for r in df.collect())
-    assert rows(store.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d"), (3, "d")]
+    assert rows(store.upsert(old, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     assert rows(store.insert_ignore(old, new, ["k"])) == [(1, "a"), (2, "b"), (3, "d")]
     assert rows(store.delete(old, new, ["k"])) == [(1, "a")]
 
