@@ -14,6 +14,8 @@ code points, end exclusive. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ TERM = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{2,}+"
 BUCKETS = 1 << 20
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value): the leftmost non-overlapping matches of the pattern."""
+def matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, end, value): the leftmost non-overlapping matches of the pattern, or those whose value is ``wanted``."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
@@ -44,7 +46,7 @@ def matches(text: Column, pattern: str) -> Column:
     def step(s: Column, part: Column) -> Column:
         end = (s["at"] + F.char_length(part)).cast("int")
         one = F.array(F.struct(s["at"].alias("start"), end.alias("end"), part.alias("value")))
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"] & wanted(part) if wanted else s["inside"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
 
     return F.aggregate(F.split(marked, _MARK, -1), start, step, lambda s: s["out"])
 
@@ -159,7 +161,7 @@ def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 3, windo
     held = having(texts.select("doc_id", "text_hash", F.explode(_words()).alias("term")).withColumn("h", F.xxhash64("term")), telling.select("h").distinct(), "h")
     held = scratch.keep(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("terms")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    at = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])) & ~F.exists("base", lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"])))
+    at = F.filter(matches(F.col("text"), TERM, lambda v: F.array_contains("terms", F.lower(v))), lambda m: ~F.exists("base", lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"])))
     span = F.transform(at, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.lit("").alias("value")))
     based = found.select("doc_id", "text_hash", "base").join(held, same).select("_id", "_hash", "terms", "base").dropDuplicates(["_id", "_hash"])
     more = texts.join(based, same).select("_id", "_hash", span.alias("more")).dropDuplicates(["_id", "_hash"])
