@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontam, licenses, linededup, pii, quality, simhash, tokenfile, toxicity
+from tidemark.llm import ann, bpe, decontam, licenses, linededup, packing, pii, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
 
@@ -58,8 +58,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_simhash, op3_bpe, op4_decontamination, op5_ann, op6_pii, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity)
+    for f in (
+        op1_quality, op2_simhash, op3_bpe, op4_decontamination, op5_ann, op6_pii, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity,
+        op12_packing,
+    )
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql()}
