@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontam, licenses, linededup, packing, pii, quality, simhash, tokenfile, toxicity
+from tidemark.llm import alignment, ann, bpe, decontam, licenses, linededup, packing, pii, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
 
@@ -62,11 +62,15 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_simhash, op3_bpe, op4_decontamination, op5_ann, op6_pii, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity,
-        op12_packing,
+        op12_packing, op13_alignment,
     )
 }
 ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql()}
