@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, ann, bpe, decontam, licenses, linededup, packing, pii, quality, simhash, tokenfile, toxicity
+from tidemark.llm import alignment, ann, bpe, decontam, licenses, linededup, negatives, packing, pii, quality, simhash, tokenfile, toxicity
 from tidemark.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -70,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality, op2_simhash, op3_bpe, op4_decontamination, op5_ann, op6_pii, op7_tokenfile, op8_licenses, op9_linededup, op10_toxicity,
-        op12_packing, op13_alignment,
+        op11_hardnegatives, op12_packing, op13_alignment,
     )
 }
-ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql()}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.scan_sql(), "op11_hardnegatives": negatives.negatives_sql()}
