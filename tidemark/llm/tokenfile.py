@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,19 +37,24 @@ SHARD_IDS, STEP = 1 << 19, 8
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Words whose ids a Python worker keeps.
-TABLE_WORDS = 1_000_000
+#: Pieces of text whose ids a Python worker keeps, and their characters.
+TABLE_WORDS, TABLE_CHARS = 1_000_000, 24_000_000
+#: Fixed value: the characters that Unicode calls white space.
+_BLANK = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OPEN: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """The tokenizers library over whole texts, with a table of the words that it has encoded.
+    """The tokenizers library over whole texts, with a table of the pieces of text that it has encoded.
 
     A byte-level tokenizer cuts a text into words by a fixed pattern and encodes each by itself, so a word met before needs no
-    second call. Texts that hold an added token, or a code point that not all Unicode tables know, go to the library whole.
+    second call. No word goes on with a blank after another sign: a run of blanks with the signs up to the next blank is cut
+    alike wherever it stands, and is kept as well. Words that start with a blank are sent to the library as one text, which it cuts
+    into these very words; the bytes of the tokens tell where one ends. Texts that hold an added token, or a code point that not all
+    Unicode tables know, go to the library whole.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # keep to the task's core
         from tokenizers import Tokenizer
 
@@ -58,25 +64,50 @@ class Encoder:
         cut = settings["pre_tokenizer"] or {}
         fixed = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not settings["normalizer"]
         self.words = regex.compile(WORDS).findall if fixed else None
+        self.runs = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
+        # a letter of a token stands for a byte
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.lens = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.lens[list(vocab.values())] = [len(t) for t in vocab]
         self.table: dict[str, bytes] = {}
+        self.most, self.chars = most or TABLE_WORDS, 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, runs: set[str]) -> None:
+        """Put runs and their words into the table; none has an unassigned code point."""
+        # a blank and letters, or letters alone, are one word
+        mixed = {r: self.words(r) for r in runs if not (r.isalpha() or r[0] == " " and r[1:].isalpha())}
+        words = runs.difference(mixed).union(*mixed.values()).difference(self.table)
+        after = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        blocks = [after[at : at + 500] for at in range(0, len(after), 500)]
+        for some, e in zip(blocks, self.library.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids, size = np.array(e.ids, "<u4"), np.cumsum([len(w.encode()) for w in some])
+            reached = np.cumsum(self.lens[ids])
+            ends = np.searchsorted(reached, size) + 1
+            if np.array_equal(reached[ends - 1], size):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.table.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [w for w in words if w not in self.table]
+        self.table.update(zip(rest, self._whole(rest), strict=True))
+        self.table.update(zip(mixed, [b"".join(map(self.table.__getitem__, w)) for w in mixed.values()], strict=True))
+        self.chars += sum(map(len, runs)) + sum(map(len, words))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
         if self.words is None:
             return self._whole(texts)
-        split = [None if any(a in t for a in self.added) else self.words(t) for t in texts]
+        split = [None if any(a in t for a in self.added) else self.runs(t) for t in texts]
         new = set().union(*filter(None, split)).difference(self.table)
-        odd = {w for w in new if has_unassigned(w)}
-        if len(self.table) + len(new) > TABLE_WORDS:
-            self.table, new = {}, set().union(*filter(None, split))
-        new = sorted(new - odd)
-        self.table.update(zip(new, self._whole(new), strict=True))
-        whole = [i for i, words in enumerate(split) if words is None or odd and not odd.isdisjoint(words)]
+        if len(self.table) + len(new) > self.most or self.chars > TABLE_CHARS:
+            self.table, self.chars, new = {}, 0, set().union(*filter(None, split))
+        unknown = {c for c in set().union(*new) if has_unassigned(c)}
+        odd = {r for r in new if not unknown.isdisjoint(r)} if unknown else set()
+        self._learn(new - odd)
+        whole = [i for i, runs in enumerate(split) if runs is None or odd and not odd.isdisjoint(runs)]
         found = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
-        return [found[i] if i in found else b"".join(map(self.table.__getitem__, words)) for i, words in enumerate(split)]
+        return [found[i] if i in found else b"".join(map(self.table.__getitem__, runs)) for i, runs in enumerate(split)]
 
 
 def open_tokenizer(spec: str) -> Encoder:
