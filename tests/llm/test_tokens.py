@@ -60,11 +60,10 @@ def test_word_bpe_over_every_code_point():
         assert np.frombuffer(raw, "<u4").tolist() == want.ids, ascii(text[:8])
 
 
-def test_whole_texts_are_encoded(monkeypatch):
+def test_whole_texts_are_encoded():
     lib = tokenizers.Tokenizer.from_file(BYTE)
     with open(BYTE, encoding="utf-8") as f:
-        mine = tokenfile.open_tokenizer(f.read())
-    monkeypatch.setattr(tokenfile, "TABLE_WORDS", 2000)
+        mine = tokenfile.Encoder(f.read(), most=2000)
     texts = TEXTS + list(every_code_point())
     want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     for at in range(0, len(texts), 50):

@@ -28,8 +28,8 @@ from tidemark.llm.bpe import byte_letters
 from tidemark.llm.common import Scratch
 from tidemark.llm.tokenfile import Encoder
 
-#: Links after which a chunk is closed, characters of text that are aligned at once, and chunks of words that a worker keeps of B.
-CHUNK_LINKS, BLOCK_CHARS, TABLE_WORDS = 1 << 20, 1_000_000, 400_000
+#: Links after which a chunk is closed, characters of text that are aligned at once, and pieces of text that a worker keeps of each side.
+CHUNK_LINKS, BLOCK_CHARS, TABLE_WORDS = 1 << 19, 300_000, 300_000
 CHUNKS = "chunk long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_links array<long>, groups array<string>, pairs array<long>, counts array<long>, links binary"
 DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, {groups} string"
 
@@ -38,7 +38,7 @@ class ByteSide:
     """A: the tokens of a blank and a text, and the bytes of each id."""
 
     def __init__(self, spec: str):
-        self.encoder = Encoder(spec)
+        self.encoder = Encoder(spec, TABLE_WORDS)
         self.encoder.library.encode_special_tokens = True
         value = {c: bytes([b]) for b, c in enumerate(byte_letters())}
         vocab = self.encoder.library.get_vocab(with_added_tokens=True)
@@ -46,8 +46,8 @@ class ByteSide:
         for token, i in vocab.items():
             self.bytes[i] = b"".join(value.get(c) or c.encode() for c in token)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(raw, "<u4").astype(np.int64) for raw in self.encoder.encode([" " + t for t in texts])]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encoder.encode([" " + t for t in texts])
 
 
 class PieceSide:
@@ -67,13 +67,13 @@ class PieceSide:
         self.words = regex.compile(r" +[^ ]*").findall if plain and "▁" in pieces and not any("▁" in p.lstrip("▁") for p in pieces) else None
         named = regex.compile("<0x([0-9A-F]{2})>")
         self.bytes = [bytes([int(m[1], 16)]) if (m := named.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.table: dict[str, np.ndarray] = {}
-        self.blank = np.array([pieces.index("▁")]) if "▁" in pieces else None
+        self.table: dict[str, bytes] = {}
+        self.blank = np.array([pieces.index("▁")], "<u4").tobytes() if "▁" in pieces else b""
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.library.encode(texts, num_threads=1)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self.library.encode(texts, num_threads=1)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if self.words is None:
             return self._whole(texts)
         split = [self.words(" " + t) for t in texts]
@@ -83,7 +83,7 @@ class PieceSide:
         new = sorted(new)
         self.table.update(zip(new, self._whole([w[1:] for w in new]), strict=True))
         self.table[" "] = self.blank  # a blank alone, at the end: the model adds none to an empty text
-        return [np.concatenate([self.table[w] for w in words]) for words in split]
+        return [b"".join(map(self.table.__getitem__, words)) for words in split]
 
 
 class Pair:
@@ -100,8 +100,9 @@ class Pair:
     def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of each text on both sides; none where a side doesn't give back the blank and the text."""
         full = [t or "" for t in texts]
-        found, want = [s.encode(full) for s in self.sides], [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in full]
-        none = np.zeros(0, np.int64)
+        found = [[np.frombuffer(raw, "<u4") for raw in s.encode(full)] for s in self.sides]
+        want = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in full]
+        none = np.zeros(0, "<u4")
         good = [t and all(b"".join(map(s.bytes.__getitem__, ids[i].tolist())) == w for s, ids in zip(self.sides, found, strict=True)) for i, (t, w) in enumerate(zip(full, want, strict=True))]
         return tuple([x if g else none for x, g in zip(ids, good, strict=True)] for ids in found)
 
