@@ -86,16 +86,16 @@ def test_death_prediction(spark, tmp_path):
             rows.append((f"M1_Ch{fly:02d}", day, 100.0 * left + rng.random(), rng.random(), 24.0 - left, status, left))
     spark.createDataFrame(rows, "fly_id string, exp_day int, total_activity double, activity_var double, longest_zero_hours double, status string, days_until_death int").write.option("header", True).csv(str(tmp_path / "rows"))
     for target in ("near_death", "auto"):
-        made = cli.ml.fit_boosted_classes
-        cli.ml.fit_boosted_classes = lambda a, b: made(a, b, depths=(2,), rates=(0.1,), rounds=5)
+        made = cli.ml.fit_boosted
+        cli.ml.fit_boosted = lambda a, b: made(a, b, depths=(2,), rates=(0.1,), rounds=5)
         try:
             cli.main(["death", "--sliding-window-csv", str(tmp_path / "rows"), "--target", target, "--exclude-longest-zero", "--output-dir", str(tmp_path / target)], spark)
         finally:
-            cli.ml.fit_boosted_classes = made
+            cli.ml.fit_boosted = made
         text = (tmp_path / target / "death_prediction.txt").read_text()
         assert "accuracy" in text and ("status" if target == "auto" else "near_death") in text
         top = files.importances(spark, str(tmp_path / target / "death_importance")).where("rank = 1").first()
-        assert top["feature"] == "x0"
+        assert top["feature"] == "total_activity"
 
 
 def test_sync(spark, tmp_path, capsys):

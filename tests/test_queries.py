@@ -23,7 +23,7 @@ def duck():
 def plain(v):
     if v is None or v != v:
         return None
-    return round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return float(v) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
 def names():

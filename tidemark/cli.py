@@ -236,10 +236,12 @@ def death(spark: SparkSession, a: argparse.Namespace) -> None:
     left_out = {"label", "near_death", "exp_day", "experiment_id", "channel", "days_until_death", *(["longest_zero_hours"] if a.exclude_longest_zero else [])}
     names = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in left_out]
     rows = ml.group_split(ml.as_vectors(df.where("label >= 0").fillna(0.0, names), names), "fly_id", F.col("label"))
-    model = ml.fit_boosted_classes(rows.where("part = 'train'"), rows.where("part = 'val'"))
+    model = ml.fit_boosted(rows.where("part = 'train'"), rows.where("part = 'val'"))
     tested = model.transform(rows.where("part = 'test'"))
     files.write_text(spark, files.report({"Target": target + "\n", "Metrics": ml.metrics(tested), "Confusion": ml.confusion(tested)}), f"{a.output_dir}/death_prediction.txt")
-    store.to_csv(ml.permutation_importance(model, rows.where("part = 'test'")), f"{a.output_dir}/death_importance")
+    named = spark.createDataFrame([(f"x{i}", c) for i, c in enumerate(names)], "feature string, name string")
+    importance = ml.shap_importance(model, rows.where("part = 'train'"), rows.where("part = 'test'"), "fly_id").join(F.broadcast(named), "feature")
+    store.to_csv(importance.select(F.col("name").alias("feature"), "importance").orderBy(F.desc("importance"), "feature"), f"{a.output_dir}/death_importance")
 
 
 def delete_experiment(spark: SparkSession, a: argparse.Namespace) -> None:

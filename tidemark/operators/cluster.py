@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import tails
+from tidemark.functions import native
+from tidemark.operators import metric, order
+from tidemark.operators.graph import components
+from tidemark.operators.lineage import cut
 
 #: Rows of a block when every point meets every other.
 BLOCK = 4096
@@ -99,20 +102,8 @@ def _pairs(blocks: DataFrame) -> DataFrame:
 
 
 def knn(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, k, distance) to the k nearest points, itself first (k = 0) at distance 0; ties by key. Blocks meet blocks."""
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                (a, _, x), (b, _, y) = _open(r), _open(r, "_b")
-                dist = _distances(x, y)
-                for i in range(len(a)):
-                    o = np.lexsort((b, dist[i]))[:k]
-                    yield pd.DataFrame({key: a[i], "other": b[o], "distance": dist[i][o]})
-
-    found = _pairs(_blocks(points, key, vector)).mapInPandas(near, f"{key} long, other long, distance double")
-    w = Window.partitionBy(key).orderBy("distance", "other")
-    return found.withColumn("k", (F.row_number().over(w) - 1).cast("int")).where(F.col("k") < k).select(key, "k", "distance")
+    """(key, k, distance) to the k nearest points, itself among them (k = 0 first) at distance 0; ties by key."""
+    return metric.nearest(points, key, vector, k).select(F.col("key").alias(key), F.col("place").cast("int").alias("k"), "distance")
 
 
 def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFrame:
@@ -152,18 +143,16 @@ def agreement(df: DataFrame, left: str, right: str) -> DataFrame:
     rb = cols.join(F.broadcast(tot)).agg(F.sum(two("b")).alias("bj"), ent("b").alias("hb"))
     j = one.join(F.broadcast(ra)).join(F.broadcast(rb)).withColumn("e", F.col("ai") * F.col("bj") / (F.col("t") * (F.col("t") - 1) / 2))
     margins = rows.select("a", F.lit(0).alias("_j")).join(cols.select("b", F.lit(0).alias("_j")), "_j").join(F.broadcast(tot))
-    chance = margins.agg(F.coalesce(F.sum(tails.expected_information(F.col("a"), F.col("b"), F.col("t"))), F.lit(0.0)).alias("emi"))
+    chance = margins.agg(F.coalesce(F.sum(native.expected_information(F.col("a"), F.col("b"), F.col("t"))), F.lit(0.0)).alias("emi"))
     j = j.join(F.broadcast(chance)).withColumn("h", (F.col("ha") + F.col("hb")) / 2)
     ami = F.when(F.abs(F.col("h") - F.col("emi")) < 1e-12, 1.0).otherwise((F.col("mi") - F.col("emi")) / (F.col("h") - F.col("emi")))
     return j.select(ami.alias("ami"), F.try_divide(F.col("ij") - F.col("e"), (F.col("ai") + F.col("bj")) / 2 - F.col("e")).alias("ari"), F.try_divide("mi", (F.col("ha") + F.col("hb")) / 2).alias("nmi"))
 
 
 def elbow(distances: DataFrame, distance: str) -> DataFrame:
-    """(index, distance): where the second difference of the sorted distances is largest, first on ties. One global order, so
-    it is for tables of at most some ten thousand points; fewer than three give no row."""
-    w = Window.orderBy("d")
-    d = distances.select(F.col(distance).alias("d")).withColumn("i", F.row_number().over(w) - 1)
-    d = d.withColumn("bend", F.lead("d", 2).over(w) - 2 * F.lead("d", 1).over(w) + F.col("d")).where("bend is not null")
+    """(index, distance): where the second difference of the sorted distances is largest, first on ties; fewer than three give no row."""
+    d = order.numbered(distances.select(F.col(distance).alias("d")).where("d is not null"), ["d"], "i")
+    d = order.with_next(d, "d", "i", 2).withColumn("bend", F.col("next2") - 2 * F.col("next1") + F.col("d")).where("bend is not null")
     best = d.agg(F.max(F.struct("bend", -F.col("i"), "d")).alias("m")).where("m is not null")
     return best.select((-F.col("m.col2")).cast("int").alias("index"), F.col("m.d").alias("distance"))
 
@@ -171,38 +160,43 @@ def elbow(distances: DataFrame, distance: str) -> DataFrame:
 def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: int, most_rounds: int = 50) -> DataFrame:
     """(key, cluster): density clusters numbered by their smallest core key; -1 for noise. The point itself counts.
 
-    Neighbour pairs come from blocks; core points are joined by repeated smallest labels. A border point goes to the cluster
-    with the smallest number.
+    Equal points are one point that counts as often. Neighbours are counted by a metric join. Core points then meet the core
+    points near them, and each meeting of a group with a slice gives its smallest links, one for each point, not its pairs; their
+    components are the clusters. Other points have fewer than ``min_samples`` neighbours; they go to the cluster with the
+    smallest number among theirs.
     """
-
-    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                (a, _, x), (b, _, y) = _open(r), _open(r, "_b")
-                i, j = np.nonzero(_distances(x, y) <= eps)
-                yield pd.DataFrame({"a": a[i], "b": b[j]})
-
-    pairs = _pairs(_blocks(points, key, vector)).mapInPandas(close, "a long, b long").checkpoint()
-    core = pairs.groupBy("a").count().where(F.col("count") >= min_samples).select(F.col("a").alias("c"))
-    links = pairs.join(core, pairs.a == core.c, "left_semi").join(core, F.col("b") == F.col("c"), "left_semi")
-    label = core.select(F.col("c").alias("node"), F.col("c").alias("label"))
-    for _ in range(most_rounds):
-        around = links.join(label, links.b == label.node).groupBy("a").agg(F.min("label").alias("least"))
-        # and one jump: the label's own label
-        jump = label.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        new = around.join(jump, around.least == jump["_n"]).select(F.col("a").alias("node"), F.least("least", "_l").alias("label")).checkpoint()
-        old = label.select(F.col("node").alias("_n"), F.col("label").alias("_o"))
-        done = new.join(old, new.node == old["_n"]).where("label != _o").limit(1).count() == 0
-        label = new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"clusters have not settled after {most_rounds} rounds")
-    number = label.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
-    named = label.join(number, "label").select("node", "cluster")
-    reach = pairs.join(named, pairs.b == named.node).groupBy("a").agg(F.min("cluster").alias("near"))
-    out = points.select(F.col(key)).join(named, F.col(key) == F.col("node"), "left").join(reach, F.col(key) == F.col("a"), "left")
-    return out.select(key, F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
+    rows = metric.usable(points, key, vector)
+    one = cut(rows.groupBy("v").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")))
+    asked = one.withColumn("radius", F.lit(float(eps)))
+
+    def count(keys, radius, other, weights, dist):
+        return keys, (dist <= radius[:, None]) @ weights
+
+    def links(keys, radius, other, weights, dist):
+        near, most = dist <= radius[:, None], np.iinfo(np.int64).max
+        a, b = keys.copy(), other.copy()
+        while True:  # the smallest key that a point reaches within this meeting
+            least = np.minimum(b, np.where(near, a[:, None], most).min(axis=0))
+            new = np.minimum(a, np.where(near, least, most).min(axis=1))
+            if np.array_equal(new, a) and np.array_equal(least, b):
+                break
+            a, b = new, least
+        met = near.any(axis=0)
+        return np.r_[keys, other[met]], np.r_[a, b[met]]
+
+    def around(keys, radius, other, weights, dist):
+        i, j = np.nonzero(dist <= radius[:, None])
+        return keys[i], other[j]
+
+    near = metric.Slices(one, "key", "v", "w").meet(asked, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    core = cut(near.where(F.col("n") >= min_samples).select("key"))
+    dense = metric.Slices(one.join(core, "key"), "key", "v")
+    label = cut(components(dense.meet(asked.join(core, "key"), links, "a long, b long"), most_rounds))
+    named = cut(label.join(order.numbered(label.select("label").distinct(), ["label"], "cluster"), "label").select("node", "cluster"))
+    beside = dense.meet(asked.join(core, "key", "left_anti"), around, "key long, node long").join(named, "node").groupBy("key").agg(F.min("cluster").alias("cluster"))
+    found = one.select("key", "v").join(named.select(F.col("node").alias("key"), "cluster").union(beside), "key")
+    each = rows.select(F.col("key").alias("_k"), "v").join(found.select("v", "cluster"), "v").select("_k", "cluster")
+    return points.select(key).join(each, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
 def density_grid(points: DataFrame, x: str, y: str, n: int = 50) -> DataFrame:

@@ -1,6 +1,7 @@
 """Group comparisons over long tables (feature, group, value): ranks, tests, effect sizes, false discovery control.
 
-Statistics are aggregates and windows within a feature; only tails of distributions are Python, on one row for each result.
+Statistics are aggregates and windows within a feature, and tails of distributions are expressions; Python is left for Shapiro-Wilk
+and for counting out small rank sums, on one row for each result.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import tails
+from tidemark.functions import native, tails
 
 
 def to_long(features: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def anova(long: DataFrame, group: str) -> DataFrame:
     ssb = F.col("q") - F.col("n") * F.col("g") * F.col("g")
     one = one.where("k >= 2 and n > k").withColumn("ssb", F.greatest(ssb, F.lit(0.0)))
     one = one.withColumn("f", F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))))
-    p = tails.f_p(F.col("f"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
+    p = native.f_p(F.col("f"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
     return one.select("feature", "k", "n", "f", p.alias("p_value"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta_squared"))
 
 
@@ -41,7 +42,7 @@ def kruskal(long: DataFrame, group: str) -> DataFrame:
     one = each.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("t")).where("k >= 2")
     raw = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)
     one = one.withColumn("h", F.try_divide(raw, 1 - F.col("t") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))))
-    p = tails.chi2_p(F.col("h"), (F.col("k") - 1).cast("double"))
+    p = native.chi2_p(F.col("h"), (F.col("k") - 1).cast("double"))
     return one.select("feature", "k", F.col("n").cast("long").alias("n"), "h", p.alias("p_value"), F.greatest(F.lit(0.0), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k"))).alias("epsilon_squared"))
 
 
@@ -62,7 +63,7 @@ def dunn(long: DataFrame, group: str) -> DataFrame:
     n = F.col("total1")
     var = (n * (n + 1) / 12 - F.col("tt1") / (12 * (n - 1))) * (1 / F.col("n1") + 1 / F.col("n2"))
     z = F.try_divide(F.col("r1") - F.col("r2"), F.sqrt(var))
-    p = F.least(F.lit(1.0), tails.normal_p(F.col("z")) * F.col("k1") * (F.col("k1") - 1) / 2)
+    p = F.least(F.lit(1.0), native.normal_p(F.col("z")) * F.col("k1") * (F.col("k1") - 1) / 2)
     return two.withColumn("z", z).select("feature", "g1", "g2", "z", p.alias("p_adj"))
 
 
@@ -74,7 +75,7 @@ def tukey(long: DataFrame, group: str) -> DataFrame:
     each = each.withColumn("mse", F.try_divide(F.sum(F.col("n") * F.col("v")).over(w), F.col("df")))
     two = _pairs(each, group, ["n", "m", "df", "k", "mse"])
     q = F.try_divide(F.abs(F.col("m1") - F.col("m2")), F.sqrt(F.col("mse1") / 2 * (1 / F.col("n1") + 1 / F.col("n2"))))
-    return two.withColumn("q", q).select("feature", "g1", "g2", "q", tails.tukey_p(F.col("q"), F.col("k1"), F.col("df1")).alias("p_adj"))
+    return two.withColumn("q", q).select("feature", "g1", "g2", "q", native.tukey_p(F.col("q"), F.col("k1"), F.col("df1")).alias("p_adj"))
 
 
 def normality(long: DataFrame, group: str) -> DataFrame:
@@ -125,7 +126,7 @@ def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3)
     r = 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1
     few = (F.col("t") == 0) & (F.least("n1", "n2") <= 8) & (F.col("n1") * F.col("n2") <= tails.MOST_SUMS)
     exact = tails.rank_sum_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))
-    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(exact, tails.normal_p("z"), F.lit(1.0)).alias("p_value"))
+    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(exact, native.normal_p("z"), F.lit(1.0)).alias("p_value"))
 
 
 def one_vs_rest(long: DataFrame, label: str) -> DataFrame:
@@ -138,7 +139,7 @@ def one_vs_rest(long: DataFrame, label: str) -> DataFrame:
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.col("t") / (F.col("n") * (F.col("n") - 1))))
     each = each.withColumn("z", F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)), sd))
     r = 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1
-    return each.select("feature", label, "u", r.alias("rank_biserial"), F.coalesce(tails.normal_p("z"), F.lit(1.0)).alias("p_value"), F.when(r > 0, "elevated").otherwise("suppressed").alias("direction"))
+    return each.select("feature", label, "u", r.alias("rank_biserial"), F.coalesce(native.normal_p("z"), F.lit(1.0)).alias("p_value"), F.when(r > 0, "elevated").otherwise("suppressed").alias("direction"))
 
 
 def cliffs_delta(long: DataFrame, group: str) -> DataFrame:
@@ -184,7 +185,7 @@ def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     off = F.when((F.col("r") == 2) & (F.col("c") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
     one = cells.join(F.broadcast(k)).groupBy("r", "c").agg(F.sum(off * off / F.col("expected")).alias("chi2")).where("r >= 2 and c >= 2")
     one = one.withColumn("df", (F.col("r") - 1) * (F.col("c") - 1))
-    return one.select("chi2", "df", tails.chi2_p(F.col("chi2"), F.col("df").cast("double")).alias("p_value"))
+    return one.select("chi2", "df", native.chi2_p(F.col("chi2"), F.col("df").cast("double")).alias("p_value"))
 
 
 def fisher(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -192,7 +193,7 @@ def fisher(df: DataFrame, row: str, col: str) -> DataFrame:
     cells = contingency(df, row, col)
     four = cells.agg(F.sort_array(F.collect_list(F.struct(row, col, "n"))).alias("c"), F.count_distinct(row).alias("r"), F.count_distinct(col).alias("k"))
     n = lambda i: F.get(F.col("c.n"), F.lit(i)).cast("long")
-    return four.where("r = 2 and k = 2").select(F.lit("Fisher exact").alias("test"), tails.fisher_p(n(0), n(1), n(2), n(3)).alias("p_value"))
+    return four.where("r = 2 and k = 2").select(F.lit("Fisher exact").alias("test"), native.fisher_p(n(0), n(1), n(2), n(3)).alias("p_value"))
 
 
 def composition(df: DataFrame, row: str, col: str) -> DataFrame:

@@ -234,7 +234,7 @@ QUERIES = {
     "agg6_rhythm_features": (lambda s, d: rounded(rhythm.rhythm_features(hourly(s, d)), 7), f"WITH {HOURLY} {RHYTHM} {PERIODOGRAM} SELECT {CH}, rhythmic_days, {rnd(RHYTHM_NAMES + PERIOD_NAMES, 7)} FROM rhythm LEFT JOIN pf USING (fly_id)"),
     "sta2_periodogram": (lambda s, d: rounded(rhythm.periodogram(hourly(s, d)).select("fly_id", "exp_day", "periodogram_period", "periodogram_power")), f"WITH {HOURLY} {PERIODOGRAM} SELECT fly_id, exp_day::BIGINT AS exp_day, round(periodogram_period, 4) AS periodogram_period, round(periodogram_power, 4) AS periodogram_power FROM (SELECT DISTINCT fly_id, exp_day FROM hourly) LEFT JOIN pg USING (fly_id, exp_day)"),
     "win1_run_lengths": (lambda s, d: rounded(run_lengths(adapter.dense(s, d), ["fly_id", "exp_day"], "datetime", F.col("n") == 0).withColumnRenamed("flag", "zero")), f"WITH {HOURLY} {RUNS} SELECT fly_id, exp_day::BIGINT AS exp_day, run_id::BIGINT AS run_id, zero, count(*) AS length, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS start FROM rn GROUP BY fly_id, exp_day, run_id, zero"),
-    "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, missing_frac FROM dm"),
+    "agg2_daily_metrics": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "total_activity", "activity_index", "longest_zero", "total_sleep", "missing_frac")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, total_activity, round(activity_index, 4) AS activity_index, longest_zero, total_sleep, round(missing_frac, 4) AS missing_frac FROM dm"),
     "agg3_startle": (lambda s, d: rounded(health.daily_metrics(watched(s, d), BIN).select("fly_id", "date", "transition_counts", "no_startle")), f"WITH {HEALTH} SELECT fly_id, date::VARCHAR AS date, transition_counts, no_startle FROM dm"),
     "sta5_decline": (lambda s, d: rounded(days(s, d).select("fly_id", "exp_day", "ref_activity", "rel_activity", "decline_status")), f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, ref_activity, round(rel_activity, 4) AS rel_activity, decline_status FROM dec2"),
     "sta6_status": (status, f"WITH {HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, raw_status AS status, round(missing_frac, 4) AS missing_frac FROM st"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ml, sliding, states
+from tidemark.operators import cluster, ml, sliding, states
 from tidemark.plans import core
 from tidemark.plans.core import FLY_SQL, rounded
 from tidemark.sources import adapter, monitor, store
@@ -97,6 +97,27 @@ def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c.where("c_acctbal < 6000"), c.where("c_acctbal >= 3000").withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2))
 
 
+def _plane(spark: SparkSession, d: str) -> DataFrame:
+    """The first two components of the embeddings."""
+    return _part(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("v"))
+
+
+def _plane_clusters(spark: SparkSession, d: str) -> DataFrame:
+    points = _plane(spark, d)
+    bend = cluster.elbow(cluster.knn(points, "vec_id", "v", 6).where("k = 5"), "distance").first()
+    return cluster.dbscan(points, "vec_id", "v", bend["distance"] / 3 if bend else 0.0, 6)
+
+
+#: Density clusters by all pairs and the closure of the core points' links; {eps} may read the bends of the fifth neighbours' distances.
+DBSCAN = """WITH RECURSIVE p AS ({points}), pair AS (SELECT a.k AS a, b.k AS b, list_distance(a.v, b.v) AS d FROM p a, p b),
+    ranked AS (SELECT d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM pair), fifth AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM ranked WHERE n = 6),
+    bent AS (SELECT d, i, lead(d, 2) OVER (ORDER BY d) - 2 * lead(d) OVER (ORDER BY d) + d AS bend FROM fifth QUALIFY bend IS NOT NULL),
+    near AS (SELECT a, b FROM pair WHERE d <= {eps}), core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 6),
+    link AS (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+    reach(node, root) AS (SELECT k, k FROM core UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node WHERE r.root < l.b),
+    root AS (SELECT node, min(root) AS root FROM reach GROUP BY node), name AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM root),
+    beside AS (SELECT a, min(cluster) AS cluster FROM near JOIN name ON b = node GROUP BY a),
+    found AS (SELECT k, coalesce(name.cluster, beside.cluster, -1) AS cluster FROM p LEFT JOIN name ON k = node LEFT JOIN beside ON k = a)"""
 OLD_NEW = "o AS (SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE round(c_acctbal, 2) < 6000), n AS (SELECT c_custkey, c_mktsegment, round(round(c_acctbal, 2) + 1, 2) AS c_acctbal FROM customer WHERE round(c_acctbal, 2) >= 3000)"
 QUERIES = {
     "src1_monitor_readings": (_readings, f"WITH {LINES}, w AS (SELECT k.monitor, k.channel, k.t, x.kind, coalesce(n, 0) AS n FROM k, x LEFT JOIN c ON c.monitor = k.monitor AND c.channel = k.channel AND c.t = k.t AND c.kind = x.kind) SELECT monitor, strftime(t, '%Y-%m-%d %H:%M:%S') AS datetime, channel::BIGINT AS channel, kind AS reading_type, n::BIGINT AS value FROM w"),
@@ -123,7 +144,9 @@ QUERIES = {
     "join5_fact_dimension": (lambda s, d: rounded(_part(s, d, "orders").join(_part(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2), "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "src17_listing_difference": (lambda s, d: store.listing_difference(*[t.select(F.col("c_custkey").cast("string").alias("path"), F.col("c_acctbal").alias("size")) for t in _old_new(s, d)]).groupBy("state").agg(F.count(F.lit(1)).alias("n")), f"WITH {OLD_NEW} SELECT CASE WHEN n.c_custkey IS NULL THEN 'push' WHEN o.c_custkey IS NULL THEN 'pull' WHEN o.c_acctbal <> n.c_acctbal THEN 'differs' ELSE 'same' END AS state, count(*) AS n FROM o FULL JOIN n ON o.c_custkey = n.c_custkey GROUP BY 1"),
     "ml1_pca_variance": (lambda s, d: ml.pca_variance(_part(s, d, "embeddings"), "embedding"), None),
-    "ml4_dbscan": (lambda s, d: ml.dbscan_sizes(_part(s, d, "embeddings")), None),
+    "ml4_dbscan": (lambda s, d: ml.dbscan_sizes(_part(s, d, "embeddings")), DBSCAN.format(points="SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings", eps="(SELECT d FROM bent ORDER BY bend DESC, i LIMIT 1)") + " SELECT cluster, count(*) AS n FROM found GROUP BY cluster"),
+    "ml4_dbscan_plane": (_plane_clusters, DBSCAN.format(points="SELECT vec_id AS k, embedding[1:2]::DOUBLE[] AS v FROM embeddings", eps="(SELECT d FROM bent ORDER BY bend DESC, i LIMIT 1) / 3") + " SELECT k AS vec_id, cluster FROM found"),
+    "ml3_neighbours_plane": (lambda s, d: rounded(cluster.knn(_plane(s, d), "vec_id", "v", 4), 6), "SELECT vec_id, k, round(distance, 6) AS distance FROM (SELECT a.vec_id, list_distance(a.embedding[1:2]::DOUBLE[], b.embedding[1:2]::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding[1:2]::DOUBLE[], b.embedding[1:2]::DOUBLE[]), b.vec_id) - 1 AS k FROM embeddings a, embeddings b) WHERE k < 4"),
     "win20_elbow": (lambda s, d: rounded(ml.elbow_of(_part(s, d, "embeddings"))), "WITH k AS (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b), s AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM k WHERE n = 6), t AS (SELECT d, i, lead(d, 2) OVER (ORDER BY d) - 2 * lead(d) OVER (ORDER BY d) + d AS bend FROM s) SELECT i::BIGINT AS index, round(d, 4) AS distance FROM t WHERE bend IS NOT NULL ORDER BY bend DESC, i LIMIT 1"),
     "ml6_forest_metrics": (lambda s, d: rounded(ml.forest_report(_part(s, d, "embeddings"))), None),
     "ml8_forest_importance": (lambda s, d: rounded(ml.forest_importance(_part(s, d, "embeddings"))), None),
