@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
 from tidemark.operators import rhythm, sleep
+from tidemark.operators.lineage import cut
 from tidemark.schemas import EXCLUDE_DAYS, FLY, IMPUTED, META, Z_FEATURES
 
 
@@ -70,8 +71,10 @@ def impute(features: DataFrame, columns: list[str] = IMPUTED) -> DataFrame:
 def z_scores(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """FLY columns and <feature>_z: distance from the mean in sample deviations; null where the deviation is 0.
 
-    Means and deviations come from one aggregation, a single row that is joined back.
+    The features, a row for each fly, are written once; means and deviations come from one aggregation over them, a single
+    row that is joined back.
     """
+    features = cut(features)
     names = [c for c in (columns or Z_FEATURES) if c in features.columns]
     stats = features.agg(*[f(c).alias(f"_{k}_{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_samp))])
     wide = features.join(F.broadcast(stats))

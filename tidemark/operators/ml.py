@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import cluster, shapley
+from tidemark.operators import cluster, order, shapley
 from tidemark.operators.lineage import shared_folder
 
 MOST_ROWS = 20_000
@@ -115,8 +115,7 @@ def forest_importance(points: DataFrame) -> DataFrame:
 def ranking_table(importance: DataFrame, loadings: DataFrame) -> DataFrame:
     """Two rankings side by side by place: (rank, forest_feature, importance, pca_feature, loading)."""
     a = importance.select("rank", F.col("feature").alias("forest_feature"), "importance")
-    w = Window.orderBy(F.desc("loading"), "feature")
-    b = loadings.withColumn("rank", F.row_number().over(w)).select("rank", F.col("feature").alias("pca_feature"), "loading")
+    b = order.numbered(loadings, [F.desc("loading"), "feature"], "rank").select((F.col("rank") + 1).cast("int").alias("rank"), F.col("feature").alias("pca_feature"), "loading")
     return a.join(b, "rank", "full_outer")
 
 
@@ -204,8 +203,7 @@ def permutation_importance(model, rows: DataFrame, label: str = "label", most: i
     """
     picked = rows.orderBy(F.xxhash64(F.lit(seed), vector_to_array("features"))).limit(most).select(vector_to_array("features").alias("v"), F.col(label).alias("_y"))
     size = len(picked.first()["v"])
-    place = Window.orderBy(F.xxhash64(F.lit(seed), "v"), "v")  # at most ``most`` rows
-    numbered = picked.withColumn("i", F.row_number().over(place) - 1).cache()
+    numbered = order.numbered(picked, [F.xxhash64(F.lit(seed), "v"), "v"], "i").cache()
     n = numbered.count()
     each = numbered.select("i", "v", "_y", F.explode(F.sequence(F.lit(-1), F.lit(size - 1))).alias("j"))
     shift = F.pmod(F.col("i") + 1 + F.pmod(F.xxhash64(F.lit(seed), "j"), F.lit(max(n - 1, 1))), F.lit(n)).cast("int")

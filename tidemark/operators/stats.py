@@ -24,6 +24,15 @@ def mid_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     return df.withColumn("ties", ties).withColumn("mid_rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.col("ties") - 1) / 2.0)
 
 
+def rank_table(long: DataFrame, keys: list[str], group: Column) -> DataFrame:
+    """(keys, value, g, n, ties, mid_rank): how often each group has each value, how often all groups together, and the rank
+    that ties share. Equal values are counted where they are before any are sorted."""
+    counts = long.groupBy(*keys, "value", group.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
+    ties = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rangeBetween(0, 0))
+    return counts.withColumn("ties", ties).withColumn("mid_rank", upto - (F.col("ties") - 1) / 2.0)
+
+
 def anova(long: DataFrame, group: str) -> DataFrame:
     """F, p and eta squared for each feature with at least two groups."""
     each = long.groupBy("feature", group).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v"))
@@ -37,8 +46,8 @@ def anova(long: DataFrame, group: str) -> DataFrame:
 
 def kruskal(long: DataFrame, group: str) -> DataFrame:
     """H corrected for ties, p and epsilon squared for each feature; null where all values are equal."""
-    ranked = mid_ranks(long, ["feature"])
-    each = ranked.groupBy("feature", group).agg(F.count(F.lit(1)).alias("n"), F.sum("mid_rank").alias("r"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
+    ranked = rank_table(long, ["feature"], F.col(group))
+    each = ranked.groupBy("feature", "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid_rank")).alias("r"), F.sum(F.col("n") * (F.col("ties") * F.col("ties") - 1)).alias("t"))
     one = each.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("t").alias("t")).where("k >= 2")
     raw = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)
     one = one.withColumn("h", F.try_divide(raw, 1 - F.col("t") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))))
@@ -55,8 +64,8 @@ def _pairs(each: DataFrame, group: str, names: list[str]) -> DataFrame:
 
 def dunn(long: DataFrame, group: str) -> DataFrame:
     """Dunn's z and Bonferroni p for each feature and pair of groups."""
-    ranked = mid_ranks(long, ["feature"])
-    each = ranked.groupBy("feature", group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("mid_rank").alias("r"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
+    ranked = rank_table(long, ["feature"], F.col(group)).withColumnRenamed("g", group)
+    each = ranked.groupBy("feature", group).agg(F.sum("n").cast("double").alias("n"), (F.sum(F.col("n") * F.col("mid_rank")) / F.sum("n")).alias("r"), F.sum(F.col("n") * (F.col("ties") * F.col("ties") - 1)).alias("t"))
     w = Window.partitionBy("feature")
     each = each.withColumn("total", F.sum("n").over(w)).withColumn("tt", F.sum("t").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
     two = _pairs(each, group, ["n", "r", "total", "tt", "k"])
@@ -115,10 +124,10 @@ def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3)
     Without ties and with at most eight values on a side p is exact; else, and beyond MOST_SUMS values of U, it is the normal one,
     corrected for ties and continuity. Groups of fewer than ``least`` values on a side are left out.
     """
-    ranked = mid_ranks(long.withColumn("_s", side), keys)
+    ranked, n = rank_table(long, keys, side), F.col("n")
     one = ranked.groupBy(*keys).agg(
-        F.count_if("_s").cast("double").alias("n1"), F.count_if(~F.col("_s")).cast("double").alias("n2"),
-        F.sum(F.when(F.col("_s"), F.col("mid_rank"))).alias("r1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"),
+        F.sum(F.when(F.col("g"), n)).cast("double").alias("n1"), F.sum(F.when(~F.col("g"), n)).cast("double").alias("n2"),
+        F.sum(F.when(F.col("g"), n * F.col("mid_rank"))).alias("r1"), F.sum(n * (F.col("ties") * F.col("ties") - 1)).alias("t"),
     ).where((F.col("n1") >= least) & (F.col("n2") >= least))
     one = one.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("n", F.col("n1") + F.col("n2"))
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.col("t") / (F.col("n") * (F.col("n") - 1))))
@@ -131,8 +140,8 @@ def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3)
 
 def one_vs_rest(long: DataFrame, label: str) -> DataFrame:
     """U, r and p of each label's values against all others, for each feature: ranks are global, so nothing is joined."""
-    ranked = mid_ranks(long, ["feature"])
-    each = ranked.groupBy("feature", label).agg(F.count(F.lit(1)).cast("double").alias("n1"), F.sum("mid_rank").alias("r1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
+    ranked = rank_table(long, ["feature"], F.col(label)).withColumnRenamed("g", label)
+    each = ranked.groupBy("feature", label).agg(F.sum("n").cast("double").alias("n1"), F.sum(F.col("n") * F.col("mid_rank")).alias("r1"), F.sum(F.col("n") * (F.col("ties") * F.col("ties") - 1)).alias("t"))
     w = Window.partitionBy("feature")
     each = each.withColumn("n", F.sum("n1").over(w)).withColumn("t", F.sum("t").over(w)).withColumn("n2", F.col("n") - F.col("n1")).where("n1 >= 3 and n2 >= 3")
     each = each.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
@@ -143,17 +152,26 @@ def one_vs_rest(long: DataFrame, label: str) -> DataFrame:
 
 
 def cliffs_delta(long: DataFrame, group: str) -> DataFrame:
-    """Cliff's delta of each pair of groups: (2 U / n m) - 1 from ranks within the pair, and its band."""
-    groups = long.select("feature", F.col(group).alias("g")).distinct()
-    pairs = groups.select("feature", F.col("g").alias("g1")).join(groups.select("feature", F.col("g").alias("g2")), "feature").where("g1 < g2")
-    rows = long.select("feature", F.col(group).alias("g"), "value")
-    both = pairs.join(rows, "feature").where("g = g1 or g = g2")
-    ranked = mid_ranks(both, ["feature", "g1", "g2"])
-    one = ranked.groupBy("feature", "g1", "g2").agg(F.count_if(F.col("g") == F.col("g1")).cast("double").alias("n"), F.count_if(F.col("g") == F.col("g2")).cast("double").alias("m"), F.sum(F.when(F.col("g") == F.col("g1"), F.col("mid_rank"))).alias("r"))
-    delta = 2 * (F.col("r") - F.col("n") * (F.col("n") + 1) / 2) / (F.col("n") * F.col("m")) - 1
-    size = F.abs("delta")
-    band = F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large")
-    return one.withColumn("delta", delta).select("feature", "g1", "g2", "delta", band.alias("magnitude"))
+    """Cliff's delta of each pair of groups, 2 U / (n m) - 1, and its band.
+
+    A value is one row with its count in every group; running sums tell how many values of each group lie below. The U of
+    all pairs are sums over these rows, so that no row is copied for a pair. Groups are a handful of labels.
+    """
+    labels = sorted(r[0] for r in long.select(group).distinct().collect() if r[0] is not None)
+    size = range(len(labels))
+    pairs = [(i, j) for i in size for j in size if i < j]
+    if not pairs:
+        return long.select("feature", F.col(group).alias("g1"), F.col(group).alias("g2"), F.lit(0.0).alias("delta"), F.lit("").alias("magnitude")).where("false")
+    counts = long.groupBy("feature", "value").agg(*[F.count_if(F.col(group) == labels[i]).cast("double").alias(f"n{i}") for i in size])
+    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = counts.withColumns({f"b{i}": F.coalesce(F.sum(f"n{i}").over(w), F.lit(0.0)) for i in size})
+    sums = [F.sum(F.col(f"n{i}") * (F.col(f"b{j}") + F.col(f"n{j}") / 2)).alias(f"u{i}_{j}") for i, j in pairs]
+    one = below.groupBy("feature").agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in size], *sums)
+    each = F.array(*[F.struct(F.lit(labels[i]).alias("g1"), F.lit(labels[j]).alias("g2"), F.try_divide(2 * F.col(f"u{i}_{j}"), F.col(f"t{i}") * F.col(f"t{j}")).alias("share")) for i, j in pairs])
+    out = one.select("feature", F.explode(each).alias("p")).select("feature", "p.g1", "p.g2", (F.col("p.share") - 1).alias("delta")).where("delta is not null")
+    far = F.abs("delta")
+    band = F.when(far < 0.147, "negligible").when(far < 0.33, "small").when(far < 0.474, "medium").otherwise("large")
+    return out.withColumn("magnitude", band)
 
 
 def cohens_d(long: DataFrame, label: str) -> DataFrame:

@@ -220,8 +220,16 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(adapter.readings(spark, d).select("event_id", "fly_id", "date", "zt", "phase", "exp_day", "reading_type"))
 
 
+def _gaps(df: DataFrame) -> DataFrame:
+    """The feature table with gaps: each feature is missing for the flies of every seventh channel, another one for each."""
+    return df.withColumns({c: F.when((F.col("channel") + i) % 7 != 0, F.col(c)) for i, c in enumerate(ALL_NAMES)})
+
+
+GAPS = ", gap AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN (channel + {i}) % 7 <> 0 THEN {c} END AS {c}" for i, c in enumerate(ALL_NAMES)) + ") FROM feat)"
+
+
 def _missing(spark: SparkSession, d: str) -> DataFrame:
-    return features.diagnostics(table(spark, d, True))
+    return features.diagnostics(_gaps(table(spark, d, True)))
 
 
 
@@ -254,8 +262,8 @@ QUERIES = {
     "agg9_outlier_summary": (lambda s, d: features.outlier_summary(_kept(s, d)).withColumn("percent", F.round("percent", 1)), f"WITH {GOOD} SELECT genotype, sex, treatment, count(*) AS n, count(*) FILTER (is_outlier) AS n_outliers, round(count(*) FILTER (is_outlier) * 100.0 / count(*), 1) AS percent FROM flagged GROUP BY ALL"),
     "agg10_clean_features": (lambda s, d: rounded(features.clean(table(s, d)).select("fly_id", "sleep_latency_mean", "waso_mean", "mesor_sd", "amplitude_sd", "phase_sd")), f"WITH {GOOD} SELECT fly_id, {rnd(['sleep_latency_mean', 'waso_mean', 'mesor_sd', 'amplitude_sd', 'phase_sd'])} FROM clean"),
     "agg11_z_scores": (lambda s, d: rounded(features.z_scores(features.clean(table(s, d, True)))), f"WITH {GOOD} {PERIODOGRAM} SELECT {CH}, {STATS_Z} FROM clean LEFT JOIN pf USING (fly_id)"),
-    "agg12_diagnostics": (_missing, f"WITH {FEATURES} {PERIODOGRAM}, wide AS (SELECT * FROM feat LEFT JOIN pf USING (fly_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM wide" for c in [*FLY, "rhythmic_days", "n_days", *ALL_NAMES, *PERIOD_NAMES])),
-    "agg12_rows_with_missing": (lambda s, d: features.rows_with_missing(table(s, d)), f"WITH {FEATURES} SELECT count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in ALL_NAMES)}) AS n_missing, count(*) AS n_rows FROM feat"),
+    "agg12_diagnostics": (_missing, f"WITH {FEATURES} {PERIODOGRAM} {GAPS}, wide AS (SELECT * FROM gap LEFT JOIN pf USING (fly_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM wide" for c in [*FLY, "rhythmic_days", "n_days", *ALL_NAMES, *PERIOD_NAMES])),
+    "agg12_rows_with_missing": (lambda s, d: features.rows_with_missing(_gaps(table(s, d))), f"WITH {FEATURES} {GAPS} SELECT count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in ALL_NAMES)}) AS n_missing, count(*) AS n_rows FROM gap"),
     "flt7_removal": (lambda s, d: _removal(s, d)[0].select("event_id", "fly_id"), f"WITH {REMOVAL} SELECT event_id, fly_id FROM tag WHERE stage IS NULL"),
     "flt7_removal_counts": (lambda s, d: _removal(s, d)[1], f"WITH {REMOVAL} SELECT stage, count(*) AS n_rows, count(DISTINCT fly_id) AS n_flies FROM tag WHERE stage IS NOT NULL GROUP BY stage"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
-from tidemark.operators import cluster, features, ml, sliding, stats
+from tidemark.operators import cluster, features, ml, order, sliding, stats
 from tidemark.plans import core, statistics
 from tidemark.plans.core import DENSE, FLY_SQL, GOOD, HOURLY, TIME_SQL, _kept, rounded
 from tidemark.schemas import READING_TYPES
@@ -47,7 +47,7 @@ def _mirrored(s: SparkSession, d: str) -> DataFrame:
 def _rankings(s: SparkSession, d: str) -> DataFrame:
     """Two rankings of features side by side: by mean and by deviation."""
     got = statistics.long(s, d).groupBy("feature").agg(F.round(F.avg("value"), 4).alias("m"), F.round(F.stddev_samp("value"), 4).alias("sd"))
-    first = got.select(F.row_number().over(Window.orderBy(F.desc("m"), "feature")).alias("rank"), "feature", F.col("m").alias("importance"))
+    first = order.numbered(got, [F.desc("m"), "feature"], "rank").select((F.col("rank") + 1).alias("rank"), "feature", F.col("m").alias("importance"))
     both = ml.ranking_table(first, got.select("feature", F.col("sd").alias("loading")))
     return both.select(F.col("rank").cast("long").alias("rank"), F.col("forest_feature").alias("by_mean"), F.col("pca_feature").alias("by_deviation"))
 
@@ -67,6 +67,12 @@ def _permuted(s: SparkSession, d: str) -> DataFrame:
     return rounded(ml.permutation_importance(ml.fit_forest(rows.where("part = 'train'")), rows.where("part = 'test'")))
 
 
+def _shap(s: SparkSession, d: str) -> DataFrame:
+    rows = ml._labelled(_points(s, d))
+    train = rows.where("part = 'train'")
+    return rounded(ml.shap_importance(ml.fit_forest(train), train, rows.where("part = 'test'"), "vec_id"), 6)
+
+
 VALUES = "(SELECT feature, round(avg(value), 4) AS m, round(stddev_samp(value), 4) AS sd FROM lng GROUP BY feature)"
 QUERIES = {
     "prj4_fly_keys": (lambda s, d: adapter.readings(s, d).select("fly_id", tp.fly_key(F.col("monitor"), F.col("channel")).alias("fly_key")).distinct(), f"WITH {E} SELECT DISTINCT fly_id, monitor || '-ch' || channel AS fly_key FROM e"),
@@ -89,7 +95,7 @@ QUERIES = {
     "agg23_value_counts": (lambda s, d: _events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")), "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
     "win11_rolling_mean": (lambda s, d: rounded(core.hourly(s, d).select("fly_id", "exp_day", "zt", F.avg("hourly_mt").over(Window.partitionBy("fly_id", "exp_day").orderBy("zt").rowsBetween(-1, 1)).alias("smooth")), 6), f"WITH {HOURLY} SELECT fly_id, exp_day::BIGINT AS exp_day, zt::BIGINT AS zt, round(avg(y) OVER (PARTITION BY fly_id, exp_day ORDER BY zt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM hourly"),
     "win21_group_transform": (lambda s, d: rounded(_kept(s, d).select("fly_id", F.count(F.lit(1)).over(Window.partitionBy("genotype")).alias("n"), F.avg("total_sleep_mean").over(Window.partitionBy("genotype")).alias("m"))), f"WITH {GOOD} SELECT fly_id, count(*) OVER (PARTITION BY genotype) AS n, round((avg(total_sleep_mean) OVER (PARTITION BY genotype))::DOUBLE, 4) AS m FROM kept"),
-    "srt2_key_order": (lambda s, d: adapter.readings(s, d).select("monitor", "channel").distinct().select(F.concat_ws("-", "monitor", "channel").alias("key"), F.row_number().over(Window.orderBy(F.col("monitor").cast("int"), "channel")).cast("long").alias("place")), f"WITH {E} SELECT monitor || '-' || channel AS key, row_number() OVER (ORDER BY monitor::INTEGER, channel) AS place FROM (SELECT DISTINCT monitor, channel FROM e)"),
+    "srt2_key_order": (lambda s, d: order.numbered(adapter.readings(s, d).select("monitor", "channel").distinct(), [F.col("monitor").cast("int"), "channel"]).select(F.concat_ws("-", "monitor", "channel").alias("key"), (F.col("place") + 1).alias("place")), f"WITH {E} SELECT monitor || '-' || channel AS key, row_number() OVER (ORDER BY monitor::INTEGER, channel) AS place FROM (SELECT DISTINCT monitor, channel FROM e)"),
     "srt5_latest": (lambda s, d: store.latest(_events(s, d).select(F.col("event_id").alias("experiment_id"), F.col("ts").alias("created_at"))).select(F.col("experiment_id").alias("event_id")), "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1"),
     "srt6_sample": (lambda s, d: _events(s, d).orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("event_id").cast("string"))), "event_id").limit(500).select("event_id"), "SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500"),
     "set1_concat": (lambda s, d: functools.reduce(DataFrame.unionByName, [adapter.readings(s, d).where(F.col("reading_type") == k).select("event_id", "monitor", "reading_type") for k in READING_TYPES]), f"WITH {E} SELECT event_id, monitor, reading_type FROM e"),
@@ -102,5 +108,6 @@ QUERIES = {
     "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding")), None),
     "ml7_confusion": (_confusion, None),
     "ml11_permutation_importance": (_permuted, None),
+    "ml11_shap_importance": (_shap, None),
     "ml12_near_death": (_near_death, None),
 }

@@ -5,9 +5,12 @@ Groups are treatments, of which there are three, so that the tails of F and chi-
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import native
 from tidemark.operators import cluster, stats
 from tidemark.plans.core import ALL_NAMES, GOOD, _kept, rounded
 from tidemark.schemas import FEATURE_LABELS
@@ -37,6 +40,27 @@ KRUSKAL = RANKS + """, g AS (SELECT feature, treatment, count(*) AS n, sum(mid_r
     h AS (SELECT feature, k, n, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - t / (n * n * n - n), 0) AS h FROM o WHERE k >= 2)"""
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided p of a normal value, by quadrature from 0 to it."""
+    nodes = ", ".join(f"{{'t': {(t + 1) / 2!r}::DOUBLE, 'w': {w / 2!r}::DOUBLE}}" for t, w in native.legendre(40))
+    return f"greatest(0, 1 - 2 * abs({z}) * list_sum(list_transform([{nodes}], lambda v: v.w * exp(-({z}) * ({z}) * v.t * v.t / 2))) / sqrt(2 * pi()))"
+
+
+def _values(nodes: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" for x in v) + ")" for v in nodes)
+
+
+#: Tails of the studentised range of three groups for the rows of ``t`` (feature, g1, g2, q, df), by quadrature over both integrals.
+TUKEY_TAIL = f""", zn(z, w, p) AS (VALUES {_values([(8 * z, 8 * w * math.exp(-32 * z * z) / math.sqrt(2 * math.pi), 0.5 * math.erfc(-8 * z / math.sqrt(2))) for z, w in native.legendre(native.NODES)])}),
+    sn(s, w) AS (VALUES {_values(native.legendre(native.SPREAD_NODES))}), half(u, h) AS (VALUES {_values([((u + 1) / 2, h / 2) for u, h in native.legendre(40)])}),
+    lim AS (SELECT *, greatest(1e-6, 1 - 8 / sqrt(2 * df)) AS lo, 1 + 8 / sqrt(2 * df) AS hi FROM t WHERE q IS NOT NULL),
+    sp AS (SELECT feature, g1, g2, q, df, (s + 1) / 2 * (hi - lo) + lo AS s, w * (hi - lo) / 2 AS w FROM lim, sn),
+    xs AS (SELECT sp.*, zn.w AS wz, zn.p AS pz, least(9, greatest(-9, zn.z - q * s)) AS x FROM sp, zn),
+    ph AS (SELECT feature, g1, g2, df, s, w, wz, pz, 0.5 + any_value(x) * sum(h * exp(-x * x * u * u / 2)) / sqrt(2 * pi()) AS below FROM xs, half GROUP BY feature, g1, g2, df, s, w, wz, pz, x),
+    rc AS (SELECT feature, g1, g2, df, s, w, least(1, 3 * sum(wz * pow(greatest(pz - below, 0), 2))) AS r FROM ph GROUP BY feature, g1, g2, df, s, w),
+    tail AS (SELECT feature, g1, g2, greatest(0, least(1, 1 - sum(w * exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + (df - 1) * ln(s) - df * s * s / 2) * r))) AS p FROM rc GROUP BY feature, g1, g2)"""
+
+
 def embedded(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
@@ -70,9 +94,11 @@ QUERIES = {
     "sta8_anova": (lambda s, d: rounded(stats.anova(long(s, d), "treatment")), f"WITH {ANOVA} SELECT feature, k, n, round(f, 4) AS f, round(p_value, 4) AS p_value, round(eta_squared, 4) AS eta_squared FROM anova"),
     "sta9_kruskal": (lambda s, d: rounded(stats.kruskal(long(s, d), "treatment")), f"WITH {KRUSKAL} SELECT feature, k, n::BIGINT AS n, round(h, 4) AS h, round(exp(-h / 2), 4) AS p_value, round(greatest(0, (h - k + 1) / (n - k)), 4) AS epsilon_squared FROM h"),
     "sta12_dunn": (lambda s, d: rounded(stats.dunn(long(s, d), "treatment").select("feature", "g1", "g2", "z")), f"WITH {RANKS}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(mid_rank) AS r, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(t) OVER (PARTITION BY feature) AS tt FROM g) SELECT a.feature, a.treatment AS g1, b.treatment AS g2, round((a.r - b.r) / sqrt((a.nn * (a.nn + 1) / 12 - a.tt / (12 * (a.nn - 1))) * (1 / a.n + 1 / b.n)), 4) AS z FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment"),
-    "sta12_dunn_p": (lambda s, d: rounded(stats.dunn(long(s, d), "treatment")), None),
+    "sta12_dunn_p": (lambda s, d: rounded(stats.dunn(long(s, d), "treatment")), f"WITH {RANKS}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(mid_rank) AS r, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(t) OVER (PARTITION BY feature) AS tt, count(*) OVER (PARTITION BY feature) AS k FROM g), z AS (SELECT a.feature, a.treatment AS g1, b.treatment AS g2, a.k, (a.r - b.r) / nullif(sqrt((a.nn * (a.nn + 1) / 12 - a.tt / (12 * (a.nn - 1))) * (1 / a.n + 1 / b.n)), 0) AS z FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment) SELECT feature, g1, g2, round(z, 4) AS z, round(least(1, {_normal_p('z')} * k * (k - 1) / 2), 4) AS p_adj FROM z"),
     "sta11_tukey": (lambda s, d: rounded(stats.tukey(long(s, d), "treatment").select("feature", "g1", "g2", "q"), 3), f"WITH {LONG}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM lng GROUP BY ALL), w AS (SELECT *, sum(n * v) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature)) AS mse FROM g) SELECT a.feature, a.treatment AS g1, b.treatment AS g2, round(abs(a.m - b.m) / nullif(sqrt(a.mse / 2 * (1 / a.n + 1 / b.n)), 0), 3) AS q FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment"),
-    "sta11_tukey_p": (lambda s, d: rounded(stats.tukey(long(s, d), "treatment")), None),
+    "sta11_tukey_p": (lambda s, d: rounded(stats.tukey(long(s, d), "treatment").select("feature", "g1", "g2", "p_adj"), 5), f"WITH {LONG}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM lng GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature) AS df, sum(n * v) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature)) AS mse FROM g), t AS (SELECT a.feature, a.treatment AS g1, b.treatment AS g2, a.df::DOUBLE AS df, abs(a.m - b.m) / nullif(sqrt(a.mse / 2 * (1 / a.n + 1 / b.n)), 0) AS q FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment){TUKEY_TAIL} SELECT feature, g1, g2, round(tail.p, 5) AS p_adj FROM t LEFT JOIN tail USING (feature, g1, g2)"),
+    "sta14_mann_whitney_p": (lambda s, d: rounded(stats.mann_whitney(long(s, d), ["feature"], F.lower("sex").startswith("f")).select("feature", "p_value"), 5), f"WITH {RANKS}, g AS (SELECT feature, count(*) FILTER (sex = 'Female')::DOUBLE AS n1, count(*) FILTER (sex <> 'Female')::DOUBLE AS n2, sum(mid_rank) FILTER (sex = 'Female') AS r1, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY feature HAVING n1 >= 3 AND n2 >= 3), z AS (SELECT feature, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM g) SELECT feature, round(coalesce({_normal_p('z')}, 1), 5) AS p_value FROM z"),
+    "join20_one_vs_rest_p": (lambda s, d: rounded(stats.one_vs_rest(long(s, d), "genotype").select("feature", "genotype", "p_value"), 5), f"WITH {RANKS}, g AS (SELECT feature, genotype, count(*)::DOUBLE AS n1, sum(mid_rank) AS r1, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY ALL), w AS (SELECT feature, genotype, n1, r1, sum(n1) OVER f - n1 AS n2, sum(n1) OVER f AS n, sum(t) OVER f AS t FROM g WINDOW f AS (PARTITION BY feature)), z AS (SELECT feature, genotype, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n + 1 - t / (n * (n - 1)))), 0) AS z FROM w WHERE n1 >= 3 AND n2 >= 3) SELECT feature, genotype, round(coalesce({_normal_p('z')}, 1), 5) AS p_value FROM z"),
     "sta7_normality": (lambda s, d: rounded(stats.normality(long(s, d), "treatment")), None),
     "sta10_compare_groups": (lambda s, d: rounded(stats.compare_groups(long(s, d), "treatment")), None),
     "win19_benjamini_hochberg": (_bh, f"WITH {ANOVA}, p AS (SELECT feature, round(p_value, 6) AS p_value FROM anova), q AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, feature) AS q FROM p) SELECT feature, round(p_value, 4) AS p_value, round(least(1, min(q) OVER (ORDER BY p_value DESC, feature DESC ROWS UNBOUNDED PRECEDING)), 4) AS p_adj FROM q"),

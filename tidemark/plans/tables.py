@@ -151,6 +151,7 @@ QUERIES = {
     "ml6_forest_metrics": (lambda s, d: rounded(ml.forest_report(_part(s, d, "embeddings"))), None),
     "ml8_forest_importance": (lambda s, d: rounded(ml.forest_importance(_part(s, d, "embeddings"))), None),
     "ml10_boosted_metrics": (lambda s, d: rounded(ml.boosted_report(_part(s, d, "embeddings"))), None),
+    "ml10_boosted_three_classes": (lambda s, d: rounded(ml.boosted_report(_part(s, d, "embeddings"), 3)), None),
     "ml5_hdbscan_sizes": (lambda s, d: ml.hdbscan(_part(s, d, "embeddings"), "vec_id", "embedding").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), None),
     "ml9_group_split": (lambda s, d: ml.group_split(adapter.readings(s, d), "fly_id", F.lit("all")).groupBy("part").agg(F.count_distinct("fly_id").alias("n")), f"WITH f AS (SELECT DISTINCT fly_id FROM (SELECT {FLY_SQL} FROM events)), p AS (SELECT row_number() OVER (ORDER BY md5('42:' || fly_id), fly_id) / count(*) OVER () AS place FROM f) SELECT CASE WHEN place <= 0.8 THEN 'train' WHEN place <= 0.9 THEN 'val' ELSE 'test' END AS part, count(*) AS n FROM p GROUP BY 1"),
 }
