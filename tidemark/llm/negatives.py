@@ -314,9 +314,9 @@ def negatives_sql() -> str:
     """The registered query in DuckDB's SQL."""
     return """
     WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-            list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
         FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT a.vec_id AS anchor_id, r.label = a.label AS same, r.vec_id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
         FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
