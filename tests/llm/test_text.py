@@ -1,7 +1,10 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, licenses, linededup, pii
@@ -232,3 +235,48 @@ def test_paraphrases_in_running_text(spark, monkeypatch, replaced, least):
     benchmark = spark.createDataFrame([(i, " ".join(q) + ". " + " ".join(a) + ".") for i, q, a in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
     assert got <= want and len(got) >= least * len(want)
+
+
+def slow_report(rows, disclosure=0.8, support=3, window=80):
+    """All spans of each text by loops over the documents."""
+    word = regex.compile(r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{2,}")
+    texts = [t or "" for _, t in rows]
+    base = [[(int(a), k, int(b)) for k, a, b in (s.split(":") for s in spans(t).split(",") if s)] for t in texts]
+    pairs, entities, held = Counter(), Counter(), Counter()
+    for t, spots in zip(texts, base, strict=True):
+        held.update({w.lower() for w in regex.split(r"[^\p{L}\p{N}_]+", t)})
+        near, seen = set(), set()
+        for a, kind, b in spots:
+            entity, lo = (kind, t[a:b].lower()), max(a - window, 0)
+            seen.add(entity)
+            found = [(m.start() + lo, m.end() + lo, m[0]) for m in word.finditer(t[lo:a]) if m.start() or not lo] + [(m.start() + b, m.end() + b, m[0]) for m in word.finditer(t[b : b + window]) if m.end() < window]
+            near |= {(entity, w.lower()) for x, y, w in found if not any(p < y and q > x for p, _, q in spots)}
+        pairs.update(near)
+        entities.update(seen)
+    n, telling = len(rows), set()
+    for (e, w), k in pairs.items():
+        whole = math.log2(n / entities[e])
+        if k >= support and whole > 0 and math.log2(n * k / (max(held[w], k) * entities[e])) >= disclosure * whole:
+            telling.add(w)
+    out = []
+    for t, spots in zip(texts, base, strict=True):
+        more = [(m.start(), "term", m.end()) for m in word.finditer(t) if m[0].lower() in telling and not any(p < m.end() and q > m.start() for p, _, q in spots)]
+        out.append(",".join(f"{k}:{a}:{b}" for a, k, b in sorted([*spots, *more], key=lambda s: (s[0], [*KINDS, "term"].index(s[1])))))
+    return out, telling
+
+
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_terms_equal_loops(spark, monkeypatch, most):
+    """Repeated rows, null ids, capitals that lower to two signs, and terms found in one pass or by join."""
+    monkeypatch.setattr(pii, "MOST_TERMS", most)
+    rng = random.Random(3)
+    names = ["ΟΔΟΣ", "café", "Straße", "q_1x", "ab", "9lives", "word", "near", "today", "İİİ"]
+    people = ["eve@y.org", "bob@x.org", "+1 724 555 7058", "10.0.0.1"]
+    rows = [(i % 40 or None, " ".join(rng.choice(names) if rng.random() < 0.8 else rng.choice(people) for _ in range(rng.randint(1, 14)))) for i in range(150)]
+    rows += [(300 + i, "Zanzibar beside amy@y.org here") for i in range(6)] + [(400 + i, "met İstanbul near kim@z.org today") for i in range(5)] + [(500 + i, f"plain text {i} word near today here") for i in range(300)]
+    rows += [(None, "Lagos and joe@w.org"), (None, "Lagos and joe@w.org"), (None, "so Lagos is joe@w.org"), (7, None), (8, ""), (9, "x " * 300 + "Zanzibar")]
+    for some in (rows, rows * 3):
+        got = Counter((r.doc_id, r.spans) for r in pii.report(spark.createDataFrame(some, "doc_id long, text string")).collect())
+        want, telling = slow_report(some)
+        assert got == Counter((i, s) for (i, _), s in zip(some, want, strict=True))
+        assert {"zanzibar", "i̇stanbul", "lagos"} <= telling and "near" not in telling

@@ -35,6 +35,8 @@ _HINT = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9
 KINDS = list(PATTERNS)
 TERM = r"(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{2,}+"
 BUCKETS = 1 << 20
+#: Most disclosing terms that are sent along with a pass over the texts: a few MB.
+MOST_TERMS = 1 << 16
 
 
 def matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
@@ -114,58 +116,85 @@ def _near_terms(text: Column, base: Column, window: int) -> Column:
 
 
 def _words(text: str = "text") -> Column:
-    """Distinct words of a text, lower case."""
-    return F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"))
+    """Distinct words of a text, lower case. Words are cut before they are lowered: a lower-case letter may hold a mark that no
+    word holds."""
+    return F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}_]+"), F.lower))
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, scratch: Scratch, disclosure: float, support: int) -> DataFrame:
     """(entity, term) whose co-occurrence gives away at least the share ``disclosure`` of the entity's information.
 
-    ``near`` has a row (row, entity, term) for each term near each entity of each document.
+    ``near`` has a row for each document with entities: an array of (entity, terms near it). All numbers count documents, each as
+    often as it occurs.
     """
     total = float(docs.count())
-    entities = near.groupBy("entity").agg(F.count_distinct("doc_id", "text_hash").alias("n_e"))
-    held = near.where("term is not null")
-    pairs = held.groupBy("entity", "term").agg(F.count_distinct("doc_id", "text_hash").alias("n_te")).where(F.col("n_te") >= support)
+    terms = lambda n: F.transform(n["terms"], lambda t: t["term"])
+    both = F.flatten(F.transform("near", lambda n: F.transform(terms(n), lambda t: F.struct(n["entity"].alias("entity"), t.alias("term")))))
+    each = lambda column, name: near.select(F.explode(F.array_distinct(column)).alias(name))
+    entities = each(F.transform("near", lambda n: n["entity"]), "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    pairs = each(both, "p").groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
 
     def tells(n_t: Column) -> Column:
         whole = F.log2(F.lit(total) / F.col("n_e"))
         return (whole > 0) & (F.log2(F.lit(total) * F.col("n_te") / (n_t * F.col("n_e"))) >= disclosure * whole)
 
     # a term is in at least the documents that hold it near any entity: pairs that fail on that number fail on the whole corpus
-    least = held.groupBy("term").agg(F.count_distinct("doc_id", "text_hash").alias("n_near"))
+    least = each(F.flatten(F.transform("near", terms)), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = scratch.keep(pairs.join(least, "term").join(entities, "entity").where(tells(F.col("n_near"))))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("_b")
     wanted = F.broadcast(pairs.select(bucket).distinct())
     seen = docs.select(F.explode(_words()).alias("term")).withColumn("_b", bucket).join(wanted, "_b", "left_semi")
-    terms = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    joined = pairs.join(terms, "term")
+    held = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
+    joined = pairs.join(held, "term")
     return scratch.keep(joined.where(tells(F.greatest("n_t", "n_te"))).select("entity", "term"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` over a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _term_places(terms: Column) -> Column:
+    """Array of spans of kind term: the places of ``terms`` in a text where no base span is; null without terms."""
+
+    def places(terms: Column, base: Column) -> Column:
+        at = F.filter(matches(F.col("text"), TERM, lambda v: F.array_contains(terms, F.lower(v))), lambda m: ~F.exists(base, lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"])))
+        return F.transform(at, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.lit("").alias("value")))
+
+    return _let(terms, lambda t: F.when(F.size(t) > 0, _let(base_spans(F.col("text")), lambda base: places(t, base))))
+
+
+def _found_at_once(texts: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, more) by one pass over the texts, for at most MOST_TERMS terms, which go along with their hashes' flags."""
+    flags = bytearray(BUCKETS)
+    for (b,) in telling.select(F.pmod("h", F.lit(BUCKETS))).collect():
+        flags[b] = 1
+    known = telling.agg(F.collect_list("term").alias("_terms")).select("_terms", F.lit(bytes(flags)).alias("_flags"), F.lit(1).alias("_one"))
+    beside = texts.withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one")
+    marked = lambda w: F.substring("_flags", (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    held = _let(F.filter(_words(), marked), lambda few: F.when(F.size(few) > 0, F.array_intersect(few, "_terms")))
+    return beside.select("doc_id", "text_hash", _term_places(held).alias("more"))
+
+
+def _found_by_join(texts: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, more) for any number of terms: words meet terms, and the texts that hold some are read again."""
+    held = having(texts.select("doc_id", "text_hash", F.explode(_words()).alias("term")).withColumn("h", F.xxhash64("term")), telling.select("h").distinct(), "h")
+    held = held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("_held"))
+    joined = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    return joined.select("doc_id", "text_hash", _term_places(F.col("_held")).alias("more"))
+
+
 def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 3, window: int = 80) -> DataFrame:
     """(doc_id, text_hash, base, spans): base spans and all spans of each document, both by start and then kind."""
     scratch = Scratch(docs.sparkSession, "pii")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     near = F.when(F.size("base") > 0, _near_terms(F.col("text"), F.col("base"), window))
-    found = scratch.keep(read.select("doc_id", "text_hash", "base", near.alias("near")))
-    wide = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("n"))
-    wide = wide.select("doc_id", "text_hash", "n.entity", F.explode_outer("n.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.start", "t.end", "t.term")
-    wide = scratch.keep(wide)
-    telling = disclosing_terms(docs, wide, scratch, disclosure, support).select("term").distinct()
+    found = scratch.keep(texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "text_hash", "base", near.alias("near")))
+    telling = disclosing_terms(docs, found.where("near is not null").select("near"), scratch, disclosure, support).select("term").distinct()
     telling = scratch.keep(telling.withColumn("h", F.xxhash64("term")))
-    scratch.drop(wide)
-    # the texts that hold such terms, by words; then the places, where no base span is
-    texts = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    held = having(texts.select("doc_id", "text_hash", F.explode(_words()).alias("term")).withColumn("h", F.xxhash64("term")), telling.select("h").distinct(), "h")
-    held = scratch.keep(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("terms")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    at = F.filter(matches(F.col("text"), TERM, lambda v: F.array_contains("terms", F.lower(v))), lambda m: ~F.exists("base", lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"])))
-    span = F.transform(at, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"), F.lit("").alias("value")))
-    based = found.select("doc_id", "text_hash", "base").join(held, same).select("_id", "_hash", "terms", "base").dropDuplicates(["_id", "_hash"])
-    more = texts.join(based, same).select("_id", "_hash", span.alias("more")).dropDuplicates(["_id", "_hash"])
-    more = scratch.keep(more.where(F.size("more") > 0))
+    more = _found_at_once(texts, telling) if telling.count() <= MOST_TERMS else _found_by_join(texts, telling)
+    more = more.where(F.size("more") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "more")
+    more = scratch.keep(more.dropDuplicates(["_id", "_hash"]))
     out = found.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return out.select("doc_id", "text_hash", "base", spans.alias("spans"))
