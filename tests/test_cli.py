@@ -40,7 +40,9 @@ def test_steps(spark, recording, tmp_path, capsys):
     readings = store.read_experiment(spark, f"{tables}/readings", 1)
     assert readings.select("fly_id").distinct().count() == 30 and readings.where("channel = 3 and exp_day = 2").count() == 0
     assert store.read_experiment(spark, f"{tables}/flies", 1).count() == 30
-    run("features", "--store", tables, "--exclude-days", 1)
+    run("features", "--store", tables, "--exclude-days", 1, "--build-sliding-window")
+    rows = store.read_experiment(spark, f"{tables}/features_sliding_window", 1)
+    assert rows.count() > 60 and {r.status for r in rows.select("status").distinct().collect()} <= {"alive", "dying", "dead"} and rows.where("total_activity > 0").count() > 0
     run("clean", "--store", tables, "--diagnostics", tmp_path / "diagnostics.txt")
     assert "Missing values" in (tmp_path / "diagnostics.txt").read_text()
     z = store.read_experiment(spark, f"{tables}/features_z", 1)

@@ -167,8 +167,8 @@ def test_partitions(spark, tmp_path):
         store.write_partition(df, str(tmp_path / "t"), e)
     store.write_partition(df.where("v = 1"), str(tmp_path / "t"), 1)
     assert store.read_experiment(spark, str(tmp_path / "t"), 1).count() == 1 and store.read_experiment(spark, str(tmp_path / "t"), 2).count() == 2
-    store.drop_experiment(spark, str(tmp_path / "t"), 1)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    store.drop_experiment(spark, str(tmp_path), 1)
+    assert store.read_table(spark, str(tmp_path / "t")).count() == 2
 
 
 def test_hmm_finds_separate_states():

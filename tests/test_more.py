@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,34 @@ def test_death_stays_in_a_stream(spark, tmp_path):
     days = [[("a", 1, "Alive"), ("a", 2, "Dead"), ("b", 1, "Alive")], [("a", 3, "Alive"), ("b", 2, "Unhealthy")], [("a", 4, "QC_Fail")]]
     got = stream(spark, tmp_path, days, "fly_id string, exp_day int, status string", streaming.irreversible)
     assert sorted(map(tuple, got)) == [("a", 1, "Alive"), ("a", 2, "Dead"), ("a", 3, "Dead"), ("a", 4, "Dead"), ("b", 1, "Alive"), ("b", 2, "Unhealthy")]
+
+
+def test_ids_are_claimed_once(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        got = sorted(pool.map(lambda _: store.claim_id(spark, str(tmp_path)), range(20)))
+    assert got == list(range(1, 21))
+
+
+def test_a_commit_takes_effect_as_one(spark, tmp_path):
+    root = str(tmp_path / "store")
+    read = lambda: [sorted(r.v for r in store.read_experiment(spark, f"{root}/{t}", 1).collect()) for t in ("readings", "flies")]
+    table = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    first = store.Commit(spark, root, 1)
+    first.write("readings", table(1, 2, 3))
+    first.write("flies", table(1))
+    with pytest.raises(FileNotFoundError):
+        read()
+    first.finish()
+    assert read() == [[1, 2, 3], [1]]
+    broken = store.Commit(spark, root, 1)
+    broken.write("readings", table(9))  # and then it fails: nothing has changed
+    assert read() == [[1, 2, 3], [1]]
+    next_ = store.Commit(spark, root, 1)
+    next_.write("readings", store.read_experiment(spark, f"{root}/readings", 1).where("v < 3"))
+    next_.write("flies", table(7))
+    next_.finish()
+    assert read() == [[1, 2], [7]]
+    store.write_partition(table(5), f"{root}/flies", 2)
+    assert sorted(map(tuple, store.read_table(spark, f"{root}/flies").select("experiment_id", "v").collect())) == [(1, 7), (2, 5)]
+    store.drop_experiment(spark, root, 1)
+    assert store.manifest(spark, root, 1) == {} and store.read_table(spark, f"{root}/readings") is None and store.read_table(spark, f"{root}/flies").count() == 1

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
 from tidemark.operators import cluster, features, health, ml, sliding, stats
+from tidemark.operators.lineage import cut
 from tidemark.schemas import EXCLUDE_DAYS, FLY, LIGHTS_OFF, LIGHTS_ON, META, REF_DAY, Z_FEATURES
 from tidemark.sources import files, monitor, store
 
@@ -47,9 +48,13 @@ def z_columns(df: DataFrame) -> list[str]:
 
 
 def filled(df: DataFrame, names: list[str]) -> list[str]:
-    """The columns that at least half of the rows have: models leave out rows with a gap, and a feature without spread has no z."""
+    """The columns that at least half of the rows have, the others are named in the output: models leave out rows with a gap, and
+    a feature without spread has no z."""
     row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in names]).first()
-    return [c for c in names if row[c] and 2 * row[c] >= row["_n"]]
+    used = [c for c in names if row[c] and 2 * row[c] >= row["_n"]]
+    if len(used) < len(names):
+        print("left out, as fewer than half of the rows have it: " + ", ".join(c for c in names if c not in used))
+    return used
 
 
 def minute_bins(readings: DataFrame) -> DataFrame:
@@ -75,13 +80,15 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
         store.to_csv(ready, a.output_data)
         store.to_csv(found, a.output_health or f"{a.output_data}_health")
         return
-    known = spark.read.parquet(f"{a.store}/experiments") if store.exists(spark, f"{a.store}/experiments") else None
-    number = store.next_id(known) if known is not None else 1
+    number = store.claim_id(spark, a.store)
+    commit = store.Commit(spark, a.store, number)
+    commit.write("readings", ready)
+    commit.write("flies", ready.select(*FLY).distinct())
+    commit.write("health_reports", found.join(health.last_day_metrics(days), "fly_id", "left"))
+    commit.finish()
+    # the experiment is known when all of it is there
     row = spark.createDataFrame([(number, start, dt.datetime.now())], "experiment_id int, start string, created_at timestamp")
     row.write.mode("append").parquet(f"{a.store}/experiments")
-    store.write_partition(ready, f"{a.store}/readings", number)
-    store.write_partition(ready.select(*FLY).distinct(), f"{a.store}/flies", number)
-    store.write_partition(found.join(health.last_day_metrics(days), "fly_id", "left"), f"{a.store}/health_reports", number)
 
 
 def remove(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -101,13 +108,13 @@ def remove(spark: SparkSession, a: argparse.Namespace) -> None:
         readings = stored(spark, a, "readings", number)
         kept, counts = features.remove_flies(readings, stored(spark, a, "health_reports", number), **rules)
         gone = readings.select("fly_id").distinct().join(kept.select("fly_id").distinct(), "fly_id", "left_anti").withColumn("experiment_id", F.lit(number))
-        gone = spark.createDataFrame(gone.collect(), gone.schema)  # flies of one experiment
-        tables = {t: store.read_experiment(spark, f"{a.store}/{t}", number) for t in store.CHILDREN if t != "readings" and store.exists(spark, f"{a.store}/{t}/experiment_id={number}")}
-        counts.show(truncate=False)
-        store.replace_partition(kept, f"{a.store}/readings", number)  # its plan reads the health report, so it comes first
-        for name, left in store.delete_flies(tables, gone).items():
-            store.replace_partition(left, f"{a.store}/{name}", number)
-        return
+        there = store.manifest(spark, a.store, number)
+        tables = {t: store.read_experiment(spark, f"{a.store}/{t}", number) for t in store.CHILDREN if t != "readings" and t in there}
+        commit = store.Commit(spark, a.store, number)
+        commit.write("readings", kept)
+        for name, left in store.delete_flies(tables, cut(gone)).items():
+            commit.write(name, left)
+        commit.finish()
     counts.show(truncate=False)
 
 
@@ -117,8 +124,21 @@ def feature_table(spark: SparkSession, a: argparse.Namespace) -> None:
     table = features.feature_table(minute_bins(features.usable_rows(readings)), 1, a.sleep_threshold, tuple(a.exclude_days))
     if a.input:
         store.to_csv(table, a.output)
-    else:
-        store.write_partition(table, f"{a.store}/features", number)
+        if a.build_sliding_window:
+            store.to_csv(sliding_table(readings, a), a.output_sliding_window or f"{a.output}_sliding_window")
+        return
+    commit = store.Commit(spark, a.store, number)
+    commit.write("features", table)
+    if a.build_sliding_window:
+        commit.write("features_sliding_window", sliding_table(readings, a))
+    commit.finish()
+
+
+def sliding_table(readings: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Rows of the trailing day of all readings, labelled by each day's status."""
+    every = minute_bins(features.usable_rows(readings))
+    days = health.irreversible(health.with_status(health.with_decline(health.daily_metrics(every))))
+    return sliding.sliding_rows(every, days, 1, a.sleep_threshold)
 
 
 def clean(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -245,18 +265,17 @@ def death(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def delete_experiment(spark: SparkSession, a: argparse.Namespace) -> None:
-    there = [t for t in TABLES if store.exists(spark, f"{a.store}/{t}")]
     if a.list:
-        store.counts({t: spark.read.parquet(f"{a.store}/{t}") for t in there}).orderBy("experiment_id", "table").show(1000, truncate=False)
+        there = {t: df for t in TABLES if t != "experiments" and (df := store.read_table(spark, f"{a.store}/{t}")) is not None}
+        there["experiments"] = spark.read.parquet(f"{a.store}/experiments")
+        store.counts(there).orderBy("experiment_id", "table").show(1000, truncate=False)
         return
     if not a.confirm:
         raise SystemExit("nothing is deleted without --confirm")
     known = spark.read.parquet(f"{a.store}/experiments")
     numbers = [r[0] for r in known.select("experiment_id").collect()] if a.all else [experiment(spark, a)]
     for number in numbers:
-        for t in there:
-            if t != "experiments":
-                store.drop_experiment(spark, f"{a.store}/{t}", number)
+        store.drop_experiment(spark, a.store, number)
     left = known.where(~F.col("experiment_id").isin(numbers))
     left.write.mode("overwrite").parquet(f"{a.store}/experiments__next")
     spark.read.parquet(f"{a.store}/experiments__next").write.mode("overwrite").parquet(f"{a.store}/experiments")
@@ -322,6 +341,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--sleep-threshold", type=int, default=5)
     s.add_argument("--input", nargs="*", help="CSV readings; the first that is there is taken")
     s.add_argument("--output", default="ML_features.csv")
+    s.add_argument("--build-sliding-window", action="store_true", help="also the trailing-day rows that the death step reads")
+    s.add_argument("--output-sliding-window")
     s = step("clean", clean, "store")
     s.add_argument("--iqr-multiplier", type=float, default=1.5)
     s.add_argument("--input")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import health, rhythm, sleep
@@ -12,6 +12,24 @@ from tidemark.schemas import FLY, LIGHTS_ON
 LABELS = {"Alive": "alive", "Unhealthy": "dying", "Dead": "dead"}
 
 
+def trailing(bins: DataFrame, bin_minutes: float = 1, hours: int = 24, hour: int = LIGHTS_ON) -> DataFrame:
+    """(fly_id, window_end_date, total_activity, activity_mean, activity_var) of the ``hours`` that end at ``hour`` of each day.
+
+    A frame over time ends with each bin, whatever bins are there; those that end at ``hour`` and are whole stay. Windows may
+    be longer than a day, and overlap.
+    """
+    at = F.unix_micros(F.col("datetime").cast("timestamp"))
+    span = int((hours * 60 - bin_minutes) * 60_000_000)
+    w = Window.partitionBy("fly_id").orderBy("_at").rangeBetween(-span, 0)
+    ends = F.col("datetime") + F.make_dt_interval(mins=F.lit(int(bin_minutes)))
+    found = bins.withColumn("_at", at).select(
+        "fly_id", ends.alias("_ends"), F.sum("n").over(w).cast("double").alias("total_activity"), F.avg("n").over(w).alias("activity_mean"),
+        F.var_samp("n").over(w).alias("activity_var"), F.count(F.lit(1)).over(w).alias("_bins"),
+    )
+    whole = (F.hour("_ends") == hour) & (F.minute("_ends") == 0) & (F.col("_bins") * bin_minutes == hours * 60)
+    return found.where(whole).select("fly_id", F.to_date("_ends").alias("window_end_date"), "total_activity", "activity_mean", "activity_var")
+
+
 def sliding_rows(bins: DataFrame, days: DataFrame, bin_minutes: float = 1, threshold: float = 5, hour: int = LIGHTS_ON) -> DataFrame:
     """One row for each fly and window [hour, hour) that is whole: activity, sleep, amplitude, power, status, days_until_death.
 

@@ -73,6 +73,7 @@ def _shap(s: SparkSession, d: str) -> DataFrame:
     return rounded(ml.shap_importance(ml.fit_forest(train), train, rows.where("part = 'test'"), "vec_id"), 6)
 
 
+TRAILING = f"WITH {DENSE}, w AS (SELECT fly_id, datetime + INTERVAL 1 HOUR AS e, sum(n) OVER f AS s, avg(n) OVER f AS m, var_samp(n) OVER f AS v, count(*) OVER f AS k FROM dense WINDOW f AS (PARTITION BY fly_id ORDER BY datetime RANGE BETWEEN INTERVAL {{hours}} HOURS - INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)) SELECT fly_id, e::DATE::VARCHAR AS window_end_date, round(s::DOUBLE, 4) AS total_activity, round(m, 4) AS activity_mean, round(v, 4) AS activity_var FROM w WHERE hour(e) = 9 AND k = {{hours}}"
 VALUES = "(SELECT feature, round(avg(value), 4) AS m, round(stddev_samp(value), 4) AS sd FROM lng GROUP BY feature)"
 QUERIES = {
     "prj4_fly_keys": (lambda s, d: adapter.readings(s, d).select("fly_id", tp.fly_key(F.col("monitor"), F.col("channel")).alias("fly_key")).distinct(), f"WITH {E} SELECT DISTINCT fly_id, monitor || '-ch' || channel AS fly_key FROM e"),
@@ -108,6 +109,8 @@ QUERIES = {
     "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding")), None),
     "ml7_confusion": (_confusion, None),
     "ml11_permutation_importance": (_permuted, None),
+    "src13_trailing_day": (lambda s, d: rounded(sliding.trailing(adapter.dense(s, d), core.BIN)), TRAILING.format(hours=24)),
+    "src13_trailing_two_days": (lambda s, d: rounded(sliding.trailing(adapter.dense(s, d), core.BIN, 48)), TRAILING.format(hours=48)),
     "ml11_shap_importance": (_shap, None),
     "ml12_near_death": (_near_death, None),
 }
