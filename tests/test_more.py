@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import streaming
 from tidemark.functions import tails
-from tidemark.operators import cluster, ml, states, stats
+from tidemark.operators import cluster, health, ml, states, stats
 from tidemark.sources import files, store
 
 
@@ -137,10 +137,21 @@ def test_streams(spark, tmp_path, which):
         assert sorted((r.start, r.n) for r in run(lambda s: streaming.gap_bouts(s.where("reading_type = 'MT'"), "5 minutes"))) == [(at(0), 3), (at(61), 1), (at(70), 1)]
 
 
-def test_death_stays_in_a_stream(spark, tmp_path):
-    days = [[("a", 1, "Alive"), ("a", 2, "Dead"), ("b", 1, "Alive")], [("a", 3, "Alive"), ("b", 2, "Unhealthy")], [("a", 4, "QC_Fail")]]
-    got = stream(spark, tmp_path, days, "fly_id string, exp_day int, status string", streaming.irreversible)
-    assert sorted(map(tuple, got)) == [("a", 1, "Alive"), ("a", 2, "Dead"), ("a", 3, "Dead"), ("a", 4, "Dead"), ("b", 1, "Alive"), ("b", 2, "Unhealthy")]
+def test_death_corrects_days_that_went_out(spark, tmp_path):
+    """The last row of each day equals the batch result, also when an earlier death arrives late."""
+    days = [[("a", 1, "Alive"), ("a", 4, "Dead"), ("b", 1, "Alive"), ("a", 3, "Unhealthy")], [("a", 5, "Alive"), ("b", 2, "Unhealthy")], [("a", 2, "Dead"), ("a", 6, "QC_Fail"), ("b", 1, "Alive")], [("b", 2, "Dead"), ("c", 9, "Dead"), ("c", 1, "Alive")]]
+    schema, sent = "fly_id string, exp_day int, status string", []
+    for part in days:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = streaming.irreversible(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update")
+        query = query.foreachBatch(lambda df, _: sent.append(sorted(map(tuple, df.collect())))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    assert sent[0] == [("a", 1, "Alive"), ("a", 3, "Unhealthy"), ("a", 4, "Dead"), ("b", 1, "Alive")]
+    assert sent[2] == [("a", 2, "Dead"), ("a", 3, "Dead"), ("a", 6, "Dead")]  # the third day again; b's day was known
+    last = {(f, d): s for batch in sent for f, d, s in batch}
+    every = {(f, d): s for part in days for f, d, s in part}
+    batch = health.irreversible(spark.createDataFrame([(*k, s) for k, s in every.items()], schema)).collect()
+    assert last == {(r.fly_id, r.exp_day): r.status for r in batch}
 
 
 def test_ids_are_claimed_once(spark, tmp_path):

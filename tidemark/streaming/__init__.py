@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def hourly_totals(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -33,21 +33,42 @@ def gap_bouts(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes
     return got.select("fly_id", F.col("w.start").alias("start"), F.col("w.end").alias("closed"), "n")
 
 
+class _Death(StatefulProcessor):
+    """A fly's first dead day, and the status that each of its days went out with."""
+
+    def init(self, handle) -> None:
+        self.since = handle.getValueState("since", "exp_day int")
+        self.sent = handle.getMapState("sent", "exp_day int", "status string")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:  # noqa: N802
+        new = {r["exp_day"]: r["status"] for r in rows}
+        before = self.since.get()[0] if self.since.exists() else None
+        dead = [d for d, status in new.items() if status == "Dead"] + ([] if before is None else [before])
+        since = min(dead, default=None)
+        if since is not None and since != before:
+            self.since.update((since,))
+            for (day,), (status,) in list(self.sent.iterator()):
+                if day >= since and status != "Dead" and day not in new:
+                    new[day] = "Dead"
+        for day, status in sorted(new.items()):
+            final = "Dead" if since is not None and day >= since else status
+            if not self.sent.containsKey((day,)) or self.sent.getValue((day,))[0] != final:
+                self.sent.updateValue((day,), (final,))
+                yield Row(fly_id=key[0], exp_day=day, status=final)
+
+    def close(self) -> None:
+        pass
+
+
 def irreversible(days: DataFrame) -> DataFrame:
-    """Fly-days (fly_id, exp_day, status) as they come, Dead from a fly's first dead day on.
+    """Fly-days (fly_id, exp_day, status) in update mode, Dead from a fly's first dead day on.
 
-    A fly's state is that day. A day that comes late, but lies before it, keeps its status; days that went out as something
-    else before an earlier death became known aren't sent again.
+    Days that went out as something else go out again when an earlier death arrives, and when they arrive again with another
+    status, so that the last row of each (fly_id, exp_day) is what the batch form gives. A fly's state is a number and a row for each of
+    its days, of which an experiment has a few; it doesn't expire. The session's state store is set to RocksDB, which holds such
+    states, unless another one but the default was chosen.
     """
-
-    def label(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        f, since = pd.concat(list(frames)), state.get[0] if state.exists else None
-        dead = f.loc[f["status"] == "Dead", "exp_day"]
-        if len(dead):
-            since = int(dead.min() if since is None else min(dead.min(), since))
-        if since is not None:
-            f = f.assign(status=f["status"].where(f["exp_day"] < since, "Dead"))
-            state.update((since,))
-        yield f[["fly_id", "exp_day", "status"]]
-
-    return days.groupBy("fly_id").applyInPandasWithState(label, "fly_id string, exp_day int, status string", "since int", "append", "NoTimeout")
+    conf, name = days.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in conf.get(name, "HDFSBacked"):
+        conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return days.groupBy("fly_id").transformWithState(_Death(), "fly_id string, exp_day int, status string", "update", "None")
