@@ -183,3 +183,17 @@ def test_a_commit_takes_effect_as_one(spark, tmp_path):
     assert sorted(map(tuple, store.read_table(spark, f"{root}/flies").select("experiment_id", "v").collect())) == [(1, 7), (2, 5)]
     store.drop_experiment(spark, root, 1)
     assert store.manifest(spark, root, 1) == {} and store.read_table(spark, f"{root}/readings") is None and store.read_table(spark, f"{root}/flies").count() == 1
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select((F.col("id") % 50).cast("string").alias("fly_id"), "id")
+        flies = spark.range(40).select(F.col("id").cast("string").alias("fly_id"), F.lit("x").alias("genotype"))
+        both = store.with_flies(store.bucketed(rows, "rows"), store.bucketed(flies, "flies"))
+        assert both.count() == 800 and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+    store.drop_bucketed(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
-from tidemark.operators import cluster, features, ml, order, sliding, stats
+from tidemark.operators import cluster, features, health, ml, order, sliding, stats
+from tidemark.operators.lineage import cut
 from tidemark.plans import core, statistics
 from tidemark.plans.core import DENSE, FLY_SQL, GOOD, HOURLY, TIME_SQL, _kept, rounded
-from tidemark.schemas import READING_TYPES
+from tidemark.schemas import FLY, READING_TYPES
 from tidemark.sources import adapter, store
 
 E = f"e AS (SELECT event_id, {FLY_SQL}, ts, value, {TIME_SQL.replace('datetime', 'ts')}, CASE event_type WHEN 'view' THEN 'MT' WHEN 'click' THEN 'CT' ELSE 'Pn' END AS reading_type FROM events)"
@@ -73,6 +74,45 @@ def _shap(s: SparkSession, d: str) -> DataFrame:
     return rounded(ml.shap_importance(ml.fit_forest(train), train, rows.where("part = 'test'"), "vec_id"), 6)
 
 
+def _any_type(s: SparkSession, d: str) -> DataFrame:
+    """Fly-hours in which movement, contact or position is above nothing; values count from 300 on."""
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("reading_type") == kind, F.greatest(F.col("value") - 300, F.lit(0.0)))), F.lit(0.0))
+    hours = adapter.readings(s, d).groupBy("fly_id", "exp_day", "zt").agg(*[of(k).alias(k.lower()) for k in READING_TYPES])
+    return rounded(hours.where("mt > 0 or ct > 0 or pn > 0"))
+
+
+def _automatic_range(s: SparkSession, d: str) -> DataFrame:
+    """Readings of the five days that follow the first one, whichever that is."""
+    r = adapter.readings(s, d)
+    first = r.agg(F.min("date").alias("_first"))
+    return r.join(F.broadcast(first), F.col("date").between(F.date_add("_first", 1), F.date_add("_first", 5))).select("event_id", "fly_id")
+
+
+def _readings_flies(s: SparkSession, d: str) -> DataFrame:
+    """Readings and flies as bucketed tables, joined without moving either."""
+    r = adapter.readings(s, d)
+    with_flies = store.with_flies(store.bucketed(r.select("fly_id", "event_id", "reading_type", "value"), "readings"), store.bucketed(r.select(*FLY).distinct(), "flies"))
+    return rounded(with_flies.groupBy("genotype", "sex", "reading_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2)
+
+
+def _health_flies(s: SparkSession, d: str) -> DataFrame:
+    report = health.health_report(core.days(s, d)).select("fly_id", "final_status")
+    flies = core.watched(s, d).select(*FLY).distinct()
+    return store.with_flies(store.bucketed(report, "health"), store.bucketed(flies, "flies")).select("fly_id", "genotype", "final_status")
+
+
+def _features_flies(s: SparkSession, d: str) -> DataFrame:
+    kept = cut(_kept(s, d))
+    both = store.with_flies(store.bucketed(kept.select("fly_id", "total_sleep_mean"), "features"), store.bucketed(kept.select(*FLY), "flies"))
+    return rounded(both.groupBy("genotype", "treatment").agg(F.count(F.lit(1)).alias("n"), F.avg("total_sleep_mean").alias("sleep")))
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores of components keep the columns of their rows."""
+    rows, _, _ = ml.pca(_points(s, d), "embedding", 2)
+    return rows.where(F.size("scores") == 2).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
+
+
 TRAILING = f"WITH {DENSE}, w AS (SELECT fly_id, datetime + INTERVAL 1 HOUR AS e, sum(n) OVER f AS s, avg(n) OVER f AS m, var_samp(n) OVER f AS v, count(*) OVER f AS k FROM dense WINDOW f AS (PARTITION BY fly_id ORDER BY datetime RANGE BETWEEN INTERVAL {{hours}} HOURS - INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)) SELECT fly_id, e::DATE::VARCHAR AS window_end_date, round(s::DOUBLE, 4) AS total_activity, round(m, 4) AS activity_mean, round(v, 4) AS activity_var FROM w WHERE hour(e) = 9 AND k = {{hours}}"
 VALUES = "(SELECT feature, round(avg(value), 4) AS m, round(stddev_samp(value), 4) AS sd FROM lng GROUP BY feature)"
 QUERIES = {
@@ -82,6 +122,14 @@ QUERIES = {
     "prj13_mirrored_pairs": (_mirrored, f"WITH {statistics.LONG} SELECT x.feature, x.sex || ' vs ' || y.sex AS comparison, round(avg(sign(x.value - y.value)), 4) AS delta FROM lng x JOIN lng y ON x.feature = y.feature AND x.sex <> y.sex GROUP BY ALL"),
     "flt2_active_bins": (lambda s, d: adapter.dense(s, d).where("n > 0").groupBy("fly_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {DENSE} SELECT fly_id, count(*) AS n FROM dense WHERE n > 0 GROUP BY fly_id"),
     "flt3_date_range": (lambda s, d: adapter.readings(s, d).where(F.col("date").between("2024-01-05", "2024-01-10")).select("event_id", "fly_id"), f"WITH {E} SELECT event_id, fly_id FROM e WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"),
+    "flt2_any_type_active": (_any_type, f"WITH {E} SELECT fly_id, exp_day::BIGINT AS exp_day, zt::BIGINT AS zt, round(coalesce(sum(greatest(value - 300, 0)) FILTER (reading_type = 'MT'), 0), 4) AS mt, round(coalesce(sum(greatest(value - 300, 0)) FILTER (reading_type = 'CT'), 0), 4) AS ct, round(coalesce(sum(greatest(value - 300, 0)) FILTER (reading_type = 'Pn'), 0), 4) AS pn FROM e GROUP BY ALL HAVING mt > 0 OR ct > 0 OR pn > 0"),
+    "flt3_automatic_range": (_automatic_range, f"WITH {E} SELECT event_id, fly_id FROM e WHERE date BETWEEN (SELECT min(date) + 1 FROM e) AND (SELECT min(date) + 5 FROM e)"),
+    "join15_scores_keep_columns": (_scores, "SELECT label, count(*) AS n, min(vec_id) AS least, max(vec_id) AS most FROM embeddings GROUP BY label"),
+    "srt3_by_p": (lambda s, d: order.numbered(statistics._bh(s, d), ["p_adj", "feature"]).select("feature", (F.col("place") + 1).alias("place")), f"WITH {statistics.ANOVA}, p AS (SELECT feature, round(p_value, 6) AS p_value FROM anova), q AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, feature) AS q FROM p), r AS (SELECT feature, round(least(1, min(q) OVER (ORDER BY p_value DESC, feature DESC ROWS UNBOUNDED PRECEDING)), 4) AS p_adj FROM q) SELECT feature, row_number() OVER (ORDER BY p_adj, feature) AS place FROM r"),
+    "srt1_multi_key": (lambda s, d: order.numbered(core.days(s, d).select("fly_id", "exp_day"), ["fly_id", "exp_day"]).withColumn("place", F.col("place") + 1), f"WITH {core.HEALTH} SELECT fly_id, exp_day::BIGINT AS exp_day, row_number() OVER (ORDER BY fly_id, exp_day) AS place FROM fin"),
+    "src9_readings_flies": (_readings_flies, f"WITH {E} SELECT genotype, sex, reading_type, count(*) AS n, round(sum(value), 2) AS total FROM e GROUP BY ALL"),
+    "src10_health_flies": (_health_flies, f"WITH {core.HEALTH} SELECT report.fly_id, report.genotype, report.final_status FROM report"),
+    "src11_features_flies": (_features_flies, f"WITH {GOOD} SELECT genotype, treatment, count(*) AS n, round(avg(total_sleep_mean)::DOUBLE, 4) AS sleep FROM kept GROUP BY ALL"),
     "flt4_mt_without_days": (lambda s, d: adapter.readings(s, d).where("reading_type = 'MT' and exp_day not in (1, 7)").select("event_id", "fly_id"), f"WITH {E} SELECT event_id, fly_id FROM e WHERE reading_type = 'MT' AND exp_day NOT IN (1, 7)"),
     "flt5_usable_metadata": (lambda s, d: _gappy(s, d).where(tp.is_ok(F.col("genotype")) & tp.is_ok(F.col("sex")) & tp.is_ok(F.col("treatment"))).groupBy("genotype", "sex", "treatment").agg(F.count_distinct("fly_id").alias("n")), f"WITH {E} SELECT genotype, sex, treatment, count(DISTINCT fly_id) AS n FROM e WHERE channel % 5 > 0 AND channel % 7 <> 3 GROUP BY ALL"),
     "flt6_usable_rows": (lambda s, d: features.usable_rows(_gappy(s, d).withColumn("zt", F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("zt").cast("string")))).groupBy("fly_id").agg(F.count(F.lit(1)).alias("n"), F.sum("zt").alias("zts")), f"WITH {E} SELECT fly_id, count(*) AS n, sum(zt)::BIGINT AS zts FROM e WHERE channel % 5 > 0 AND event_id % 11 <> 0 GROUP BY fly_id"),
