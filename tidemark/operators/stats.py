@@ -118,11 +118,11 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str, key: str) -> Da
     return raised.withColumn("p_adj", F.least(F.lit(1.0), F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0)))).drop("_q")
 
 
-def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3) -> DataFrame:
+def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3, exact: bool = True) -> DataFrame:
     """U of the rows where ``side`` holds, rank-biserial r and p for each keys.
 
     Without ties and with at most eight values on a side p is exact; else, and beyond MOST_SUMS values of U, it is the normal one,
-    corrected for ties and continuity. Groups of fewer than ``least`` values on a side are left out.
+    corrected for ties and continuity; without ``exact`` it always is. Groups of fewer than ``least`` values on a side are left out.
     """
     ranked, n = rank_table(long, keys, side), F.col("n")
     one = ranked.groupBy(*keys).agg(
@@ -134,8 +134,8 @@ def mann_whitney(long: DataFrame, keys: list[str], side: Column, least: int = 3)
     z = F.try_divide(F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)), sd)
     r = 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1
     few = (F.col("t") == 0) & (F.least("n1", "n2") <= 8) & (F.col("n1") * F.col("n2") <= tails.MOST_SUMS)
-    exact = tails.rank_sum_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))
-    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(exact, native.normal_p("z"), F.lit(1.0)).alias("p_value"))
+    counted = tails.rank_sum_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2")) if exact else F.lit(None).cast("double")
+    return one.withColumn("z", z).select(*keys, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", r.alias("rank_biserial"), F.coalesce(counted, native.normal_p("z"), F.lit(1.0)).alias("p_value"))
 
 
 def one_vs_rest(long: DataFrame, label: str) -> DataFrame:

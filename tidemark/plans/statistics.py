@@ -97,7 +97,7 @@ QUERIES = {
     "sta12_dunn_p": (lambda s, d: rounded(stats.dunn(long(s, d), "treatment")), f"WITH {RANKS}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(mid_rank) AS r, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(t) OVER (PARTITION BY feature) AS tt, count(*) OVER (PARTITION BY feature) AS k FROM g), z AS (SELECT a.feature, a.treatment AS g1, b.treatment AS g2, a.k, (a.r - b.r) / nullif(sqrt((a.nn * (a.nn + 1) / 12 - a.tt / (12 * (a.nn - 1))) * (1 / a.n + 1 / b.n)), 0) AS z FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment) SELECT feature, g1, g2, round(z, 4) AS z, round(least(1, {_normal_p('z')} * k * (k - 1) / 2), 4) AS p_adj FROM z"),
     "sta11_tukey": (lambda s, d: rounded(stats.tukey(long(s, d), "treatment").select("feature", "g1", "g2", "q"), 3), f"WITH {LONG}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM lng GROUP BY ALL), w AS (SELECT *, sum(n * v) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature)) AS mse FROM g) SELECT a.feature, a.treatment AS g1, b.treatment AS g2, round(abs(a.m - b.m) / nullif(sqrt(a.mse / 2 * (1 / a.n + 1 / b.n)), 0), 3) AS q FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment"),
     "sta11_tukey_p": (lambda s, d: rounded(stats.tukey(long(s, d), "treatment").select("feature", "g1", "g2", "p_adj"), 5), f"WITH {LONG}, g AS (SELECT feature, treatment, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM lng GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature) AS df, sum(n * v) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature) - count(*) OVER (PARTITION BY feature)) AS mse FROM g), t AS (SELECT a.feature, a.treatment AS g1, b.treatment AS g2, a.df::DOUBLE AS df, abs(a.m - b.m) / nullif(sqrt(a.mse / 2 * (1 / a.n + 1 / b.n)), 0) AS q FROM w a JOIN w b ON a.feature = b.feature AND a.treatment < b.treatment){TUKEY_TAIL} SELECT feature, g1, g2, round(tail.p, 5) AS p_adj FROM t LEFT JOIN tail USING (feature, g1, g2)"),
-    "sta14_mann_whitney_p": (lambda s, d: rounded(stats.mann_whitney(long(s, d), ["feature"], F.lower("sex").startswith("f")).select("feature", "p_value"), 5), f"WITH {RANKS}, g AS (SELECT feature, count(*) FILTER (sex = 'Female')::DOUBLE AS n1, count(*) FILTER (sex <> 'Female')::DOUBLE AS n2, sum(mid_rank) FILTER (sex = 'Female') AS r1, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY feature HAVING n1 >= 3 AND n2 >= 3), z AS (SELECT feature, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM g) SELECT feature, round(coalesce({_normal_p('z')}, 1), 5) AS p_value FROM z"),
+    "sta14_mann_whitney_p": (lambda s, d: rounded(stats.mann_whitney(long(s, d), ["feature"], F.lower("sex").startswith("f"), exact=False).select("feature", "p_value"), 5), f"WITH {RANKS}, g AS (SELECT feature, count(*) FILTER (sex = 'Female')::DOUBLE AS n1, count(*) FILTER (sex <> 'Female')::DOUBLE AS n2, sum(mid_rank) FILTER (sex = 'Female') AS r1, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY feature HAVING n1 >= 3 AND n2 >= 3), z AS (SELECT feature, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM g) SELECT feature, round(coalesce({_normal_p('z')}, 1), 5) AS p_value FROM z"),
     "join20_one_vs_rest_p": (lambda s, d: rounded(stats.one_vs_rest(long(s, d), "genotype").select("feature", "genotype", "p_value"), 5), f"WITH {RANKS}, g AS (SELECT feature, genotype, count(*)::DOUBLE AS n1, sum(mid_rank) AS r1, sum(ties * ties - 1)::DOUBLE AS t FROM rk GROUP BY ALL), w AS (SELECT feature, genotype, n1, r1, sum(n1) OVER f - n1 AS n2, sum(n1) OVER f AS n, sum(t) OVER f AS t FROM g WINDOW f AS (PARTITION BY feature)), z AS (SELECT feature, genotype, greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / nullif(sqrt(n1 * n2 / 12 * (n + 1 - t / (n * (n - 1)))), 0) AS z FROM w WHERE n1 >= 3 AND n2 >= 3) SELECT feature, genotype, round(coalesce({_normal_p('z')}, 1), 5) AS p_value FROM z"),
     "sta7_normality": (lambda s, d: rounded(stats.normality(long(s, d), "treatment")), None),
     "sta10_compare_groups": (lambda s, d: rounded(stats.compare_groups(long(s, d), "treatment")), None),
