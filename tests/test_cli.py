@@ -51,6 +51,8 @@ def test_steps(spark, recording, tmp_path, capsys):
     run("clusters", "--pca-scores-csv", out / "pca_scores", "--min-cluster-size", 5, "--output-dir", out)
     found = files.read_csv(spark, f"{out}/umap_clusters")
     assert {"umap1", "cluster_dbscan", "cluster_hdbscan", "cluster_prob", "fly_id"} <= set(found.columns) and 10 < found.count() <= z.count()
+    assert files.read_csv(spark, f"{out}/pca_scree").columns == ["component", "share", "cumulative"] and files.read_csv(spark, f"{out}/k_distances").count() == found.count()
+    assert files.read_csv(spark, f"{out}/umap_density").count() % 2500 == 0 and files.read_csv(spark, f"{out}/umap_contours").count() > 0 and files.read_csv(spark, f"{out}/cluster_shares").count() > 0
     for name in ("sex-differences", "characterise"):
         run(name, "--store", tables, "--umap-clusters", f"{out}/umap_clusters", "--output-dir", out)
     assert files.read_csv(spark, f"{out}/cluster_feature_profiles").columns[0] == "feature"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
-from tidemark.operators import cluster, features, health, ml, sliding, stats
+from tidemark.operators import cluster, features, health, ml, plots, sliding, stats
 from tidemark.operators.lineage import cut
 from tidemark.schemas import EXCLUDE_DAYS, FLY, LIGHTS_OFF, LIGHTS_ON, META, REF_DAY, Z_FEATURES
 from tidemark.sources import files, monitor, store
@@ -166,6 +166,7 @@ def pca(spark: SparkSession, a: argparse.Namespace) -> None:
     scored, load, share = ml.pca(df, names)
     wide = [F.get("scores", F.lit(i)).alias(f"PC{i + 1}") for i in range(len(share))]
     store.to_csv(scored.select(*[c for c in FLY if c in df.columns], *wide), f"{a.output_dir}/pca_scores")
+    store.to_csv(plots.scree(spark, share), f"{a.output_dir}/pca_scree")
     rows = [(n, *map(float, r)) for n, r in zip(names, load, strict=True)]
     store.to_csv(spark.createDataFrame(rows, ["feature", *[f"PC{i + 1}" for i in range(len(share))]]), f"{a.output_dir}/pca_loadings")
     store.to_csv(stats.compare_groups(stats.to_long(df, ["fly_id", "genotype"], names), "genotype"), f"{a.output_dir}/genotype_comparison_summary")
@@ -179,13 +180,19 @@ def clusters(spark: SparkSession, a: argparse.Namespace) -> None:
     points = flat.select("key", F.array("umap1", "umap2").alias("v"))
     eps = a.dbscan_eps
     if eps is None:
-        far = cluster.knn(points, "key", "v", a.dbscan_k + 1).where(F.col("k") == a.dbscan_k)
-        row = cluster.elbow(far, "distance").first()
+        curve = cut(plots.k_distances(cluster.knn(points, "key", "v", a.dbscan_k + 1), a.dbscan_k))
+        store.to_csv(curve.select("place", "distance"), f"{a.output_dir}/k_distances")
+        row = cluster.elbow(curve, "distance").first()
         eps = float(row["distance"]) if row else 0.0
     dense = cluster.dbscan(points, "key", "v", eps, a.dbscan_k + 1).withColumnRenamed("cluster", "cluster_dbscan")
     grown = ml.hdbscan(points, "key", "v", a.min_cluster_size, a.min_samples).select("key", F.col("cluster").alias("cluster_hdbscan"), F.col("strength").alias("cluster_prob"))
     out = keyed.select("key", *[c for c in FLY if c in keyed.columns]).join(flat, "key").join(dense, "key").join(grown, "key").drop("key")
+    out = cut(out)
     store.to_csv(out, f"{a.output_dir}/umap_clusters")
+    grid = cut(plots.density(out, "umap1", "umap2", "genotype"))
+    store.to_csv(grid, f"{a.output_dir}/umap_density")
+    store.to_csv(plots.contours(grid, "genotype"), f"{a.output_dir}/umap_contours")
+    store.to_csv(plots.shares(out, "cluster_dbscan", "genotype"), f"{a.output_dir}/cluster_shares")
     store.to_csv(stats.contingency(out, "cluster_hdbscan", "genotype"), f"{a.output_dir}/cluster_genotype_enrichment")
 
 

@@ -197,26 +197,3 @@ def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: in
     found = one.select("key", "v").join(named.select(F.col("node").alias("key"), "cluster").union(beside), "key")
     each = rows.select(F.col("key").alias("_k"), "v").join(found.select("v", "cluster"), "v").select("_k", "cluster")
     return points.select(key).join(each, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
-
-
-def density_grid(points: DataFrame, x: str, y: str, n: int = 50) -> DataFrame:
-    """(gx, gy, density) of a Gaussian kernel estimate over an n by n grid of the points' range; bandwidth is n^(-1/6) times the
-    covariance's root. Sums are made where the points are; fewer than three points or no spread give no rows."""
-    s = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    m = s.agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy")).first()
-    det = (m["vx"] or 0) * (m["vy"] or 0) - (m["vxy"] or 0) ** 2
-    if m["k"] < 3 or det <= 0:
-        return points.sparkSession.createDataFrame([], "gx double, gy double, density double")
-    cov = np.array([[m["vx"], m["vxy"]], [m["vxy"], m["vy"]]]) * m["k"] ** (-1 / 3)
-    inv, norm = np.linalg.inv(cov), m["k"] * 2 * np.pi * np.sqrt(np.linalg.det(cov))
-    gx, gy = (a.ravel() for a in np.meshgrid(np.linspace(m["x0"], m["x1"], n), np.linspace(m["y0"], m["y1"], n)))
-
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n * n)
-        for f in frames:
-            for px, py in zip(f["x"], f["y"], strict=True):
-                dx, dy = gx - px, gy - py
-                total += np.exp(-0.5 * (inv[0, 0] * dx * dx + 2 * inv[0, 1] * dx * dy + inv[1, 1] * dy * dy))
-        yield pd.DataFrame({"gx": gx, "gy": gy, "s": total})
-
-    return s.mapInPandas(sums, "gx double, gy double, s double").groupBy("gx", "gy").agg((F.sum("s") / norm).alias("density"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeparts as tp
-from tidemark.operators import cluster, features, health, ml, order, sliding, stats
+from tidemark.operators import cluster, features, health, ml, order, plots, sliding, stats
 from tidemark.operators.lineage import cut
 from tidemark.plans import core, statistics
 from tidemark.plans.core import DENSE, FLY_SQL, GOOD, HOURLY, TIME_SQL, _kept, rounded
@@ -27,6 +27,42 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/embeddings.parquet")
 
 
+def _plane(s: SparkSession, d: str) -> DataFrame:
+    return _points(s, d).select("label", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
+
+
+def _scree(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.scree(s, ml.pca(_points(s, d), "embedding")[2]))
+
+
+#: The kernel estimate over 50 by 50 nodes for each group, and its contour pieces, in DuckDB's SQL.
+DENSITY = """p AS (SELECT {group} AS g, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    m AS (SELECT g, count(*) AS k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_samp(x) * pow(count(*), -1.0 / 3) AS vx,
+          var_samp(y) * pow(count(*), -1.0 / 3) AS vy, covar_samp(x, y) * pow(count(*), -1.0 / 3) AS vxy FROM p GROUP BY g HAVING count(*) >= 3),
+    w AS (SELECT *, vx * vy - vxy * vxy AS det FROM m WHERE vx * vy - vxy * vxy > 1e-12 * vx * vy),
+    spots AS (SELECT w.*, i, j, x0 + i * (x1 - x0) / 49 AS gx, y0 + j * (y1 - y0) / 49 AS gy FROM w, range(50) a(i), range(50) b(j)),
+    nodes AS (SELECT spots.g, i, j, any_value(gx) AS gx, any_value(gy) AS gy,
+              sum(exp(-0.5 * (vy * (gx - x) * (gx - x) - 2 * vxy * (gx - x) * (gy - y) + vx * (gy - y) * (gy - y)) / det)) / any_value(k * 2 * pi() * sqrt(det)) AS density
+              FROM spots JOIN p ON spots.g IS NOT DISTINCT FROM p.g GROUP BY spots.g, i, j)"""
+CONTOURS = f"""WITH {DENSITY.format(group="label")},
+    r AS (SELECT g, min(density) AS lo, max(density) AS hi, (max(density) - min(density)) / 8 AS raw FROM nodes GROUP BY g),
+    q AS (SELECT *, pow(10.0, floor(log10(raw))) AS mag FROM r WHERE raw > 0),
+    t AS (SELECT *, mag * list_min(list_filter({list(plots.STEPS)}, lambda v: v >= raw / mag - 1e-9)) AS step FROM q),
+    l AS (SELECT g, k * step AS level FROM (SELECT *, unnest(range(floor(lo / step)::BIGINT, ceil(hi / step)::BIGINT + 1)) AS k FROM t) WHERE k * step > lo AND k * step < hi),
+    c AS (SELECT a.g, a.i, a.j, a.gx AS lx, d.gx AS hx, a.gy AS ly, d.gy AS hy, a.density AS v00, b.density AS v10, e.density AS v01, d.density AS v11
+          FROM nodes a JOIN nodes b ON b.g = a.g AND b.i = a.i + 1 AND b.j = a.j JOIN nodes e ON e.g = a.g AND e.i = a.i AND e.j = a.j + 1
+          JOIN nodes d ON d.g = a.g AND d.i = a.i + 1 AND d.j = a.j + 1),
+    s AS (SELECT c.*, level, lx + (level - v00) / (v10 - v00) * (hx - lx) AS lowx, ly + (level - v10) / (v11 - v10) * (hy - ly) AS righty, lx + (level - v01) / (v11 - v01) * (hx - lx) AS topx,
+          ly + (level - v00) / (v01 - v00) * (hy - ly) AS lefty, v00 >= level AS a00, v10 >= level AS a10, v01 >= level AS a01, v11 >= level AS a11, (v00 + v10 + v01 + v11) / 4 >= level AS inside FROM c JOIN l USING (g)),
+    f AS (SELECT *, list_filter([CASE WHEN a00 <> a10 THEN [lowx, ly] END, CASE WHEN a10 <> a11 THEN [hx, righty] END, CASE WHEN a01 <> a11 THEN [topx, hy] END, CASE WHEN a00 <> a01 THEN [lx, lefty] END], lambda e: e IS NOT NULL) AS ends FROM s),
+    h AS (SELECT *, CASE WHEN len(ends) = 4 AND inside = a00 THEN [[ends[1], ends[2]], [ends[3], ends[4]]] WHEN len(ends) = 4 THEN [[ends[1], ends[4]], [ends[2], ends[3]]] ELSE [ends] END AS pieces FROM f WHERE len(ends) > 0),
+    z AS (SELECT *, unnest(range(len(pieces))) AS piece FROM h)
+    SELECT g AS label, round(level, 6) AS level, i, j, piece, round(pieces[piece + 1][1][1], 6) AS x1, round(pieces[piece + 1][1][2], 6) AS y1, round(pieces[piece + 1][2][1], 6) AS x2, round(pieces[piece + 1][2][2], 6) AS y2 FROM z"""
+K_DISTANCES = """WITH n AS (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    f AS (SELECT vec_id, d AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM n)
+    SELECT row_number() OVER (ORDER BY distance, vec_id) - 1 AS place, vec_id, round(distance, 6) AS distance FROM f WHERE k = 5"""
+
+
 def _heatmap(s: SparkSession, d: str) -> DataFrame:
     long = stats.to_long(_kept(s, d), ["genotype"], HEAT)
     return rounded(stats.medians(long, "genotype").groupBy("genotype").pivot("feature", HEAT).agg(F.first("median")))
@@ -153,7 +189,12 @@ QUERIES = {
     "join17_anti_semi": (lambda s, d: adapter.readings(s, d).join(adapter.readings(s, d).where("value > 450").select("fly_id").distinct(), "fly_id", "left_anti").select("event_id"), f"WITH {E} SELECT event_id FROM e WHERE fly_id NOT IN (SELECT fly_id FROM e WHERE value > 450)"),
     "join19_two_rankings": (_rankings, f"WITH {statistics.LONG}, v AS {VALUES}, a AS (SELECT row_number() OVER (ORDER BY m DESC, feature) AS rank, feature AS by_mean FROM v), b AS (SELECT row_number() OVER (ORDER BY sd DESC, feature) AS rank, feature AS by_deviation FROM v) SELECT rank, by_mean, by_deviation FROM a FULL JOIN b USING (rank)"),
     "sta20_stability_grid": (lambda s, d: rounded(ml.stability_grid(_points(s, d).orderBy("vec_id"), "vec_id", "embedding", "label")), None),
-    "sta21_density_grid": (lambda s, d: rounded(cluster.density_grid(_points(s, d).select(F.get("embedding", 0).alias("x"), F.get("embedding", 1).alias("y")), "x", "y"), 6), None),
+    "sta21_density_grid": (lambda s, d: rounded(plots.density(_plane(s, d), "x", "y").select("gx", "gy", "density"), 6), f"WITH {DENSITY.format(group='NULL::INTEGER')} SELECT round(gx, 6) AS gx, round(gy, 6) AS gy, round(density, 6) AS density FROM nodes"),
+    "sta21_density_by_label": (lambda s, d: rounded(plots.density(_plane(s, d), "x", "y", "label"), 6), f"WITH {DENSITY.format(group='label')} SELECT g AS label, i, j, round(gx, 6) AS gx, round(gy, 6) AS gy, round(density, 6) AS density FROM nodes"),
+    "sta21_contours": (lambda s, d: rounded(plots.contours(cut(plots.density(_plane(s, d), "x", "y", "label")), "label"), 6), CONTOURS),
+    "snk11_k_distances": (lambda s, d: rounded(plots.k_distances(cluster.knn(_points(s, d), "vec_id", "embedding", 6), 5, "vec_id"), 6), K_DISTANCES),
+    "snk11_shares": (lambda s, d: rounded(plots.shares(_kept(s, d), "genotype", "treatment")), f"WITH {GOOD} SELECT genotype, treatment, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY genotype), 4) AS share FROM kept GROUP BY genotype, treatment"),
+    "snk11_scree": (_scree, None),
     "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding")), None),
     "ml7_confusion": (_confusion, None),
     "ml11_permutation_importance": (_permuted, None),
