@@ -196,6 +196,7 @@ QUERIES = {
     "snk11_shares": (lambda s, d: rounded(plots.shares(_kept(s, d), "genotype", "treatment")), f"WITH {GOOD} SELECT genotype, treatment, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY genotype), 4) AS share FROM kept GROUP BY genotype, treatment"),
     "snk11_scree": (_scree, None),
     "ml2_umap": (lambda s, d: rounded(ml.umap(_points(s, d), "vec_id", "embedding")), None),
+    "ml6_tuned_forest": (lambda s, d: rounded(ml.tuned_report(_points(s, d))), None),
     "ml7_confusion": (_confusion, None),
     "ml11_permutation_importance": (_permuted, None),
     "src13_trailing_day": (lambda s, d: rounded(sliding.trailing(adapter.dense(s, d), core.BIN)), TRAILING.format(hours=24)),
