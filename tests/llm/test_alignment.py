@@ -106,3 +106,19 @@ def test_query(spark):
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
     want, _ = expected([r.text for r in rows])
     assert Counter(map(tuple, queries.op13_alignment(spark, folder).collect())) == Counter((r.doc_id, *w) for r, w in zip(rows, want, strict=True))
+
+
+def test_a_task_of_many_chunks_holds_few_of_them_at_once(spark, monkeypatch):
+    """Chunks of a megabyte in one task are written in row groups of a few, however many they are: writer and reader hold a group."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(alignment, "CHUNK_LINKS", 1 << 17)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat(concat('some words of text ', id, ' '), 24000) AS text")
+    kept, keep = [], alignment.Scratch.keep
+    monkeypatch.setattr(alignment.Scratch, "keep", lambda self, df, *a, **k: kept.append(keep(self, df, *a, **k)) or kept[-1])
+    alignment.align_documents(docs, BYTE, PIECE)
+    metas = [pq.ParquetFile(f).metadata for f in glob.glob(f"{kept[0]._tidemark_path}/*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in metas for i in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) <= 10 << 20, sizes

@@ -207,7 +207,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, groups: str = "sh
     """(documents, pairs): one row for each document, DOCUMENTS, whose last column is groups_sha256 or, on request, groups_text;
     and ``pair_table``."""
     scratch = Scratch(docs.sparkSession, "alignment")
-    chunks = scratch.keep(aligned_chunks(docs, path_a, path_b, groups))
+    chunks = scratch.keep(aligned_chunks(docs, path_a, path_b, groups), wide=True)
     pairs = scratch.keep(pair_table(chunks))
     each = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
     each = each.join(pairs, "pair").select(F.col("chunk").alias("of"), "place", "count", (F.col("count") == F.col("best_b")).alias("best"))

@@ -61,6 +61,10 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+#: Parquet's settings for wide rows: groups of 8 MB as packed, measured after every row, and of 8 rows at most.
+WIDE_ROWS = {"parquet.block.row.count.limit": 8, "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
 class Scratch:
     """Written intermediate results of one call of an operator.
 
@@ -74,10 +78,12 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, wide: bool = False) -> DataFrame:
+        """``wide``: rows of a megabyte and more. Parquet else looks at the size of a row group after every hundred rows only, and
+        writer and reader hold a whole group."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(WIDE_ROWS if wide else {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
