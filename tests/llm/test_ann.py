@@ -58,3 +58,26 @@ def test_codes_come_close():
     books = ann.fit_books(x, m=4, k=32)
     errors = [((x - ann.decode(ann.beam_codes(x, books, beam=b), books)) ** 2).sum(1).mean() for b in (1, 8)]
     assert errors[1] < errors[0] < 0.5
+
+
+def test_narrow_clusters_and_wide_offsets(spark):
+    """Groups of near copies larger than the shortlist, alone among other rows or around an offset: codes alone can't rank their rows."""
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=24)
+    narrow = np.concatenate([rng.normal(size=(2500, 24)), hot + rng.normal(size=(2500, 24)) * 1e-3])
+    for x in (rng.permutation(narrow), rng.normal(size=(3000, 24)) * 0.01 + 5):
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        found = {}
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0, shortlist=64).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        cos = unit[::50] @ unit.T
+        cos[np.arange(len(cos)), np.arange(0, len(x), 50)] = -2
+        want = {50 * i: set(np.argsort(-row)[:5].tolist()) for i, row in enumerate(cos)}
+        assert np.mean([len(found[q] & want[q]) / 5 for q in want]) > 0.999
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(2)
+    x, close, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(3, 4000, 5)))
+    assert (ann.best_possible((q * close).sum(1), (x * close).sum(1)) >= (q * x).sum(1)).all()
