@@ -76,9 +76,9 @@ def _gappy(s: SparkSession, d: str) -> DataFrame:
 
 def _mirrored(s: SparkSession, d: str) -> DataFrame:
     """Pairs in both directions, named "a vs b"."""
-    one = stats.cliffs_delta(statistics.long(s, d), "sex").select("feature", "g1", "g2", "delta")
-    other = one.select("feature", F.col("g2").alias("g1"), F.col("g1").alias("g2"), (-F.col("delta")).alias("delta"))
-    return rounded(one.union(other).select("feature", F.concat_ws(" vs ", "g1", "g2").alias("comparison"), "delta"))
+    side = lambda a, b, delta: F.struct(F.concat_ws(" vs ", a, b).alias("comparison"), delta.alias("delta"))
+    both = F.array(side("g1", "g2", F.col("delta")), side("g2", "g1", -F.col("delta")))
+    return rounded(stats.cliffs_delta(statistics.long(s, d), "sex").select("feature", F.inline(both)))
 
 
 def _rankings(s: SparkSession, d: str) -> DataFrame:
