@@ -1,4 +1,4 @@
-"""A pipeline over documents: toxicity, line dedup, near-dedup (stage simhash; by MinHash), decontamination, BPE encoding.
+"""A pipeline over documents: toxicity, line dedup, near-dedup (SimHash, then MinHash where it is blind), decontamination, BPE encoding.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the frame that the next stage reads. All but
 the last return the columns of documents. ``run`` applies them to the documents of a folder.
@@ -33,7 +33,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows that repeat it go as well."""
+    """One document of each group of near copies: the one with the smallest doc_id. Rows that repeat it go as well.
+
+    SimHash finds pairs as in op2_simhash, MinHash those beyond its budget of bits; five-word similarity 0.8 decides both.
+    """
     return nearcopies.keep_one_of_each(docs, width=5)
 
 

@@ -70,3 +70,21 @@ def test_bands_find_similar_sets(least):
         assert nearcopies.similar(x, y)
         met += bool(set(nearcopies.band_keys(x).tolist()) & set(nearcopies.band_keys(y).tolist()))
     assert met >= 399
+
+
+def test_the_stage_takes_pairs_from_simhash(spark, monkeypatch):
+    from tidemark.llm import simhash
+    from tidemark.llm.common import Scratch
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    said = [" ".join(word() for _ in range(400)) for _ in range(20)]
+    texts = said + [t + " " + word() for t in said]
+    near = {i for i in range(20) if bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[20 + i])).count("1") <= 4}
+    df, found, links = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], simhash.fingerprint_links
+    prints = df.select("doc_id", nearcopies._signed(5)("text").alias("s")).select("doc_id", "s.*").cache()
+    ids = {r.node: r.doc_id % 20 for r in prints.collect()}
+    pairs = nearcopies._simhash_pairs(prints, Scratch(spark, "test")).collect()
+    assert {ids[r.node] for r in pairs} == near and all(ids[r.node] == ids[r.other] for r in pairs) and len(near) > 10
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: found.append(a) or links(*a))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == list(range(20)) and found

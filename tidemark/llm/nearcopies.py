@@ -1,13 +1,19 @@
-"""Near copies of five-word similarity 0.8 or more: MinHash bands find pairs, exact sets of shingles decide them.
+"""Near copies of five-word similarity 0.8 or more: SimHash and MinHash bands find pairs, exact sets of shingles decide them.
+
+Fingerprints of ``simhash`` that differ in at most ``BUDGET`` bits are found by its tries, and the links of their forests are tried
+first. Pairs of similarity 0.8 differ in some ten bits, beyond what tries find, so MinHash bands then suggest pairs between the
+groups that are left.
 
 A text is the set of its shingles of ``width`` words; texts with one set are one node. ``BANDS`` bands of ``ROWS`` minima each
 deal the nodes into buckets: two sets of similarity 0.8 share none of them once in 20,000 times, more similar ones far more
-seldom. Every pair that a bucket suggests and whose sizes allow it counts only if the Jaccard similarity of the whole sets
-reaches ``LEAST``. Groups are components of such pairs.
+seldom. Every suggested pair whose sizes allow it counts only if the Jaccard similarity of the whole sets reaches ``LEAST``. Groups
+are components of such pairs.
 
-Every node of a bucket is tried with one node of it, the hub, which differs from bucket to bucket. Buckets whose nodes are in one
-group by then are done. In the others all pairs of nodes that are not yet in one group are tried. So a large group of copies
-costs about its size, no bucket is gathered in one place, and no pair that could join two groups is left out.
+Every node of a bucket is tried with one node of it, the hub, which differs from bucket to bucket, unless both are in one group
+already. Buckets whose nodes are in one group by then are done. While the others hold many more pairs between groups than nodes,
+they are tried with another hub; then all pairs of nodes that are not yet in one group are tried, each in the first bucket that it
+shares. So a large group of copies costs about its size, no bucket is gathered in one place, and no pair that could join two groups
+is left out.
 
 Null texts count as empty, and texts without words are copies of each other. Repeated rows and null ids are rows like others.
 Extra columns are kept.
@@ -24,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import simhash
 from tidemark.llm.common import Scratch, unused
 from tidemark.llm.components import component_labels
 
 LEAST, BANDS, ROWS = Fraction(4, 5), 25, 5
+#: Bits by which fingerprints of a pair may differ; pairs for each node of open buckets beyond which another hub is tried, and hubs.
+BUDGET, MANY_PAIRS, MOST_HUBS = 4, 2, 6
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _PRIME, _CHUNK = np.uint64(0x9E3779B97F4A7C15), 1024
 
@@ -71,13 +80,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(width: int):
-    @F.pandas_udf("node long, n int, bands array<long>")
+    @F.pandas_udf("fp long, node long, n int, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             s = shingles(t, width)
-            out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), len(s), band_keys(s)))
-        return pd.DataFrame(out, columns=["node", "n", "bands"])
+            out.append((simhash.fingerprint(t), np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), len(s), band_keys(s)))
+        return pd.DataFrame(out, columns=["fp", "node", "n", "bands"])
 
     return of
 
@@ -106,26 +115,53 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_alike("set_a", "set_b")).select("a", "b")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """Verified pairs (a, b) of nodes, whose components are those of all suggested pairs of similarity LEAST or more."""
+def _simhash_pairs(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, other, m) of nodes that SimHash links: a forest over fingerprints, and nodes of one fingerprint with one of them."""
+    one = scratch.keep(prints.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r")).select("fp", "r.node", "r.n"))
+    links = simhash.fingerprint_links(one.select("fp"), scratch, BUDGET)
+    first, other = one.withColumnRenamed("fp", "a"), one.select(F.col("fp").alias("b"), F.col("node").alias("other"), F.col("n").alias("m"))
+    linked = links.join(first, "a").join(other, "b").select("node", "n", "other", "m")
+    same = prints.select("fp", "node", "n").distinct().join(other.withColumnRenamed("b", "fp"), "fp").select("node", "n", "other", "m")
+    return scratch.keep(linked.union(same).where("node != other"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """Verified pairs (a, b) of nodes, whose components are those of all of similarity LEAST or more among ``pairs`` and in buckets."""
     key, text_key = unused(docs, "id", "hash")
-    keys = nodes.select("node", "n", F.explode("bands").alias("key"))
+    keys = nodes.select("node", "n", "bands", F.explode("bands").alias("key"))
     shared = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    members = scratch.keep(keys.join(shared, "key").select("key", "node", "n"))
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("least.doc_id").alias(key), F.col("least.text_hash").alias(text_key))
+
+    def apart(rows: DataFrame, near: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several groups, with their groups."""
+        named = scratch.keep(rows.join(near, "node", "left").select("key", "node", "n", "bands", F.coalesce("label", "node").alias("label")))
+        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        rows = scratch.keep(named.join(several, "key"))
+        scratch.drop(named)
+        return rows
+
+    members = scratch.keep(keys.join(shared, "key"))
+    tried = members.select("node").union(pairs.select("node")).union(pairs.select("other")).distinct()
+    wanted = tried.join(nodes, "node").select("node", F.col("least.doc_id").alias(key), F.col("least.text_hash").alias(text_key))
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_key))
     sets = scratch.keep(docs.select("doc_id", "text").join(wanted, same).select("node", _packed(width)("text").alias("set")).dropDuplicates(["node"]))
-    # a node of each bucket, another one in each, is tried with all of it; buckets that stay in several groups pair by pair
-    hub = F.min(F.struct(F.xxhash64("key", "node").alias("by"), "node", "n")).alias("hub")
-    hubs = members.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"))
-    links = scratch.keep(_verified(_compatible(members.join(hubs, "key").where("node != other")), sets))
-    near = component_labels(links, scratch)
-    named = scratch.keep(members.join(near, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.keep(named.join(apart, "key"))
-    scratch.drop(named)
-    mirror = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("beside"))
-    rest = _verified(_compatible(open_.join(mirror, "key").where(F.col("label") < F.col("beside"))), sets)
+    near = component_labels(scratch.keep(_verified(_compatible(pairs), sets)), scratch)
+    members = apart(members, near)
+    for k in range(MOST_HUBS):
+        hub = F.min(F.struct(F.xxhash64("key", "node", F.lit(k)).alias("by"), "node", "n", "label")).alias("hub")
+        hubs = members.groupBy("key").agg(hub).select("key", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"), F.col("hub.label").alias("beside"))
+        met = _verified(_compatible(members.join(hubs, "key").where("label != beside")), sets)
+        stars = near.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a < b")
+        links = scratch.keep(stars.union(met))
+        near = component_labels(links, scratch)
+        members = apart(members.drop("label"), near)
+        groups = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        size = groups.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+        if (size[1] or 0) <= MANY_PAIRS * (size[0] or 0):
+            break
+    mirror = members.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("beside"), F.col("bands").alias("over"))
+    # a pair meets in the first band that both have
+    first = F.array_position(F.zip_with("bands", "over", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
+    rest = _verified(_compatible(members.join(mirror, "key").where(F.col("label") < F.col("beside")).where(first)), sets)
     links = scratch.keep(near.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a < b").union(rest))
     scratch.drop(sets)
     return links
@@ -141,8 +177,9 @@ def keep_one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     signed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _signed(width)("text").alias("s")).select("doc_id", "text_hash", "s.*")
     prints = scratch.keep(signed)
     nodes = scratch.keep(prints.groupBy("node").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    pairs = _simhash_pairs(prints, scratch)
     scratch.drop(prints)
-    labels = scratch.keep(component_labels(_links(docs, nodes, scratch, width), scratch).withColumnRenamed("node", "_n"))
+    labels = scratch.keep(component_labels(_links(docs, nodes, pairs, scratch, width), scratch).withColumnRenamed("node", "_n"))
     named = nodes.join(labels, nodes.node == labels["_n"], "left").select(F.coalesce("label", "node").alias("label"), "least")
     kept = named.groupBy("label").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.text_hash").alias(text_key))
     kept = scratch.keep(kept)
