@@ -4,7 +4,8 @@ Every point belongs to its nearest pivot. The points of a pivot are sorted by th
 knows the least and the largest distance of its points to every pivot. A query with a radius is copied to those slices that its ball may
 reach: by the triangle inequality none of a slice's points is nearer than the query's distance to a pivot differs from theirs, and a
 point of another pivot is no nearer than half of what the query's distance to that pivot exceeds the one to its own. Queries meet a
-slice in groups, as packed rows of an ordinary join.
+slice in groups. Neighbouring slices make a shelf: a group travels once to each shelf, with a bit for each query and slice, and what is
+shuffled doesn't grow with the number of slices. Products of matrices rule out pairs beyond the radius; all others are measured by differences.
 
 How much this spares depends on the points: in few dimensions, or in clusters, almost all; where all distances are alike, as
 between random points of many dimensions, nothing, and every query meets every slice.
@@ -27,6 +28,8 @@ from tidemark.operators.lineage import cut
 SLICE, GROUP, PIVOTS, SAMPLE, DIRECTORY = 512, 256, 32, 4096, 1 << 15
 #: Groups of queries that share one copy of a slice.
 SHARED = 512
+#: Most slices of a shelf; up to there a table has some SHELVES of them.
+SHELF = SHELVES = 32
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -38,6 +41,26 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_distances(x: np.ndarray, y: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """``distances`` where they are at most the row's radius, or little more; infinite elsewhere."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        square = x @ y.T
+        square *= -2
+        square += a[:, None]
+        square += b[None]
+        room = 1e-14 * (x.shape[1] + 8) * (a + b.max(initial=0))
+        maybe = ~(square > (radius * radius * (1 + 1e-12) + room)[:, None])  # what isn't a number is measured
+    i, j = np.nonzero(maybe)
+    if 4 * len(i) > maybe.size:
+        return distances(x, y)
+    out = np.full(maybe.shape, np.inf)
+    for s in range(0, len(i), 1 << 14):
+        gap = (x[i[s : s + (1 << 14)]] - y[j[s : s + (1 << 14)]])[:, None, :]
+        out[i[s : s + (1 << 14)], j[s : s + (1 << 14)]] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))[:, 0]
+    return out
+
+
 def usable(points: DataFrame, key: str, vector: str, weight: str | None = None) -> DataFrame:
     """(key long, v array<double>, w long) of the points that take part; a weight is 1 unless its column is named."""
     v = F.col(vector).cast("array<double>")
@@ -59,6 +82,7 @@ class Slices:
         got = rows.select("v").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow().column(0).combine_chunks()
         self.n = rows.count()
         sample = _matrix(got) if len(got) else np.zeros((0, 1))
+        self.shelf = max(1, min(SHELF, self.n // (SLICE * SHELVES)))
         self.pivots = spark.sparkContext.broadcast(self._pivots(sample, max(1, min(PIVOTS, self.n // 64))))
         self.table = cut(self._cut(rows))
         self.count = self.table.count()
@@ -76,7 +100,7 @@ class Slices:
         return x[pick]
 
     def _cut(self, rows: DataFrame) -> DataFrame:
-        pivots = self.pivots
+        pivots, shelf = self.pivots, self.shelf
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -88,16 +112,16 @@ class Slices:
             from pyspark import TaskContext
 
             part, made, held = TaskContext.get().partitionId(), 0, []
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.float64()), pa.list_(pa.float64())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.float64()), pa.list_(pa.float64())]
 
             def close() -> pa.RecordBatch:
                 nonlocal made, held
                 x = np.stack([v for *_, v in held])
                 keys, weights = (np.array([r[i] for r in held], "<i8").tobytes() for i in (0, 2))
                 away = distances(x, pivots.value)
-                row = [(part << 32) + made, held[0][1], len(held), keys, weights, x.tobytes(), away.min(axis=0), away.max(axis=0)]
+                row = [(part << 32) + made, (part << 32) + made // shelf, held[0][1], len(held), keys, weights, x.tobytes(), away.min(axis=0), away.max(axis=0)]
                 made, held = made + 1, []
-                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["slice", "cell", "n", "keys", "weights", "x", "lo", "hi"])
+                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["slice", "shelf", "cell", "n", "keys", "weights", "x", "lo", "hi"])
 
             for batch in batches:
                 x = _matrix(batch.column("v"))
@@ -108,24 +132,25 @@ class Slices:
             if held:
                 yield close()
 
-        dealt = rows.mapInArrow(assign, "key long, cell int, dist double, v array<double>, w long").repartitionByRange(max(1, -(-self.n // (16 * SLICE))), "cell", "dist", "key")
-        return dealt.sortWithinPartitions("cell", "dist", "key").mapInArrow(pack, "slice long, cell int, n int, keys binary, weights binary, x binary, lo array<double>, hi array<double>")
+        dealt = rows.mapInArrow(assign, "key long, cell int, dist double, v array<double>, w long").repartitionByRange(max(1, -(-self.n // (max(16, shelf) * SLICE))), "cell", "dist", "key")
+        return dealt.sortWithinPartitions("cell", "dist", "key").mapInArrow(pack, "slice long, shelf long, cell int, n int, keys binary, weights binary, x binary, lo array<double>, hi array<double>")
 
     def groups(self, queries: DataFrame) -> Iterator[DataFrame]:
-        """Which queries (key, v, radius) meet which slices: (slice, shard, keys, x, radius, pairs), a frame for each part of the
-        directory. ``pairs`` is how many pairs of points that makes."""
+        """Which queries (key, v, radius) meet which slices: (shelf, shard, keys, x, radius, near, pairs), a frame for each part of the
+        directory. ``near`` has a bit for each query and slice of the shelf, ``pairs`` is how many pairs of points that makes."""
         parts, shards = max(1, -(-self.count // DIRECTORY)), self._shards(queries)
         pivots = self.pivots
         for part in range(parts):
-            mine = self.table.where(F.pmod(F.xxhash64("slice"), F.lit(parts)) == part) if parts > 1 else self.table
-            listed = mine.select("slice", "cell", "n", "lo", "hi").orderBy("slice").toArrow().combine_chunks()
+            mine = self.table.where(F.pmod(F.xxhash64("shelf"), F.lit(parts)) == part) if parts > 1 else self.table
+            listed = mine.select("slice", "shelf", "cell", "n", "lo", "hi").orderBy("slice").toArrow().combine_chunks()
             if not len(listed):
                 continue
             columns = {c: listed.column(c).combine_chunks() for c in listed.column_names}
-            bounds = self.spark.sparkContext.broadcast((*(columns[c].to_numpy() for c in ("slice", "cell", "n")), _matrix(columns["lo"]), _matrix(columns["hi"])))
+            bounds = self.spark.sparkContext.broadcast((*(columns[c].to_numpy() for c in ("shelf", "cell", "n")), _matrix(columns["lo"]), _matrix(columns["hi"])))
 
             def reach(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
                 names, cell, n, lo, hi = bounds.value
+                starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
                 for batch in batches:
                     step = max(1, min(GROUP, (1 << 21) // max(1, lo.size)))
                     for at in range(0, batch.num_rows, step):
@@ -136,36 +161,53 @@ class Slices:
                         gap = np.maximum(lo[None] - away[:, None], away[:, None] - hi[None]).max(axis=2)
                         gap = np.maximum(gap, (away[:, cell] - away.min(axis=1)[:, None]) / 2)
                         near = gap <= (radius + room)[:, None]
-                        for s in np.flatnonzero(near.any(axis=0)):
-                            who = np.flatnonzero(near[:, s])
-                            out.append((int(names[s]), int(keys[who[0]] % shards), keys[who].tobytes(), x[who].tobytes(), radius[who].tobytes(), int(n[s]) * len(who)))
+                        for first, last in zip(starts, [*starts[1:], len(names)], strict=True):
+                            here = near[:, first:last]
+                            who = np.flatnonzero(here.any(axis=1))
+                            if len(who):
+                                out.append((int(names[first]), int(keys[who[0]] % shards), keys[who].tobytes(), x[who].tobytes(), radius[who].tobytes(), np.packbits(here[who]).tobytes(), int((here[who].sum(axis=0) * n[first:last]).sum())))
                         if out:
-                            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slice", "shard", "keys", "x", "radius", "pairs"])
+                            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shelf", "shard", "keys", "x", "radius", "near", "pairs"])
 
-            yield queries.select("key", "v", F.col("radius").cast("double").alias("radius")).mapInArrow(reach, "slice long, shard long, keys binary, x binary, radius binary, pairs long")
+            yield queries.select("key", "v", F.col("radius").cast("double").alias("radius")).mapInArrow(reach, "shelf long, shard long, keys binary, x binary, radius binary, near binary, pairs long")
 
     def _shards(self, queries: DataFrame) -> int:
         return max(1, -(-queries.count() // (GROUP * SHARED)))
 
-    def meet(self, queries: DataFrame, found: Callable, schema: str) -> DataFrame:
-        """What ``found(keys, radius, slice keys, slice weights, distances)`` returns, arrays by column, for each group of queries and slice."""
+    def meet(self, queries: DataFrame, found: Callable, schema: str, merge: Callable | None = None) -> DataFrame:
+        """What ``found(keys, radius, slice keys, slice weights, distances)`` returns, arrays by column, for each group of queries and slice;
+        distances beyond the radius are infinite. ``merge`` makes one result of those of a group and a shelf."""
         names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, slices = None, []
             for batch in batches:
                 for r in batch.to_pylist():
-                    keys, radius, other = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["radius"]), np.frombuffer(r["skeys"], "<i8")
-                    dist = distances(np.frombuffer(r["x"]).reshape(len(keys), -1), np.frombuffer(r["sx"]).reshape(len(other), -1))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found(keys, radius, other, np.frombuffer(r["sweights"], "<i8"), dist)], names=names)
+                    if (r["shelf"], r["shard"]) != at:
+                        at, slices = (r["shelf"], r["shard"]), []
+                    keys = np.frombuffer(r["keys"], "<i8")
+                    x = np.frombuffer(r["x"]).reshape(len(keys), -1)
+                    if r["slice"] is not None:  # the slices of a shelf come first, in their order
+                        slices.append((keys, np.frombuffer(r["weights"], "<i8"), x))
+                        continue
+                    radius, got = np.frombuffer(r["radius"]), []
+                    near = np.unpackbits(np.frombuffer(r["near"], np.uint8), count=len(keys) * len(slices)).reshape(len(keys), -1).astype(bool)
+                    for s in np.flatnonzero(near.any(axis=0)):
+                        (other, weights, y), who = slices[s], np.flatnonzero(near[:, s])
+                        got.append(found(keys[who], radius[who], other, weights, near_distances(x[who], y, radius[who])))
+                    for part in [merge(*map(np.concatenate, zip(*got, strict=True)))] if merge and got else got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=names)
 
         shards = self._shards(queries)
-        content = self.table.select("slice", F.col("keys").alias("skeys"), F.col("weights").alias("sweights"), F.col("x").alias("sx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+        none = F.lit(None)
+        content = self.table.select("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "slice", "keys", "x", "weights", none.cast("binary").alias("radius"), none.cast("binary").alias("near"))
         tasks = max(1, min(self.count * shards, 8 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        content = content.repartition(tasks, "slice", "shard")
         out = None
         for groups in self.groups(queries):
-            met = groups.repartition(tasks, "slice", "shard").join(content, ["slice", "shard"]).mapInArrow(run, schema)
+            asked = groups.select("shelf", "shard", none.cast("long").alias("slice"), "keys", "x", none.cast("binary").alias("weights"), "radius", "near")
+            dealt = content.union(asked).repartition(tasks, "shelf", "shard").sortWithinPartitions("shelf", "shard", F.asc_nulls_last("slice"))
+            met = dealt.mapInArrow(run, schema)
             out = met if out is None else out.union(met)
         return out if out is not None else self.spark.createDataFrame([], schema)
 
@@ -174,19 +216,23 @@ class Slices:
         return sum(g.agg(F.sum("pairs")).first()[0] or 0 for g in self.groups(queries))
 
     def nearest_in_slice(self, k: int) -> DataFrame:
-        """(key, v, radius) of every point: the distance to its k-th nearest, itself included, in its own slice. Infinite where the
-        slice has fewer points."""
+        """(key, v, radius) of every point: the distance to its k-th nearest, itself included, in its own slice or those of its shelf. Infinite
+        where they have fewer points."""
         d = self.pivots.value.shape[1]
 
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    x = np.frombuffer(r["x"]).reshape(-1, d)
-                    dist = distances(x, x)
-                    radius = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(x) >= k else np.full(len(x), np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], "<i8")), pa.array(list(x), pa.list_(pa.float64())), pa.array(radius)], names=["key", "v", "radius"])
+        def look(table: pa.Table) -> pa.Table:
+            parts = [(np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["x"]).reshape(-1, d)) for r in table.to_pylist()]
+            found = []
+            for a, (_, x) in enumerate(parts):
+                best = np.full((len(x), k), np.inf)
+                for b in [a, *(b for b in range(len(parts)) if b != a)]:
+                    y = parts[b][1]
+                    best = np.partition(np.c_[best, near_distances(x, y, best.max(axis=1))], k - 1, axis=1)[:, :k]
+                found.append(best.max(axis=1) * (1 + 1e-12))
+            rows = [v for _, x in parts for v in x]
+            return pa.table({"key": np.concatenate([p[0] for p in parts]), "v": pa.array(rows, pa.list_(pa.float64())), "radius": np.concatenate(found)})
 
-        return self.table.select("keys", "x").mapInArrow(look, "key long, v array<double>, radius double")
+        return self.table.select("shelf", "keys", "x").repartition(max(1, self.count // self.shelf), "shelf").groupBy("shelf").applyInArrow(look, "key long, v array<double>, radius double")
 
 
 def nearest(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -195,18 +241,17 @@ def nearest(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     slices = Slices(points, key, vector)
 
     def best(keys, radius, other, weights, dist):
-        near = dist <= radius[:, None]
-        if dist.shape[1] > k:
-            near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-        i, j = np.nonzero(near)
-        order = np.lexsort((other[j], dist[i, j], i))
-        i, j = i[order], j[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[keep], j[keep]
-        return keys[i], other[j], dist[i, j]
+        i, j = np.nonzero(dist <= radius[:, None])
+        return first(keys[i], other[j], dist[i, j])
+
+    def first(key, other, dist):
+        order = np.lexsort((other, dist, key))
+        key, other, dist = key[order], other[order], dist[order]
+        keep = np.arange(len(key)) - np.searchsorted(key, key) < k
+        return key[keep], other[keep], dist[keep]
 
     asked = cut(slices.nearest_in_slice(k))
-    found = slices.meet(asked, best, "key long, other long, distance double")
+    found = slices.meet(asked, best, "key long, other long, distance double", first)
     place = F.row_number().over(Window.partitionBy("key").orderBy("distance", "other")) - 1
     return found.withColumn("place", place).where(F.col("place") < k).select("key", "place", "other", "distance")
 
