@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import native
 from tidemark.operators import metric, order
-from tidemark.operators.graph import components
+from tidemark.operators.graph import components, spanning
 from tidemark.operators.lineage import cut
 
 #: Rows of a block when every point meets every other.
@@ -89,16 +89,32 @@ def _open(r, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(y)))
-    for i in range(0, len(x), 256):  # differences, not products: exact zeros for equal points
-        part = x[i : i + 256]
-        out[i : i + 256] = np.sqrt(np.stack([((part - b) ** 2).sum(1) for b in y], axis=1)) if len(y) else 0
+    """Products of matrices where points are well apart, differences where they are near: equal points are exactly 0 apart."""
+    out, centre = np.empty((len(x), len(y))), y.mean(axis=0) if len(y) else 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        y0 = y - centre
+        b = np.einsum("ij,ij->i", y0, y0)
+        for s in range(0, len(x), 256):
+            part = x[s : s + 256]
+            x0 = part - centre
+            a = np.einsum("ij,ij->i", x0, x0)
+            both = a[:, None] + b
+            square = both - 2 * (x0 @ y0.T)
+            i, j = np.nonzero(~(square > 1e-3 * both))
+            if 4 * len(i) > square.size:
+                out[s : s + 256] = metric.distances(part, y)
+                continue
+            out[s : s + 256] = np.sqrt(np.maximum(square, 0))
+            gap = part[i] - y[j]
+            out[s + i, j] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
     return out
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
+def _pairs(blocks: DataFrame, many: int = 16) -> DataFrame:
+    """All pairs of blocks; a task's block meets some ``many`` others."""
+    blocks = cut(blocks)
     other = blocks.select(*[F.col(c).alias(f"{c}_b") for c in ("ids", "labels", "x")])
-    return blocks.crossJoin(other)
+    return blocks.crossJoin(other.coalesce(max(1, -(-other.rdd.getNumPartitions() // many))))
 
 
 def knn(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -107,18 +123,27 @@ def knn(points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """Mean Euclidean silhouette without noise; a point alone in its cluster counts 0. One row for each point, cluster and block
+    """Mean Euclidean silhouette without noise; a point alone in its cluster counts 0. One row for each point, cluster and task
     in between."""
     points = without_noise(points, label)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, dict] = {}  # of each block of the task, over all that it meets
         for f in frames:
             for r in f.itertuples(index=False):
                 (a, la, x), (b, lb, y) = _open(r), _open(r, "_b")
-                dist, names = _distances(x, y), np.unique(lb)
-                for c in names:
+                names, at = np.unique(lb, return_inverse=True)
+                total = _distances(x, y) @ np.eye(len(names))[at]
+                alike = np.intersect1d(a, b).size
+                _, _, of = held.setdefault(r.ids, (a, la, {}))
+                for k, c in enumerate(names.tolist()):
                     m = lb == c
-                    yield pd.DataFrame({key: a, "own": la, "cluster": c, "s": dist[:, m].sum(1), "n": m.sum() - (a[:, None] == b[m][None]).sum(1)})
+                    n = m.sum() - ((a[:, None] == b[m][None]).sum(1) if alike else np.zeros(len(a), np.int64))
+                    before = of.get(c, (0, 0))
+                    of[c] = before[0] + total[:, k], before[1] + n
+        for a, la, of in held.values():
+            for c, (s, n) in of.items():
+                yield pd.DataFrame({key: a, "own": la, "cluster": c, "s": s, "n": n})
 
     got = _pairs(_blocks(points, key, vector, label)).mapInPandas(sums, f"{key} long, own long, cluster long, s double, n long")
     each = got.groupBy(key, "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("m", F.try_divide("s", "n"))
@@ -172,6 +197,10 @@ def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: in
     def count(keys, radius, other, weights, dist):
         return keys, (dist <= radius[:, None]) @ weights
 
+    def added(keys, n):
+        names, at = np.unique(keys, return_inverse=True)
+        return names, np.bincount(at, n, len(names)).astype(np.int64)
+
     def links(keys, radius, other, weights, dist):
         near, most = dist <= radius[:, None], np.iinfo(np.int64).max
         a, b = keys.copy(), other.copy()
@@ -188,10 +217,10 @@ def dbscan(points: DataFrame, key: str, vector: str, eps: float, min_samples: in
         i, j = np.nonzero(dist <= radius[:, None])
         return keys[i], other[j]
 
-    near = metric.Slices(one, "key", "v", "w").meet(asked, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    near = metric.Slices(one, "key", "v", "w").meet(asked, count, "key long, n long", added).groupBy("key").agg(F.sum("n").alias("n"))
     core = cut(near.where(F.col("n") >= min_samples).select("key"))
     dense = metric.Slices(one.join(core, "key"), "key", "v")
-    label = cut(components(dense.meet(asked.join(core, "key"), links, "a long, b long"), most_rounds))
+    label = cut(components(cut(spanning(dense.meet(asked.join(core, "key"), links, "a long, b long"))), most_rounds))
     named = cut(label.join(order.numbered(label.select("label").distinct(), ["label"], "cluster"), "label").select("node", "cluster"))
     beside = dense.meet(asked.join(core, "key", "left_anti"), around, "key long, node long").join(named, "node").groupBy("key").agg(F.min("cluster").alias("cluster"))
     found = one.select("key", "v").join(named.select(F.col("node").alias("key"), "cluster").union(beside), "key")
